@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm.bpe import round_trip
+from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.shared import documents_at
 from strandline.llm.sharding import shard_documents
 from strandline.llm.token_shards import shard_digests
+from strandline.llm.top_k import top_k
+from strandline.llm.toxicity import toxicity
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents_at(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents_at(spark, sf_dir), 4, 80)
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digests(documents_at(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
@@ -25,6 +33,43 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents_at(spark, sf_dir), 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op5_token_shards, op6_hash_tree_shards)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents_at(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op8_toxicity, op10_exact_top_k)}
+
+#: Words and shingles as the operator defines them; components by the smallest label that spreads over the links.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) END AS s FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+    FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS label FROM both_ways UNION SELECT l.b, r.label FROM reach r JOIN both_ways l ON l.a = r.node WHERE r.label < l.b),
+low AS (SELECT node, min(label) AS label FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(l.label, s.doc_id), s.doc_id) AS component_id, coalesce(least(l.label, s.doc_id), s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN low l ON l.node = s.doc_id
+"""
+
+OP10_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_setsketch_near_duplicates": OP4_SQL, "op10_exact_top_k": OP10_SQL}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iter
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0), dtype=np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0), dtype=np.int64)
         part = np.cumsum(lengths) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:], strict=False):
@@ -92,9 +93,10 @@ def word_table(separators: bytes = SPACES) -> np.ndarray:
 _SPACE_TABLE = word_table()
 
 
-def hashed_words(texts: list[str | None], table: np.ndarray = _SPACE_TABLE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(texts: list[str | None], table: np.ndarray = _SPACE_TABLE, lower: bool = True, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and for each word its text's index, its first byte and its length.
 
+    `prefixes` adds, behind the words, the first so many bytes of each longer word, hashed apart from words.
     Only A-Z are lower-cased. Null and empty texts have no words. The sentinel byte between texts is a separator.
     """
     encoded = [t.encode() if t else b"" for t in texts]
@@ -107,10 +109,21 @@ def hashed_words(texts: list[str | None], table: np.ndarray = _SPACE_TABLE, lowe
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, empty
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), dtype=np.uint64)])
-    hashes = (sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, len(raw))[starts]
-    hashes = mixed(hashes + (ends - starts).astype(np.uint64) * _MULTIPLIER)
+    inverse = _powers(_BASE_INVERSE, len(raw))
+    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _MULTIPLIER)
+    if prefixes:
+        parts, begun, length = [hashes], [starts], ends - starts
+        for k in prefixes:
+            longer = starts[length > k]
+            parts.append(mixed((sums[longer + k] - sums[longer]) * inverse[longer] + np.uint64((k << 32) * 0x9E3779B97F4A7C15 % (1 << 64))))
+            begun.append(longer)
+        sizes = np.concatenate([length, *(np.full(len(b), k) for k, b in zip(prefixes, begun[1:], strict=True))])
+        hashes, starts = np.concatenate(parts), np.concatenate(begun)
+    else:
+        sizes = ends - starts
     firsts = np.cumsum([0, *(len(e) + 1 for e in encoded)])
-    return hashes, np.searchsorted(firsts, starts, "right") - 1, starts - firsts[np.searchsorted(firsts, starts, "right") - 1], ends - starts
+    owner = np.searchsorted(firsts, starts, "right") - 1
+    return hashes, owner, starts - firsts[owner], sizes
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
