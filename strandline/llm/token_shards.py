@@ -16,6 +16,7 @@ come first. Task attempts write to files of their own and only those in the mani
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +26,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,7 +81,8 @@ class ShardWriter:
         self.last = self.first = b""
         self.documents = self.ids = 0
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian integers of id_bytes bytes."""
         key = key_bytes(doc_id)
         if self.documents and key < self._before:
             raise ValueError("keys must not descend")
@@ -92,12 +93,11 @@ class ShardWriter:
                 shared += 1
         else:
             self.first = key
-        value = np.asarray(ids, f"<u{self.id_bytes}").tobytes()
-        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
+        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids)) + key[shared:] + ids
         self.last = key
         self.hashes.append(key)
         self.documents += 1
-        self.ids += len(ids)
+        self.ids += len(ids) // self.id_bytes
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -165,17 +165,20 @@ class ShardReader:
         return found
 
 
-#: The pattern by which the byte-level pre-tokenizer of the tokenizers library parts a text (a fixed value of that library).
-PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-CACHED_PIECES, CACHED_CHARS = 250_000, 48
+#: Chunks in each of the cache's two generations and the longest that is kept there; chunks sent to the library in one string.
+CACHED_CHUNKS, CACHED_CHARS, JOINED_CHUNKS = 1_200_000, 32, 4096
+#: A space between white space and white space, or after white space at the end: there a text can't be cut before the space.
+_UNSAFE = re.compile(r"\s (?:\s|$)")
 
 
 class LibraryEncoder:
     """The tokenizers library's ids of whole texts.
 
-    The library's byte-level pre-tokenizer parts a text into pieces and encodes each by itself, so equal pieces get equal ids:
-    each distinct piece goes through the library once and is then looked up. Texts that hold an added token's string, and
-    tokenizers of another make (a normalizer, another pre-tokenizer, a post-processor), go through the library whole.
+    The library's byte-level pre-tokenizer always starts a new piece at a space that white space doesn't both precede and
+    follow, and it encodes each piece by itself. A text may therefore be cut before such spaces, and equal chunks get equal
+    ids: each distinct chunk goes through the library once and is then looked up. Chunks that are new go there together in one
+    string; as each starts with its only space, its ids start at the only token that starts with one. Texts with other spaces or
+    with an added token's string, and tokenizers of another make (a normalizer, another pre-tokenizer), go through whole.
     """
 
     def __init__(self, path: str):
@@ -186,41 +189,63 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as file:
             made = json.load(file)
-        pre = made.get("pre_tokenizer") or {}
-        model = made.get("model") or {}
-        self.by_pieces = (
+        pre, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+        self.by_chunks = (
             not made.get("normalizer") and not made.get("post_processor") and not made.get("truncation") and not made.get("padding")
             and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("dropout")
         )
         self.added = [t["content"] for t in made.get("added_tokens") or []]
         self.size = self.tokenizer.get_vocab_size()
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.spaced = np.zeros(self.size, bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # a space's byte-level sign
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of a space and each of `new`, which hold no space."""
+        odd = [w for w in new if not w or w[0].isspace()]
+        found = dict(zip(odd, self._whole([" " + w for w in odd]), strict=True))
+        plain = [w for w in new if w and not w[0].isspace()]
+        groups = [plain[k : k + JOINED_CHUNKS] for k in range(0, len(plain), JOINED_CHUNKS)]
+        size = self.kind.itemsize
+        for words, ids in zip(groups, self._whole([" " + " ".join(g) for g in groups]), strict=True):
+            starts = (size * np.flatnonzero(self.spaced[np.frombuffer(ids, self.kind)])).tolist()
+            if len(starts) != len(words) or starts[0]:
+                found.update(zip(words, self._whole([" " + w for w in words]), strict=True))
+            else:
+                found.update((w, ids[a:b]) for w, a, b in zip(words, starts, [*starts[1:], len(ids)], strict=True))
+        return found
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.by_pieces:
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of self.kind."""
+        if not self.by_chunks:
             return self._whole(texts)
-        parted = [None if any(a in t for a in self.added) else PIECES.findall(t) for t in texts]
-        distinct = set(chain.from_iterable(p for p in parted if p))
-        known = {}
-        new = []
-        for piece in distinct:
-            ids = self.young.get(piece)
-            if ids is None:
-                ids = self.old.get(piece)
-            if ids is None:
-                new.append(piece)
+        cut = [None if _UNSAFE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
+        heads = iter(self._whole([c.pop(0) for c in cut if c]))
+        get = self.young.get
+        ids = [None if c is None else list(map(get, c)) for c in cut]
+        missed = {w for c, i in zip(cut, ids, strict=True) if i and None in i for w, known in zip(c, i, strict=True) if known is None}
+        found = {w: i for w, i in zip(missed, map(self.old.get, missed), strict=True) if i is not None}
+        found.update(self._learn(list(missed - found.keys())))
+        look, out = found.__getitem__, []
+        for t, c, i in zip(texts, cut, ids, strict=True):
+            if c is None:
+                out += self._whole([t])
             else:
-                known[piece] = ids
-        known.update(zip(new, self._whole(new), strict=True))
-        if len(self.young) + len(known) > CACHED_PIECES:
+                if None in i:
+                    i = [look(w) if known is None else known for w, known in zip(c, i, strict=True)]
+                out.append(next(heads) + b"".join(i))
+        if len(self.young) + len(found) > CACHED_CHUNKS:
             self.old, self.young = self.young, {}
-        self.young.update((p, i) for p, i in known.items() if len(p) <= CACHED_CHARS)
-        look = known.__getitem__
-        return [self._whole([t])[0] if p is None else list(chain.from_iterable(map(look, p))) for t, p in zip(texts, parted, strict=True)]
+        self.young.update((w, i) for w, i in found.items() if len(w) <= CACHED_CHARS)
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(i, self.kind).tolist() for i in self.encode_bytes(texts)]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -261,10 +286,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
                 path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
                 store.create_dir(base, recursive=True)
                 stream = store.open_output_stream(path)
-                writer = ShardWriter(stream, 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4)
-            for doc_id, ids in zip(batch["key"].to_pylist(), encoder.encode([t or "" for t in batch["text"].to_pylist()]), strict=True):
-                ids.append(end_id)
-                writer.add(doc_id, ids)
+                writer = ShardWriter(stream, encoder.kind.itemsize)
+                end = np.asarray([end_id], encoder.kind).tobytes()
+            for doc_id, ids in zip(batch["key"].to_pylist(), encoder.encode_bytes([t or "" for t in batch["text"].to_pylist()]), strict=True):
+                writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             size = stream.tell()
