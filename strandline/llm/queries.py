@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.bpe import round_trip
+from strandline.llm.mixing import label_domains, mixture
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.shared import documents_at
 from strandline.llm.sharding import shard_documents
+from strandline.llm.spotsigs import fingerprint_documents
 from strandline.llm.token_shards import shard_digests
 from strandline.llm.top_k import top_k
 from strandline.llm.toxicity import toxicity
 
 
+#: The shares of tokens that the mixture aims at.
+TARGETS = {"high": 0.8, "low": 0.12, "toxic": 0.08}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(documents_at(spark, sf_dir), label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents_at(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -37,11 +47,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents_at(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents_at(spark, sf_dir))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op8_toxicity, op10_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_soft_mixing, op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op8_toxicity, op9_spotsigs, op10_exact_top_k)}
 
 #: Words and shingles as the operator defines them; components by the smallest label that spreads over the links.
 OP4_SQL = r"""
