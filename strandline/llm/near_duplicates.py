@@ -5,16 +5,17 @@ exponentially distributed hashes of its shingles, cut to 0..q+1. Registers of a
 agree more often the more alike two sets are. Documents are then found in these steps, each a table or a shuffle by key:
 
 1. documents with the same set are one class (its smallest id stands for it), so copies meet in one aggregation only;
-2. each class goes into BANDS buckets by ROWS registers each; a bucket's smallest, largest and one more class are its centres,
-   and every member is a candidate with each of them;
-3. candidates whose likeness, estimated from all registers jointly by maximum likelihood with the known set sizes, lies far below
-   the threshold go; the rest are confirmed on the full sets of words of their texts;
-4. components; a bucket whose members now have several components is searched fully: in blocks of BLOCK members, each pair of
-   different components by estimate and then by full sets. Blocks bound memory; nothing is capped or dropped.
+2. each class goes into BANDS buckets by ROWS registers each;
+3. STAR_ROUNDS times: every bucket that still has members of several components has one centre, and each class becomes a candidate
+   with one centre of another component among its buckets. Candidates whose likeness, estimated from all registers jointly by
+   maximum likelihood with the known set sizes, lies far below the threshold go; the rest are confirmed on the full sets of words of
+   their texts; components are formed anew. Large groups of copies fall together here with one comparison a member;
+4. a bucket whose members have several components even then is searched fully: in blocks of BLOCK members, each pair of different
+   components by estimate and then by full sets. Blocks bound memory; nothing is capped or dropped.
 
 A pair at the threshold of 0.8 shares no bucket with a chance of (1 - 0.8^6)^48 < 5e-7, and less above.
-Results: documents without words have an empty set and are linked with nothing; null texts count as empty; repeated ids are
-taken as rows of one document with their smallest... each row keeps its own set, and equal ids share a component.
+Results: documents without words have an empty set and are linked with nothing; null texts count as empty; each row
+keeps its own set, and of rows that share an id the component is found by their sets. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from strandline.llm.shared import bounded_batches, mixed, shared_folder, shingle
 BANDS, ROWS, BASE, LARGEST, RATE = 48, 6, 1.001, 65_534, 20.0
 REGISTERS = BANDS * ROWS
 BLOCK = 512
+STAR_ROUNDS = 3
 #: Standard deviations of the estimate below the threshold at which a candidate goes.
 MARGIN = 6.0
 
@@ -222,29 +224,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     sketched = written(sketches(docs, width, key, text), folder, "sketches")
     reps = sketched.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
     classes = written(reps.join(sketched.select(F.col("doc_id").alias("rep"), "set_a", "set_b", "n", "regs"), ["set_a", "set_b", "n", "rep"]).dropDuplicates(["set_a", "set_b", "n"]), folder, "classes")
-    banded = written(band_keys(classes), folder, "bands")
-    turn = F.xxhash64("rep", F.lit("turn"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.min(F.struct(turn, "rep"))["rep"].alias("any")).where("size > 1")
-    shared = written(shared, folder, "shared")
+    banded = band_keys(classes)
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(banded.join(shared, "key"), folder, "members")
-    centres = members.select("rep", F.explode(F.array_distinct(F.array("first", "last", "any"))).alias("centre")).where("rep <> centre")
-    candidates = centres.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        alive = written(estimated(pairs, classes, threshold) if name == "star" else pairs, folder, f"{name}-alive")
+    links = spark.createDataFrame([], "a long, b long")
+    labels = None
+
+    def open_members() -> DataFrame:
+        """Members of buckets in which there are several components still, with their component."""
+        placed = members.withColumn("component", F.col("rep"))
+        if labels is not None:
+            placed = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return placed.join(several, "key")
+
+    def confirmed_links(pairs: DataFrame, name: str) -> DataFrame:
+        alive = written(pairs, folder, f"{name}-alive")
         needed = alive.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         own = texts.join(needed, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
         return written(confirmed(alive, own, width, percent), folder, f"{name}-links")
 
-    star = links(candidates, "star")
-    first = components(star, folder, "first")
-    placed = members.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = written(placed, folder, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    searched = placed.join(open_keys, "key").join(classes.select("rep", "n", "regs"), "rep")
-    rest = links(blocks(searched, threshold), "rest")
-    final = components(star.union(rest), folder, "final")
+    for turn in range(STAR_ROUNDS):
+        placed = written(open_members(), folder, f"open-{turn}")
+        order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", F.lit(turn)), "rep", "component")
+        centres = placed.groupBy("key").agg(F.min(order).alias("centre")).select("key", F.col("centre.rep").alias("centre"), F.col("centre.component").alias("centre_component"))
+        wanted = placed.join(centres, "key").where("component <> centre_component")
+        # one candidate for each member: texts move once a round, however many buckets a member is in
+        chosen = wanted.groupBy("rep").agg(F.min(F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", "centre", F.lit(turn)), "centre"))["centre"].alias("centre"))
+        pairs = chosen.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        new = confirmed_links(estimated(pairs, classes, threshold), f"star-{turn}")
+        links = written(links.union(new), folder, f"links-{turn}")
+        labels = components(links, folder, f"round-{turn}")
+    searched = open_members().join(classes.select("rep", "n", "regs"), "rep")
+    rest = confirmed_links(blocks(searched, threshold), "rest")
+    final = components(links.union(rest), folder, "final")
     named = classes.select("set_a", "set_b", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
     out = sketched.drop("regs").join(named, ["set_a", "set_b", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays for each component; rows without words stay all. Ids are unique
+    in a corpus; where they aren't, the rows of one id share its fate and equal ones of them stay once."""
+    kept = near_duplicates(docs, width, percent, key, text).groupBy("doc_id").agg(F.max("kept").alias("_kept")).where("_kept")
+    return docs.join(kept.select(F.col("doc_id").alias("_id")), docs[key].cast("long").eqNullSafe(F.col("_id")), "left_semi")

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.bpe import round_trip
+from strandline.llm.chat import conversations_without_quotes
+from strandline.llm.licence_templates import TEMPLATES
+from strandline.llm.licences import scan_licences
 from strandline.llm.mixing import label_domains, mixture
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.shared import documents_at
@@ -27,6 +30,10 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents_at(spark, sf_dir), label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(documents_at(spark, sf_dir), TEMPLATES)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents_at(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -43,6 +50,10 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents_at(spark, sf_dir), 24)
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations_without_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents_at(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,7 +66,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_soft_mixing, op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op8_toxicity, op9_spotsigs, op10_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_soft_mixing, op2_licence_scan, op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op7_quotation_linking, op8_toxicity, op9_spotsigs, op10_exact_top_k)}
 
 #: Words and shingles as the operator defines them; components by the smallest label that spreads over the links.
 OP4_SQL = r"""

@@ -100,9 +100,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not positives or not total:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-12) / max(1 - prior, 1e-12))))
     prior = min(prior, 0.95)
-    picked = own.where("toxic = 1").where(_sampled(F.col("key"), MAX_POSITIVE / positives, "positive")).select("key", F.lit(1).alias("group"))
+    picked = own.where("toxic = 1").where(_sampled(F.col("key"), MAX_POSITIVE / positives, "positive")).select("key", F.lit(1).alias("group")).limit(MAX_POSITIVE)
     others = texts.where(_sampled(F.col("key"), MAX_UNLABELLED / total, "unlabelled")).select("key", "text", F.lit(0).alias("group"))
-    sample = texts.join(picked, "key").select("key", "text", "group").union(others).select("text", "group")
+    sample = texts.join(F.broadcast(picked), "key")  # ids of MAX_POSITIVE rows at most
+    sample = sample.select("text", "group").union(others.select("text", "group"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
