@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one bucket, about; quantile buckets at most, which are then cut evenly.
 BUCKET_ROWS, QUANTILES = 2000, 500
+#: Rows of three numbers that are sent to all executors at most.
+BROADCAST_BUCKETS = 200_000
 
 
 def bucket_of(ids: DataFrame, key: str) -> Column:
@@ -27,8 +31,8 @@ def bucket_of(ids: DataFrame, key: str) -> Column:
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place * within + F.least(F.lit(within - 1), inner)).cast("long")
 
 
-def with_next(df: DataFrame, key: str, tie: str, values: list[str]) -> DataFrame:
-    """df with next_<value> of the row that follows in order of (key, tie); the first row follows the last.
+def with_next(df: DataFrame, key: str, tie: str, values: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """derive(df) with next_<value> of the row that follows in order of (key, tie); the first row follows the last.
 
     Rows are dealt once by bucket. The first row of the next bucket joins each bucket as its end, so no bucket looks beyond itself.
     """
@@ -37,13 +41,17 @@ def with_next(df: DataFrame, key: str, tie: str, values: list[str]) -> DataFrame
     ordered = Window.orderBy("_bucket")  # a row for each bucket
     start = first.agg(F.min("_bucket")).first()[0]
     if start is None:
-        return df.select("*", *(F.col(v).alias(f"next_{v}") for v in values))
+        made = derive(df)
+        return made.select("*", *(F.col(v).alias(f"next_{v}") for v in values))
     follows = first.select("_bucket", "_first", F.lag("_bucket").over(ordered).alias("_before"))
-    last = first.agg(F.max("_bucket")).first()[0]
-    follows = follows.select("_bucket", "_first", F.coalesce("_before", F.lit(last)).alias("_before"))
-    heads = bucketed.join(follows, (bucketed["_bucket"] == follows["_bucket"]) & bucketed[key].eqNullSafe(follows["_first"])).select(follows["_before"].alias("_bucket"), bucketed[tie].alias("_tie"), F.struct(*(bucketed[v] for v in values)).alias("_head"))
-    heads = heads.groupBy("_bucket").agg(F.min_by("_head", F.struct(F.col("_tie").isNotNull(), "_tie")).alias("_head"))
-    rows = bucketed.withColumn("_end", F.lit(0)).unionByName(heads.select("_bucket", F.lit(1).alias("_end"), *(F.col(f"_head.{v}").alias(v) for v in values)), allowMissingColumns=True)
+    last, buckets = first.agg(F.max("_bucket"), F.count(F.lit(1))).first()
+    follows = follows.select(F.col("_bucket").alias("_own"), "_first", F.coalesce("_before", F.lit(last)).alias("_before"))
+    follows = F.broadcast(follows) if buckets <= BROADCAST_BUCKETS else follows
+    # heads are picked before anything is derived from texts
+    heads = bucketed.join(follows, (F.col("_bucket") == F.col("_own")) & bucketed[key].eqNullSafe(F.col("_first")))
+    heads = heads.groupBy(F.col("_before").alias("_bucket")).agg(F.min_by(F.struct(*df.columns), F.struct(F.col(tie).isNotNull(), tie)).alias("_head"))
+    heads = heads.select("_bucket", F.lit(1).alias("_end"), "_head.*")
+    rows = derive(bucketed.withColumn("_end", F.lit(0)).unionByName(heads))
     order = Window.partitionBy("_bucket").orderBy("_end", F.col(key).asc_nulls_first(), F.col(tie).asc_nulls_first())
     led = rows.withColumn("_next", F.lead(F.struct(*values)).over(order)).where("_end = 0")
-    return led.select(*df.columns, *(F.col(f"_next.{v}").alias(f"next_{v}") for v in values))
+    return led.select(*(c for c in rows.columns if c not in ("_bucket", "_end")), *(F.col(f"_next.{v}").alias(f"next_{v}") for v in values))

@@ -81,7 +81,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(with_signatures(rows, "text", "sigs"), "doc_id", "text", ["text", "sigs"])
+    rows = with_next(rows, "doc_id", "text", ["text", "sigs"], lambda df: with_signatures(df, "text", "sigs"))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).drop("next_text")
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited", "sigs", "next_sigs")
     rows = with_signatures(rows, "edited", "new")
