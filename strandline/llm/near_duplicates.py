@@ -35,12 +35,13 @@ BANDS, ROWS, BASE, LARGEST, RATE = 48, 6, 1.001, 65_534, 20.0
 REGISTERS = BANDS * ROWS
 BLOCK = 512
 STAR_ROUNDS = 3
+#: Ids of eight bytes that are sent to all executors at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Standard deviations of the estimate below the threshold at which a candidate goes.
 MARGIN = 6.0
 
 _SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _FACTORS = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_SHIFTS = _SEEDS.astype(np.uint32)
 
 
 def registers(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -53,11 +54,10 @@ def registers(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     y = shingles.astype(np.uint32)
     buffer = np.empty_like(x)
     for i in range(REGISTERS):
-        # a multiplicative permutation of 32 bits, then the upper half stirred into the lower
+        # a multiplicative permutation of one half of the hash, shifted by the other half
         np.multiply(x, _FACTORS[i], out=buffer)
-        buffer += _SHIFTS[i]
-        buffer ^= y
-        np.minimum.reduceat(buffer * _FACTORS[-1 - i], starts, out=least[i])
+        np.bitwise_xor(buffer, y, out=buffer)
+        np.minimum.reduceat(buffer, starts, out=least[i])
     x = -np.log1p(-(least.T.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LARGEST + 1).astype(np.uint16)
 
@@ -151,7 +151,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 own = []
                 for t in (a.as_py(), b.as_py()):
                     if t not in sets:
-                        if held > 8 << 20:
+                        if held > 1 << 19:
                             sets, held = {}, 0
                         sets[t] = word_shingles(t, width)
                         held += len(t)
@@ -222,12 +222,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     spark = docs.sparkSession
     folder, threshold = shared_folder(spark), percent / 100
     sketched = written(sketches(docs, width, key, text), folder, "sketches")
-    reps = sketched.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
-    classes = written(reps.join(sketched.select(F.col("doc_id").alias("rep"), "set_a", "set_b", "n", "regs"), ["set_a", "set_b", "n", "rep"]).dropDuplicates(["set_a", "set_b", "n"]), folder, "classes")
+    # rows of one set have equal registers, so any of them does
+    classes = written(sketched.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), folder, "classes")
     banded = band_keys(classes)
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(banded.join(shared, "key"), folder, "members")
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
+    in_buckets = written(members.select("rep").distinct(), folder, "in-buckets")
+    some = F.broadcast(in_buckets) if in_buckets.count() <= BROADCAST_IDS else in_buckets
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(some, "rep", "left_semi")
+    texts = written(texts, folder, "texts")  # of classes that share a bucket with another one; the rest isn't read again
     links = spark.createDataFrame([], "a long, b long")
     labels = None
 
@@ -241,9 +244,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 
     def confirmed_links(pairs: DataFrame, name: str) -> DataFrame:
         alive = written(pairs, folder, f"{name}-alive")
-        needed = alive.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        own = texts.join(needed, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
-        return written(confirmed(alive, own, width, percent), folder, f"{name}-links")
+        return written(confirmed(alive, texts.dropDuplicates(["rep"]), width, percent), folder, f"{name}-links")
 
     for turn in range(STAR_ROUNDS):
         placed = written(open_members(), folder, f"open-{turn}")

@@ -42,7 +42,7 @@ def documents_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the column `text` of each holds about `size` bytes, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -77,7 +77,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = max(1 << 18, n + n // 4)
         with np.errstate(over="ignore"):
             have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
         _POWERS[base] = have
