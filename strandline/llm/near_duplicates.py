@@ -11,7 +11,7 @@ agree more often the more alike two sets are. Documents are then found in these
    maximum likelihood with the known set sizes, lies far below the threshold go; the rest are confirmed on the full sets of words of
    their texts; components are formed anew. Large groups of copies fall together here with one comparison a member;
 4. a bucket whose members have several components even then is searched fully: in blocks of BLOCK members, each pair of different
-   components by estimate and then by full sets. Blocks bound memory; nothing is capped or dropped.
+   components by estimate, then by whole sets of hashes, and those few by their words. Blocks bound memory; nothing is capped.
 
 A pair at the threshold of 0.8 shares no bucket with a chance of (1 - 0.8^6)^48 < 5e-7, and less above.
 Results: documents without words have an empty set and are linked with nothing; null texts count as empty; each row
@@ -87,9 +87,11 @@ def _alive(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thres
     alive = np.zeros(len(n_a), bool)
     at = np.flatnonzero(fits)
     if len(at):
-        greater, less = (a[at] > b[at]).sum(1), (a[at] < b[at]).sum(1)
         spread = np.sqrt(threshold * (1 - threshold) / REGISTERS)
-        alive[at] = likeness(greater, less, n_a[at].astype(float), n_b[at].astype(float)) >= threshold - MARGIN * spread
+        # registers agree with a chance of the likeness at least: most pairs go by that alone, before the likelihood is maximised
+        at = at[(a[at] == b[at]).sum(1) >= REGISTERS * (threshold - (MARGIN + 1) * spread)]
+        greater, less = (a[at] > b[at]).sum(1), (a[at] < b[at]).sum(1)
+        alive[at] = len(at) and likeness(greater, less, n_a[at].astype(float), n_b[at].astype(float)) >= threshold - MARGIN * spread
     return alive
 
 
@@ -175,15 +177,28 @@ def word_shingles(text: str, width: int) -> frozenset:
     return frozenset(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else frozenset([tuple(words)])
 
 
+def folded_sets(texts: DataFrame, width: int) -> DataFrame:
+    """rep, folded: the sorted shingle hashes of each text (rep, text), cut to 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            shingles, offsets = shingle_sets(batch["text"].to_pylist(), width)
+            high = (shingles >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array([np.unique(high[a:b]).tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["rep", "folded"])
+
+    return texts.mapInArrow(run, "rep long, folded binary")
+
+
 def blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of different components that share a bucket, from members (key, size, rep, component, n, regs)."""
+    """Pairs of different components that share a bucket and whose folded sets reach the threshold, give or take what folding may
+    change, from members (key, size, rep, component, n, regs, folded). No pair leaves a block that its whole sets rule out."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int")
     dealt = (
         members.withColumn("parts", parts)
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "part", "rep", "component", "n", "regs")
+        .select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "part", "rep", "component", "n", "regs", "folded")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +220,19 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
         table = pa.Table.from_batches(held)
         rep, part, component, n = (table[c].to_numpy() for c in ("rep", "part", "component", "n"))
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint32) for x in table["folded"].to_pylist()]
+
+        def reaches(i: int, j: int) -> bool:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return common >= (threshold - 0.01) * (len(sets[i]) + len(sets[j]) - common)
+
         for i in range(len(rep) - 1):
             rest = np.arange(i + 1, len(rep))
             # a block of two parts compares across, a block of one part within
             rest = rest[(component[rest] != component[i]) & ((part[rest] != part[i]) | (part[0] == part[-1]) & (part.min() == part.max()))]
             if len(rest):
                 alive = rest[_alive(np.broadcast_to(regs[i], (len(rest), REGISTERS)), regs[rest], np.full(len(rest), n[i]), n[rest], threshold)]
+                alive = alive[[reaches(i, j) for j in alive]] if len(alive) else alive
                 if len(alive):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[alive])), pa.array(np.maximum(rep[i], rep[alive]))], ["a", "b"])
 
@@ -257,7 +279,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         new = confirmed_links(estimated(pairs, classes, threshold), f"star-{turn}")
         links = written(links.union(new), folder, f"links-{turn}")
         labels = components(links, folder, f"round-{turn}")
-    searched = open_members().join(classes.select("rep", "n", "regs"), "rep")
+    rest_of = written(open_members(), folder, "open-rest")
+    left = rest_of.select("rep").distinct()
+    sets = written(folded_sets(texts.join(left, "rep", "left_semi").dropDuplicates(["rep"]), width), folder, "folded")
+    searched = rest_of.join(classes.select("rep", "n", "regs").join(sets, "rep"), "rep")
     rest = confirmed_links(blocks(searched, threshold), "rest")
     final = components(links.union(rest), folder, "final")
     named = classes.select("set_a", "set_b", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
