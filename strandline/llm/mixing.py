@@ -120,7 +120,7 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list
     return made
 
 
-def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs: float = 1.0, key: str = "doc_id", text: str = "text", steps: int = STEPS) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), p (posteriors in the order of `weights`), rate of every row of docs.
 
     Targets: a domain's weight times `epochs` times all tokens of docs."""
@@ -130,9 +130,9 @@ def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epo
     rows = written(model.sums(own).select("doc_id", "n_tokens", model.posterior(model.temperature).alias("p")), folder, "posteriors")
     total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     scale = sum(weights.values())
-    steps = fit_rates(rows, [weights[d] / scale * epochs * total for d in domains])
+    made = fit_rates(rows, [weights[d] / scale * epochs * total for d in domains], steps)
     domain = F.element_at(F.array(*(F.lit(d) for d in domains)), F.array_position("p", F.array_max("p")).cast("int"))
-    return rows.select("doc_id", "n_tokens", domain.alias("domain"), "p", rate(steps, len(domains)).alias("rate"))
+    return rows.select("doc_id", "n_tokens", domain.alias("domain"), "p", rate(made, len(domains)).alias("rate"))
 
 
 def copies(rate_column: Column, key: Column, at_least: int = 0) -> Column:
@@ -140,9 +140,9 @@ def copies(rate_column: Column, key: Column, at_least: int = 0) -> Column:
     return F.greatest(F.lit(at_least), F.floor(rate_column + uniform("mixing", key))).cast("int")
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs: float = 1.0, at_least: int = 0) -> DataFrame:
+def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs: float = 1.0, at_least: int = 0, steps: int = STEPS) -> DataFrame:
     """The rows of docs, each as often as its rate says, at least `at_least` times; ids must be unique."""
-    taken = mixture(docs, labelled, weights, epochs).groupBy("doc_id").agg(F.max(copies(F.col("rate"), F.col("doc_id"), at_least)).alias("_copies"))
+    taken = mixture(docs, labelled, weights, epochs, steps=steps).groupBy("doc_id").agg(F.max(copies(F.col("rate"), F.col("doc_id"), at_least)).alias("_copies"))
     kept = docs.join(taken.where("_copies > 0"), docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.neighbours import with_next
+from strandline.llm.shared import shared_folder, written
 
 #: Content words of a chain; fewest anchors and words to do without the other chains; characters of those.
 CHAIN, FEW_ANCHORS, FEW_WORDS, CHARACTERS = 3, 8, 6, 4
@@ -49,15 +50,18 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn(own, words(F.coalesce(F.col(text), F.lit(""))))
     # the stretches between anchors; the first comes before any anchor
     df = df.withColumn(at, F.transform(F.split(F.array_join(marked, " "), "\\|"), lambda s: F.filter(F.split(s, " "), lambda w: w != "")))
-    n = F.size(at)
-    chain = lambda i: _int(F.xxhash64(F.lit("anchor"), F.slice(F.flatten(F.slice(F.col(at), i, 3)), 1, CHAIN)))
+    df = df.withColumn(f"_{name}_letters", F.when(F.size(own) < FEW_WORDS, F.split(F.array_join(own, " "), "")))
+    n, letters = F.size(at), F.col(f"_{name}_letters")
     none = F.lit([]).cast("array<bigint>")
-    anchored = F.when(n > 1, F.transform(F.sequence(F.lit(2), n), chain)).otherwise(none)
-    each = F.transform(F.sequence(F.lit(1), F.size(own)), lambda i: _int(F.xxhash64(F.lit("word"), F.slice(F.col(own), i, CHAIN))))
-    joined = F.array_join(own, " ")
-    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(joined) - (CHARACTERS - 1))), lambda i: _int(F.xxhash64(F.lit("letters"), F.substring(joined, i, F.lit(CHARACTERS)))))
-    more = F.when(F.size(own) == 0, none).when(F.size(own) < FEW_WORDS, letters).when(n <= FEW_ANCHORS, each).otherwise(none)
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.concat(anchored, more))).cast("array<int>")).drop(own, at)
+    # elements are taken one by one: slicing a long array copies it, once for each of its elements
+    part = lambda i: F.coalesce(F.get(F.col(at), i), F.lit([]).cast("array<string>"))
+    chain = lambda i: _int(F.xxhash64(F.lit("anchor"), F.slice(F.concat(part(i), part(i + 1), part(i + 2)), 1, CHAIN)))
+    anchored = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), chain)).otherwise(none)
+    run = lambda kind, of, k: lambda i: _int(F.xxhash64(F.lit(kind), *(F.get(of, i + j) for j in range(k))))
+    each = F.transform(F.sequence(F.lit(0), F.size(own) - 1), run("word", F.col(own), CHAIN))
+    spelt = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(letters) - CHARACTERS)), run("letters", letters, CHARACTERS))
+    more = F.when(F.size(own) == 0, none).when(F.size(own) < FEW_WORDS, spelt).when(n <= FEW_ANCHORS, each).otherwise(none)
+    return df.withColumn(name, F.array_sort(F.array_distinct(F.concat(anchored, more))).cast("array<int>")).drop(own, at, f"_{name}_letters")
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -94,7 +98,9 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
 def similar_classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, class_id: the smallest id of its fingerprint) and the pairs (a, b, likeness) of classes that reach the
     threshold. Copies meet in one aggregation; documents without signatures are in no class."""
-    rows = with_signatures(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", "sigs").where(F.size("sigs") > 0)
+    rows = with_signatures(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", "sigs").select("doc_id", "sigs")
+    # a table, as a filter on signatures would be pushed into their own computation
+    rows = written(rows, shared_folder(docs.sparkSession), "signatures").where(F.size("sigs") > 0)
     rows = rows.select("doc_id", "sigs", F.sha2(fingerprint(F.col("sigs")), 256).alias("of"))
     classes = rows.groupBy("of").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs"))
     members = rows.select("doc_id", "of").join(classes.select("of", "class_id"), "of").select("doc_id", "class_id")
