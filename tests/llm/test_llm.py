@@ -248,7 +248,7 @@ def test_licences(documents):
     assert licences.scan_licences(documents.limit(0), TEMPLATES).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, reference):
     import corpus_pipeline
 
     d = "/root/testdata/sf0.001"
@@ -260,3 +260,11 @@ def test_pipeline(spark):
     low = {m for _, m in brute_components(rows, 5, 80).values()}
     assert {r.doc_id for r in kept.collect()} == low
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "mixing", "encoding"]
+    kept = shared.written(kept, shared.shared_folder(spark), "kept")
+    labels = mixing.label_domains(spark.read.parquet(f"{d}/labels.parquet"))
+    rates = {r.doc_id: r.rate for r in mixing.mixture(kept, labels, corpus_pipeline.TARGETS).collect()}
+    draws = {r.doc_id: r.u for r in kept.select("doc_id", shared.uniform("mixing", F.col("doc_id")).alias("u")).collect()}
+    texts = {r.doc_id: r.text or "" for r in kept.collect()}
+    want = sorted((k, reference.encode_ordinary(t)) for k, t in texts.items() for _ in range(max(1, int(rates[k] + draws[k]))))
+    assert corpus_pipeline.mixing(spark, kept, d).columns == docs.columns
+    assert sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, d).collect()) == want
