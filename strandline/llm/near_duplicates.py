@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.components import components
+from strandline.llm.components import grown_components
 from strandline.llm.shared import bounded_batches, mixed, shared_folder, shingle_sets, text_batches, written
 
 #: Bands and registers a band; base and largest value of registers (two bytes each), rate of the exponential hashes.
@@ -252,39 +252,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     in_buckets = written(members.select("rep").distinct(), folder, "in-buckets")
     some = F.broadcast(in_buckets) if in_buckets.count() <= BROADCAST_IDS else in_buckets
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(some, "rep", "left_semi")
-    texts = written(texts, folder, "texts")  # of classes that share a bucket with another one; the rest isn't read again
-    links = spark.createDataFrame([], "a long, b long")
-    labels = None
-
-    def open_members() -> DataFrame:
-        """Members of buckets in which there are several components still, with their component."""
-        placed = members.withColumn("component", F.col("rep"))
-        if labels is not None:
-            placed = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # of classes that share a bucket with another one, one text for each id; the rest isn't read again
+    texts = written(texts.dropDuplicates(["rep"]), folder, "texts")
+
+    def still_open(placed: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """Members of buckets in which there are several components still; components only grow, so no bucket opens again."""
+        placed = placed.drop("component").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return placed.join(several, "key")
+        return written(placed.join(several, "key"), folder, name)
 
     def confirmed_links(pairs: DataFrame, name: str) -> DataFrame:
         alive = written(pairs, folder, f"{name}-alive")
-        return written(confirmed(alive, texts.dropDuplicates(["rep"]), width, percent), folder, f"{name}-links")
+        return written(confirmed(alive, texts, width, percent), folder, f"{name}-links")
 
+    placed, labels = members.withColumn("component", F.col("rep")), None
     for turn in range(STAR_ROUNDS):
-        placed = written(open_members(), folder, f"open-{turn}")
         order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", F.lit(turn)), "rep", "component")
         centres = placed.groupBy("key").agg(F.min(order).alias("centre")).select("key", F.col("centre.rep").alias("centre"), F.col("centre.component").alias("centre_component"))
         wanted = placed.join(centres, "key").where("component <> centre_component")
         # one candidate for each member: texts move once a round, however many buckets a member is in
         chosen = wanted.groupBy("rep").agg(F.min(F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", "centre", F.lit(turn)), "centre"))["centre"].alias("centre"))
         pairs = chosen.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        new = confirmed_links(estimated(pairs, classes, threshold), f"star-{turn}")
-        links = written(links.union(new), folder, f"links-{turn}")
-        labels = components(links, folder, f"round-{turn}")
-    rest_of = written(open_members(), folder, "open-rest")
-    left = rest_of.select("rep").distinct()
-    sets = written(folded_sets(texts.join(left, "rep", "left_semi").dropDuplicates(["rep"]), width), folder, "folded")
-    searched = rest_of.join(classes.select("rep", "n", "regs").join(sets, "rep"), "rep")
-    rest = confirmed_links(blocks(searched, threshold), "rest")
-    final = components(links.union(rest), folder, "final")
+        labels = grown_components(labels, confirmed_links(estimated(pairs, classes, threshold), f"star-{turn}"), folder, f"round-{turn}")
+        placed = still_open(placed, labels, f"open-{turn}")
+    left = placed.select("rep").distinct()
+    sets = written(folded_sets(texts.join(left, "rep", "left_semi"), width), folder, "folded")
+    searched = placed.join(classes.select("rep", "n", "regs").join(sets, "rep"), "rep")
+    final = grown_components(labels, confirmed_links(blocks(searched, threshold), "rest"), folder, "final")
     named = classes.select("set_a", "set_b", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
     out = sketched.drop("regs").join(named, ["set_a", "set_b", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
