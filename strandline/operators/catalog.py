@@ -110,3 +110,27 @@ def one_projection(df: DataFrame, site: str, zone: str, ts: str, order: str) ->
         return pdf[columns]
 
     return kept.select(*columns, "_zones", F.col(site).alias("_site")).groupBy("_site").applyInPandas(thinned, df.schema)
+
+
+def without_contained(df: DataFrame, same: list[str], order: list[str]) -> DataFrame:
+    """Of scenes with equal `same`, the first whose footprint (x_min, x_max, y_min, y_max) holds all others' stays alone; where none
+    does, all stay. A footprint holds all others when it is the envelope of them."""
+    group = Window.partitionBy(*same)
+    holds = (F.col("x_min") <= F.min("x_min").over(group)) & (F.col("x_max") >= F.max("x_max").over(group)) & (F.col("y_min") <= F.min("y_min").over(group)) & (F.col("y_max") >= F.max("y_max").over(group))
+    own = df.withColumn("_holds", F.coalesce(holds, F.lit(False)))
+    own = own.withColumn("_place", F.row_number().over(Window.partitionBy(*same).orderBy(F.col("_holds").desc(), *order))).withColumn("_any", F.max("_holds").over(group))
+    return own.where(~F.col("_any") | (F.col("_place") == 1)).drop("_holds", "_place", "_any")
+
+
+def merge_plan(df: DataFrame, site: list[str], ts: str, order: list[str], key: str, seconds: int = 300, most: int = 3) -> DataFrame:
+    """df with first (the key of the scene that opens its run), place in the run and action.
+
+    A run is a chain of scenes of which each follows the last within `seconds`. The first is the base, the next up to `most` scenes in
+    all are merged into it and later ones dropped; a scene with no follower is single."""
+    w = Window.partitionBy(*site).orderBy(ts, *order)
+    opens = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w) > seconds * 1_000_000, F.lit(True))
+    own = df.withColumn("_opens", opens).withColumn("_run", F.sum(F.col("_opens").cast("int")).over(w))
+    run = Window.partitionBy(*site, "_run").orderBy(ts, *order)
+    own = own.withColumn("first", F.first(key).over(run)).withColumn("place", F.row_number().over(run)).withColumn("_follower", F.lead(key).over(run))
+    action = F.when((F.col("place") == 1) & F.col("_follower").isNull(), "single").when(F.col("place") == 1, "base").when(F.col("place") <= most, "merge").otherwise("drop")
+    return own.withColumn("action", action).drop("_opens", "_run", "_follower")

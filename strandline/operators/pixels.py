@@ -158,3 +158,60 @@ def nearest_resampled(df: DataFrame, by: list[str], factor: int) -> DataFrame:
     k = F.explode(F.sequence(F.lit(0), F.lit(factor * factor - 1)))
     own = df.withColumn("_k", k)
     return own.withColumn("r", F.col("r") * factor + F.floor(F.col("_k") / factor).cast("int")).withColumn("c", F.col("c") * factor + F.col("_k") % factor).drop("_k")
+
+
+def reference_buffer(df: DataFrame, by: list[str], points: DataFrame, radius: int, name: str = "near") -> DataFrame:
+    """Whether a pixel lies within `radius` pixels of a reference point (row, col); without a reference every pixel does.
+
+    Points beyond the first row and column or the scene count for nothing. Each pixel hit is spread over a disk once, so the work
+    follows the reference's pixels and not their pairs with the scene's."""
+    hit = points.select(*by, F.floor("row").cast("int").alias("_r"), F.floor("col").cast("int").alias("_c")).where("_r > 0 and _c > 0").distinct()
+    hit = hit.join(df.select(*by, F.col("r").alias("_r"), F.col("c").alias("_c")), [*by, "_r", "_c"], "left_semi")
+    disk = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if dr * dr + dc * dc <= radius * radius]
+    offsets = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in disk))).alias("_o")
+    spread = hit.select(*by, "_r", "_c", offsets).select(*by, (F.col("_r") + F.col("_o.dr")).alias("r"), (F.col("_c") + F.col("_o.dc")).alias("c"), F.lit(True).alias("_hit")).distinct()
+    if points.isEmpty():
+        return df.withColumn(name, F.lit(True))
+    return df.join(spread, [*by, "r", "c"], "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def bilinear_resampled(df: DataFrame, by: list[str], value: str, rows: str, cols: str, factor: int) -> DataFrame:
+    """by, r, c, value of each pixel as factor x factor pixels, linear between the centres of pixels and held at the edges.
+
+    Each pixel sends its share to the pixels that see it, and shares are summed before the shuffle; NULLs are left out of the mean."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(4 * factor * factor - 1)))
+    at = lambda c, step: F.col(c) * factor - F.lit(factor // 2) + step
+    sent = df.where(F.col(value).isNotNull()).withColumn("_k", k)
+    sent = sent.withColumn("_y", at("r", F.floor(F.col("_k") / (2 * factor)).cast("int"))).withColumn("_x", at("c", F.col("_k") % (2 * factor)))
+    sent = sent.where(F.col("_y").between(0, F.col(rows) * factor - 1) & F.col("_x").between(0, F.col(cols) * factor - 1))
+
+    def share(own: str, out: str, size: str) -> Column:
+        centre = F.least(F.greatest((F.col(out) + 0.5) / factor - 0.5, F.lit(0.0)), F.col(size) - 1)
+        return F.greatest(F.lit(0.0), 1 - F.abs(centre - F.col(own)))
+
+    sent = sent.withColumn("_w", share("r", "_y", rows) * share("c", "_x", cols)).where("_w > 0")
+    mean = F.sum(F.col("_w") * F.col(value)) / F.sum("_w")
+    return sent.groupBy(*by, F.col("_y").alias("r"), F.col("_x").alias("c")).agg(mean.alias(value))
+
+
+def edge_artefacts(df: DataFrame, by: list[str], value: str, rows: str, cols: str, least: float = 1e-6, name: str = "artefact") -> DataFrame:
+    """Pixels of a flat or unknown neighbourhood, and the pixels next to them. Only flagged pixels are spread."""
+    flat = local_std(df, by, value, rows, cols, "_std").where(F.col("_std").isNull() | (F.col("_std") < least))
+    offsets = F.explode(F.expr("transform(sequence(0, 8), k -> struct(cast(k div 3 - 1 as int) as dr, cast(k % 3 - 1 as int) as dc))")).alias("_o")
+    spread = flat.select(*by, "r", "c", offsets).select(*by, (F.col("r") + F.col("_o.dr")).alias("r"), (F.col("c") + F.col("_o.dc")).alias("c")).distinct()
+    return df.join(spread.withColumn("_hit", F.lit(True)), [*by, "r", "c"], "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def rectangle(df: DataFrame, by: list[str], x: Column, y: Column, whole: bool = False) -> DataFrame:
+    """The smallest upright rectangle around points; `whole` rounds it outwards to whole units, as for pixels to be read."""
+    low, high = (F.floor, F.ceil) if whole else (lambda c: c, lambda c: c)
+    return df.groupBy(*by).agg(low(F.min(x)).alias("x_min"), high(F.max(x)).alias("x_max"), low(F.min(y)).alias("y_min"), high(F.max(y)).alias("y_max"))
+
+
+def densified(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, x, y: a point every unit along each segment of lines of points (x, y) in order, the segment's end left out."""
+    w = Window.partitionBy(*by).orderBy(order)
+    dx, dy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
+    own = df.withColumn("_dx", dx).withColumn("_dy", dy).withColumn("_d", F.hypot("_dx", "_dy")).where("_d > 0")
+    own = own.withColumn("_k", F.explode(F.sequence(F.lit(0), F.ceil("_d").cast("int") - 1)))
+    return own.select(*by, (F.col("x") + F.col("_k") * F.col("_dx") / F.col("_d")).alias("x"), (F.col("y") + F.col("_k") * F.col("_dy") / F.col("_d")).alias("y"))

@@ -359,3 +359,92 @@ def area_filter(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
     e = e.where("x <> 20 and y <> 10")  # points on the ring's lower edges count as outside
     return pixels.within_area(e, ["user_id"], [ring]).select("event_id")
+
+
+@query(_GRID + """, p AS (SELECT DISTINCT CAST(event_id % 500 AS INTEGER) AS r, CAST(event_id * 13 % 64 AS INTEGER) AS c FROM events WHERE event_id % 40 = 0)
+SELECT r, c, EXISTS (SELECT 1 FROM p WHERE p.r > 0 AND p.c > 0 AND (p.r - g.r) ** 2 + (p.c - g.c) ** 2 <= 9) AS near FROM g""")
+def reference_buffer(spark, d):
+    p = table(spark, d, "events").where("event_id % 40 = 0").select((F.col("event_id") % 500 + 0.5).alias("row"), (F.col("event_id") * 13 % 64 + 0.5).alias("col"))
+    return pixels.reference_buffer(grid(spark, d), [], p, 3).select("r", "c", "near")
+
+
+def sized_grid(spark, d) -> DataFrame:
+    rows = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return grid(spark, d).withColumn("rows", F.lit(int(rows))).withColumn("cols", F.lit(64))
+
+
+@query(_GRID + """, n AS (SELECT max(r) + 1 AS rows FROM g), k AS (SELECT unnest(range(2)) AS k),
+t AS (SELECT CAST(g.r * 2 + i.k AS INTEGER) AS r, CAST(g.c * 2 + j.k AS INTEGER) AS c FROM g, k i, k j),
+y AS (SELECT r, c, least(greatest((r + 0.5::DOUBLE) / 2 - 0.5, 0), rows - 1) AS y, least(greatest((c + 0.5::DOUBLE) / 2 - 0.5, 0), 63) AS x FROM t, n),
+w AS (SELECT y.r, y.c, CAST(floor(y) + i.k AS INTEGER) AS sr, CAST(floor(x) + j.k AS INTEGER) AS sc, (1 - abs(y - floor(y) - i.k)) * (1 - abs(x - floor(x) - j.k)) AS w FROM y, k i, k j)
+SELECT w.r, w.c, round(sum(w * v) / sum(w), 6) AS v FROM w JOIN g ON g.r = sr AND g.c = sc WHERE w > 0 GROUP BY ALL""")
+def bilinear_resample(spark, d):
+    return pixels.bilinear_resampled(sized_grid(spark, d), [], "v", "rows", "cols", 2).select("r", "c", r6(F.col("v"), "v"))
+
+
+@query(_GRID + """, f AS (SELECT r, c, CASE WHEN r % 50 < 10 AND c < 8 THEN 1 ELSE v END AS v FROM g), n AS (SELECT max(r) + 1 AS rows, 64 AS cols FROM g), o AS (SELECT CAST(unnest(range(-1, 2)) AS INTEGER) AS k),
+s AS (SELECT a.r, a.c, CASE WHEN a.r + i.k < 0 THEN 1 WHEN a.r + i.k >= rows THEN rows - 2 ELSE a.r + i.k END AS rr, CASE WHEN a.c + j.k < 0 THEN 1 WHEN a.c + j.k >= cols THEN cols - 2 ELSE a.c + j.k END AS cc FROM f a, n, o i, o j),
+z AS (SELECT s.r, s.c FROM s JOIN f b ON b.r = s.rr AND b.c = s.cc GROUP BY ALL HAVING sqrt(greatest(0, avg(b.v * b.v) - avg(b.v) ** 2)) < 1e-6),
+m AS (SELECT DISTINCT z.r + i.k AS r, z.c + j.k AS c FROM z, o i, o j)
+SELECT f.r, f.c, m.r IS NOT NULL AS artefact FROM f LEFT JOIN m ON m.r = f.r AND m.c = f.c""")
+def edge_artefacts(spark, d):
+    g = sized_grid(spark, d).withColumn("v", F.when((F.col("r") % 50 < 10) & (F.col("c") < 8), 1.0).otherwise(F.col("v")))
+    return pixels.edge_artefacts(g, [], "v", "rows", "cols").select("r", "c", "artefact")
+
+
+@query("""SELECT user_id, CAST(floor(min((value - 10) / 2)) AS BIGINT) AS x_min, CAST(ceil(max((value - 10) / 2)) AS BIGINT) AS x_max,
+CAST(floor(min((event_id % 1000 - 1000) / -2)) AS BIGINT) AS y_min, CAST(ceil(max((event_id % 1000 - 1000) / -2)) AS BIGINT) AS y_max FROM events GROUP BY user_id""")
+def pixel_rectangles(spark, d):
+    col, row = scalar.world_to_pix(F.col("value"), (F.col("event_id") % 1000).cast("double"), [10, 2, 0, 1000, 0, -2])
+    return pixels.rectangle(table(spark, d, "events"), ["user_id"], col, row, whole=True)
+
+
+@query("""WITH s AS (SELECT user_id, value AS x, CAST(event_id % 50 AS DOUBLE) AS y, lead(value) OVER w - value AS dx, lead(CAST(event_id % 50 AS DOUBLE)) OVER w - event_id % 50 AS dy FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT user_id, x, y, dx, dy, sqrt(dx * dx + dy * dy) AS d FROM s), e AS (SELECT *, unnest(range(CAST(ceil(d) AS BIGINT))) AS k FROM k WHERE d > 0)
+SELECT user_id, count(*) AS n, round(avg(x + k * dx / d), 4) AS x, round(avg(y + k * dy / d), 4) AS y FROM e GROUP BY user_id""")
+def densified_lines(spark, d):
+    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("o"), F.col("value").alias("x"), (F.col("event_id") % 50).cast("double").alias("y"))
+    return pixels.densified(e, ["user_id"], "o").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 4).alias("x"), F.round(F.avg("y"), 4).alias("y"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_quantity AS x0, l_quantity + l_tax * 500 AS x1, l_discount AS y0, l_discount + l_tax AS y1 FROM lineitem),
+h AS (SELECT *, x0 <= min(x0) OVER g AND x1 >= max(x1) OVER g AND y0 <= min(y0) OVER g AND y1 >= max(y1) OVER g AS holds FROM s WINDOW g AS (PARTITION BY l_suppkey, l_shipdate)),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY holds DESC, l_orderkey, l_linenumber) AS place, bool_or(holds) OVER (PARTITION BY l_suppkey, l_shipdate) AS held FROM h)
+SELECT l_orderkey, l_linenumber FROM r WHERE NOT held OR place = 1""")
+def contained_footprints(spark, d):
+    s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", F.col("l_quantity").alias("x_min"), (F.col("l_quantity") + F.col("l_tax") * 500).alias("x_max"), F.col("l_discount").alias("y_min"), (F.col("l_discount") + F.col("l_tax")).alias("y_max"))
+    return catalog.without_contained(s, ["l_suppkey", "l_shipdate"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH o AS (SELECT event_id, user_id % 10 AS site, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 300000000, TRUE) AS opens FROM events WINDOW w AS (PARTITION BY user_id % 10 ORDER BY ts, event_id)),
+u AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY site ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o),
+p AS (SELECT event_id, first_value(event_id) OVER w AS first, CAST(row_number() OVER w AS INTEGER) AS place, lead(event_id) OVER w AS follower FROM u WINDOW w AS (PARTITION BY site, run ORDER BY ts, event_id))
+SELECT event_id, first, place, CASE WHEN place = 1 AND follower IS NULL THEN 'single' WHEN place = 1 THEN 'base' WHEN place <= 3 THEN 'merge' ELSE 'drop' END AS action FROM p""")
+def merge_plan(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("site"), "ts")
+    return catalog.merge_plan(e, ["site"], "ts", ["event_id"], "event_id").select("event_id", "first", "place", "action")
+
+
+@query("""SELECT event_id, CAST(event_id AS VARCHAR) || CASE WHEN event_id % 100 BETWEEN 11 AND 13 THEN 'th' WHEN event_id % 10 = 1 THEN 'st' WHEN event_id % 10 = 2 THEN 'nd' WHEN event_id % 10 = 3 THEN 'rd' ELSE 'th' END AS nth,
+strftime(ts, '%Y-%m-%d-%H-%M-%S') || '_L8_' || event_type || '_ms.tif' AS name, epoch_us(date_trunc('second', ts)) AS at FROM events""")
+def scene_names(spark, d):
+    e = table(spark, d, "events").withColumn("name", scalar.filename(F.col("ts"), F.lit("L8"), F.col("event_type"), F.lit("ms")))
+    return e.select("event_id", scalar.ordinal(F.col("event_id")).alias("nth"), "name", F.unix_micros(scalar.date_of_filename(F.col("name")).cast("timestamp")).alias("at"))
+
+
+@query("""SELECT l_suppkey, round(c0 + (25.5 - e0) / (e1 - e0) * (c1 - c0), 6) AS position FROM (SELECT l_suppkey, max(l_quantity) FILTER (WHERE l_quantity < 25.5) AS e0, min(l_quantity) FILTER (WHERE l_quantity > 25.5) AS e1,
+max(l_extendedprice) FILTER (WHERE l_quantity = lo) AS c0, min(l_extendedprice) FILTER (WHERE l_quantity = hi) AS c1
+FROM (SELECT *, max(l_quantity) FILTER (WHERE l_quantity < 25.5) OVER (PARTITION BY l_suppkey) AS lo, min(l_quantity) FILTER (WHERE l_quantity > 25.5) OVER (PARTITION BY l_suppkey) AS hi FROM lineitem) GROUP BY l_suppkey)""")
+def survey_contour(spark, d):
+    return series.contour_position(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 25.5).select("l_suppkey", r6(F.col("position"), "position"))
+
+
+@query("SELECT event_id, round(radians(event_id % 360 - 180) * 6378137, 3) AS x, round(ln(tan(0.7853981633974483 + radians(event_id % 160 - 80) / 2)) * 6378137, 3) AS y FROM events")
+def web_mercator(spark, d):
+    x, y = scalar.lonlat_to_mercator(F.col("event_id") % 360 - 180, F.col("event_id") % 160 - 80)
+    return table(spark, d, "events").select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query()
+def class_subsample(spark, d):
+    return validation.subsample(table(spark, d, "events").select("event_id", "event_type"), "event_type", F.col("event_id"), 5000)

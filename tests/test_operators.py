@@ -199,3 +199,48 @@ def test_chain(spark):
     tides = spark.createDataFrame([("site", T0, 0.8)], "site string, ts timestamp, tide double")
     (row,) = corrected_series(s, lines, tides).collect()
     assert row.scene_id == "a" and abs(row.chainage - 53.0) < 1e-9
+
+
+def test_merge_plan_chains_and_drops(spark):
+    at = [0, 200, 400, 600, 1000, 1301]  # five minutes at most between neighbours: a run of four, then two alone
+    df = spark.createDataFrame([("a", k, datetime(2020, 1, 1) + timedelta(seconds=s)) for k, s in enumerate(at)], "site string, id int, ts timestamp")
+    got = {r.id: (r.first, r.place, r.action) for r in catalog.merge_plan(df, ["site"], "ts", ["id"], "id").collect()}
+    assert got == {0: (0, 1, "base"), 1: (0, 2, "merge"), 2: (0, 3, "merge"), 3: (0, 4, "drop"), 4: (4, 1, "single"), 5: (5, 1, "single")}
+    assert catalog.merge_plan(df.limit(0), ["site"], "ts", ["id"], "id").count() == 0
+
+
+def test_contained_footprints(spark):
+    rows = [(1, 0, 0.0, 9.0, 0.0, 9.0), (1, 1, 1.0, 2.0, 1.0, 2.0), (1, 2, 0.0, 9.0, 0.0, 9.0), (2, 3, 0.0, 2.0, 0.0, 2.0), (2, 4, 1.0, 3.0, 1.0, 3.0), (3, 5, None, 1.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "ts int, id int, x_min double, x_max double, y_min double, y_max double")
+    assert sorted(r.id for r in catalog.without_contained(df, ["ts"], ["id"]).collect()) == [0, 3, 4, 5]
+
+
+def test_bilinear_skips_unknown_pixels(spark):
+    cells = [(0, 0, 0.0), (0, 1, 4.0), (1, 0, None), (1, 1, 8.0)]
+    df = spark.createDataFrame(cells, "r int, c int, v double").withColumn("rows", F.lit(2)).withColumn("cols", F.lit(2))
+    got = {(r.r, r.c): r.v for r in pixels.bilinear_resampled(df, [], "v", "rows", "cols", 2).collect()}
+    assert got[0, 0] == 0 and got[0, 1] == pytest.approx(1) and got[3, 3] == 8 and (3, 0) not in got
+    assert got[1, 1] == pytest.approx((0.5625 * 0 + 0.1875 * 4 + 0.0625 * 8) / 0.8125)
+
+
+@pytest.mark.parametrize("factor", [1, 2, 3])
+def test_bilinear_of_a_plane_is_the_plane(spark, factor):
+    df = spark.createDataFrame([(r, c, 3.0 * r - c) for r in range(4) for c in range(5)], "r int, c int, v double").withColumn("rows", F.lit(4)).withColumn("cols", F.lit(5))
+    got = {(r.r, r.c): r.v for r in pixels.bilinear_resampled(df, [], "v", "rows", "cols", factor).collect()}
+    held = lambda k, n: min(max((k + 0.5) / factor - 0.5, 0), n - 1)
+    want = {(r, c): 3 * held(r, 4) - held(c, 5) for r in range(4 * factor) for c in range(5 * factor)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_buffer_without_reference_is_everywhere(spark):
+    df = spark.createDataFrame([(0, 0), (5, 5)], "r int, c int")
+    points = spark.createDataFrame([(4.9, 5.2), (0.5, 0.5), (99.0, 99.0)], "row double, col double")
+    assert {(r.r, r.near) for r in pixels.reference_buffer(df, [], points.limit(0), 2).collect()} == {(0, True), (5, True)}
+    assert not any(r.near for r in pixels.reference_buffer(df, [], points, 2).collect())  # neither hits a pixel of the scene past the edge
+    near = pixels.reference_buffer(df.union(df.select(F.col("r") - 1, F.col("c"))), [], points, 2)
+    assert {(r.r, r.near) for r in near.collect()} == {(-1, False), (0, False), (4, True), (5, True)}
+
+
+def test_densified_leaves_the_end_out(spark):
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.5, 0.0), (1, 2, 2.5, 0.0), (2, 0, 1.0, 1.0)], "line int, k int, x double, y double")
+    assert sorted((r.line, r.x, r.y) for r in pixels.densified(df, ["line"], "k").collect()) == [(1, 0.0, 0.0), (1, 1.0, 0.0), (1, 2.0, 0.0)]
