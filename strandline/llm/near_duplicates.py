@@ -6,12 +6,13 @@ agree more often the more alike two sets are. Documents are then found in these
 
 1. documents with the same set are one class (its smallest id stands for it), so copies meet in one aggregation only;
 2. each class goes into BANDS buckets by ROWS registers each;
-3. STAR_ROUNDS times: every bucket that still has members of several components has one centre, and each class becomes a candidate
+3. STAR_ROUNDS times at most, and no further than a round closes a tenth of what is open: every bucket that still has members of several components has one centre, and each class becomes a candidate
    with one centre of another component among its buckets. Candidates whose likeness, estimated from all registers jointly by
    maximum likelihood with the known set sizes, lies far below the threshold go; the rest are confirmed on the full sets of words of
    their texts; components are formed anew. Large groups of copies fall together here with one comparison a member;
 4. a bucket whose members have several components even then is searched fully: in blocks of BLOCK members, each pair of different
-   components by estimate, then by whole sets of hashes, and those few by their words. Blocks bound memory; nothing is capped.
+   components by estimate, then by whole sets of hashes, and those few by their words. A pair is compared in the first bucket it
+   shares alone: were that one closed, both would be of one component. Blocks bound memory; nothing is capped.
 
 A pair at the threshold of 0.8 shares no bucket with a chance of (1 - 0.8^6)^48 < 5e-7, and less above.
 Results: documents without words have an empty set and are linked with nothing; null texts count as empty; each row
@@ -34,7 +35,11 @@ from strandline.llm.shared import bounded_batches, mixed, shared_folder, shingle
 BANDS, ROWS, BASE, LARGEST, RATE = 48, 6, 1.001, 65_534, 20.0
 REGISTERS = BANDS * ROWS
 BLOCK = 512
+#: Pairs of a block whose likelihood is maximised at once, at least.
+PAIRS = 8192
 STAR_ROUNDS = 3
+#: Rounds end when one leaves more than this share of the open places open: what is left then are pairs that aren't alike.
+WORTHWHILE = 0.9
 #: Ids of eight bytes that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Standard deviations of the estimate below the threshold at which a candidate goes.
@@ -81,6 +86,11 @@ def likeness(greater: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.nda
     return (low + high) / 2
 
 
+def _least_equal(threshold: float) -> float:
+    """Registers that agree in every pair that may reach the threshold."""
+    return REGISTERS * (threshold - (MARGIN + 1) * np.sqrt(threshold * (1 - threshold) / REGISTERS))
+
+
 def _alive(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of register rows may reach the threshold."""
     fits = np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9
@@ -89,7 +99,7 @@ def _alive(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thres
     if len(at):
         spread = np.sqrt(threshold * (1 - threshold) / REGISTERS)
         # registers agree with a chance of the likeness at least: most pairs go by that alone, before the likelihood is maximised
-        at = at[(a[at] == b[at]).sum(1) >= REGISTERS * (threshold - (MARGIN + 1) * spread)]
+        at = at[np.count_nonzero(a[at] == b[at], axis=1) >= _least_equal(threshold)]
         greater, less = (a[at] > b[at]).sum(1), (a[at] < b[at]).sum(1)
         alive[at] = len(at) and likeness(greater, less, n_a[at].astype(float), n_b[at].astype(float)) >= threshold - MARGIN * spread
     return alive
@@ -120,10 +130,10 @@ def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """rep, key: a row for each class and band."""
+    """rep, band, key: a row for each class and band."""
     bytes_a_band = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("regs"), k * bytes_a_band + 1, F.lit(bytes_a_band))))
-    return classes.select("rep", F.explode(keys).alias("key"))
+    return classes.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -191,14 +201,15 @@ def folded_sets(texts: DataFrame, width: int) -> DataFrame:
 
 def blocks(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different components that share a bucket and whose folded sets reach the threshold, give or take what folding may
-    change, from members (key, size, rep, component, n, regs, folded). No pair leaves a block that its whole sets rule out."""
+    change, from members (key, band, size, rep, component, n, regs, folded). No pair leaves a block that its whole sets rule out, and
+    each leaves the block of the first band it shares, once."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int")
     dealt = (
         members.withColumn("parts", parts)
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "part", "rep", "component", "n", "regs", "folded")
+        .select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "band", "part", "rep", "component", "n", "regs", "folded")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +227,11 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield from pairs_within(held)
 
+    least_equal = _least_equal(threshold)
+
     def pairs_within(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
-        rep, part, component, n = (table[c].to_numpy() for c in ("rep", "part", "component", "n"))
+        band, rep, part, component, n = (table[c].to_numpy() for c in ("band", "rep", "part", "component", "n"))
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
         sets = [np.frombuffer(x, np.uint32) for x in table["folded"].to_pylist()]
 
@@ -226,17 +239,29 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             return common >= (threshold - 0.01) * (len(sets[i]) + len(sets[j]) - common)
 
+        chosen, waiting = [], 0
         for i in range(len(rep) - 1):
             rest = np.arange(i + 1, len(rep))
             # a block of two parts compares across, a block of one part within
             rest = rest[(component[rest] != component[i]) & ((part[rest] != part[i]) | (part[0] == part[-1]) & (part.min() == part.max()))]
+            rest = rest[np.minimum(n[i], n[rest]) >= threshold * np.maximum(n[i], n[rest]) - 1e-9]
+            equal = regs[rest] == regs[i]
+            near = np.count_nonzero(equal, axis=1) >= least_equal
+            rest, equal = rest[near], equal[near]
+            rest = rest[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[0]]
             if len(rest):
-                alive = rest[_alive(np.broadcast_to(regs[i], (len(rest), REGISTERS)), regs[rest], np.full(len(rest), n[i]), n[rest], threshold)]
-                alive = alive[[reaches(i, j) for j in alive]] if len(alive) else alive
+                chosen.append((np.full(len(rest), i), rest))
+                waiting += len(rest)
+            if waiting >= PAIRS or waiting and i == len(rep) - 2:
+                x, y = (np.concatenate(side) for side in zip(*chosen, strict=True))
+                alive = np.flatnonzero(_alive(regs[x], regs[y], n[x], n[y], threshold))
+                alive = alive[[reaches(x[k], y[k]) for k in alive]] if len(alive) else alive
                 if len(alive):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[alive])), pa.array(np.maximum(rep[i], rep[alive]))], ["a", "b"])
+                    a, b = rep[x[alive]], rep[y[alive]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                chosen, waiting = [], 0
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,19 +287,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         return written(placed.join(several, "key"), folder, name)
 
     def confirmed_links(pairs: DataFrame, name: str) -> DataFrame:
-        alive = written(pairs, folder, f"{name}-alive")
-        return written(confirmed(alive, texts, width, percent), folder, f"{name}-links")
+        return written(confirmed(pairs, texts, width, percent), folder, f"{name}-links")
 
-    placed, labels = members.withColumn("component", F.col("rep")), None
+    placed, labels, places = members.withColumn("component", F.col("rep")), None, members.count()
     for turn in range(STAR_ROUNDS):
         order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", F.lit(turn)), "rep", "component")
         centres = placed.groupBy("key").agg(F.min(order).alias("centre")).select("key", F.col("centre.rep").alias("centre"), F.col("centre.component").alias("centre_component"))
         wanted = placed.join(centres, "key").where("component <> centre_component")
         # one candidate for each member: texts move once a round, however many buckets a member is in
         chosen = wanted.groupBy("rep").agg(F.min(F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", "centre", F.lit(turn)), "centre"))["centre"].alias("centre"))
-        pairs = chosen.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        # dealt by rep already; two that chose each other make one link twice
+        pairs = chosen.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
         labels = grown_components(labels, confirmed_links(estimated(pairs, classes, threshold), f"star-{turn}"), folder, f"round-{turn}")
-        placed = still_open(placed, labels, f"open-{turn}")
+        placed, before = still_open(placed, labels, f"open-{turn}"), places
+        places = placed.count()
+        if places > WORTHWHILE * before:
+            break
     left = placed.select("rep").distinct()
     sets = written(folded_sets(texts.join(left, "rep", "left_semi"), width), folder, "folded")
     searched = placed.join(classes.select("rep", "n", "regs").join(sets, "rep"), "rep")
