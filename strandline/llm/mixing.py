@@ -7,6 +7,9 @@ totals. Distances are weighted by the inverse of sum_i n_i p_i p_i' / sum_i n_i,
 the token counts: there no step of length 1 overshoots, and while no rate is held at 0 a single one arrives. A step is one aggregate over (n, p) rows: a few sums come to the driver, and a rate is folded from the
 steps' vectors where it is needed, so nothing is kept for a document but its row.
 
+Weights that are `Repeated` are reached by repeating alone: rates are at least 1, and the total grows as far as the shares ask for. Of
+all such rates those are taken that differ least from 1: 1 + max(0, v (p - w)) for shares w and one vector v, found by Newton steps.
+
 Results: null and empty texts have no tokens and the prior as posterior; repeated rows are documents of their own; an empty table
 gives an empty one; a domain without labelled rows has no posterior and its target can't be met; targets needn't sum to one.
 Bound: at most about MAX_LABELLED labelled rows are counted, taken by a hash of their ids. Weights have BUCKETS rows.
@@ -26,6 +29,12 @@ from strandline.llm.shared import shared_folder, uniform, written
 BUCKETS, MAX_LABELLED, SMOOTHING = 1 << 14, 20_000, 0.5
 TEMPERATURES = (0.0, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)
 STEPS, TOLERANCE = 60, 1e-7
+#: Shares that no repeating reaches (no text is likely enough to be of a domain) are left short instead of repeating a few texts endlessly.
+RIDGE = 1e-6
+
+
+class Repeated(dict):
+    """Weights of domains that are reached by repeating documents: no rate is below 1."""
 
 
 def _words(text: Column) -> Column:
@@ -120,19 +129,63 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list
     return made
 
 
+def fit_repeats(rows: DataFrame, shares: list[float], steps: int = STEPS) -> list[float]:
+    """v of the rates 1 + max(0, v (p - shares)) that bring sum n p r to `shares` of sum n r, from rows (n_tokens, p).
+
+    v is where the convex sum n (max(0, v q)^2 / 2 + v q) / sum n + RIDGE v^2 / 2 for q = p - shares is least."""
+    size = len(shares)
+    n = F.col("n_tokens").cast("double")
+    q = [F.col("p")[k] - F.lit(float(shares[k])) for k in range(size)]
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        along = _dot(F.array(*q), [F.lit(float(x)) for x in v], size)
+        over = F.greatest(F.lit(0.0), along)
+        # at 0 every row is on the edge; the rows that a first step moves are those that lie along it
+        on = along > 0 if v.any() else _dot(F.array(*q), [F.lit(float(-x)) for x in mean], size) > 0
+        curve = [F.sum(F.when(on, n * q[j] * q[k]).otherwise(0.0)) for j in range(size) for k in range(size)]
+        sums = rows.agg(F.sum(n * (over * over / 2 + along)), *(F.sum(n * x * (1 + over)) for x in q), *curve).first()
+        value, slope, bend = sums[0] / total, np.array(sums[1 : size + 1]) / total, np.array(sums[size + 1 :]).reshape(size, size) / total
+        return value + RIDGE * v @ v / 2, slope + RIDGE * v, bend + RIDGE * np.eye(size)
+
+    first = rows.agg(F.coalesce(F.sum(n), F.lit(0.0)), *(F.sum(n * x) for x in q)).first()
+    total = first[0]
+    if not total:
+        return [0.0] * size
+    v, mean = np.zeros(size), np.array(first[1:]) / total
+    value, slope, bend = at(v)
+    for _ in range(steps):
+        step = -np.linalg.solve(bend, slope)
+        if np.abs(slope).max() < TOLERANCE:
+            break
+        length, new = 1.0, at(v + step)
+        while new[0] > value + 1e-4 * length * (slope @ step) and length > 1e-6:
+            length /= 2
+            new = at(v + length * step)
+        if new[0] >= value:
+            break
+        v, (value, slope, bend) = v + length * step, new
+    return v.tolist()
+
+
 def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs: float = 1.0, key: str = "doc_id", text: str = "text", steps: int = STEPS) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), p (posteriors in the order of `weights`), rate of every row of docs.
 
-    Targets: a domain's weight times `epochs` times all tokens of docs."""
+    Targets: a domain's weight times `epochs` times all tokens of docs; of Repeated weights the shares alone."""
     folder, domains = shared_folder(docs.sparkSession), list(weights)
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     model = fit_classifier(own, labelled, domains, folder)
     rows = written(model.sums(own).select("doc_id", "n_tokens", model.posterior(model.temperature).alias("p")), folder, "posteriors")
     total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     scale = sum(weights.values())
-    made = fit_rates(rows, [weights[d] / scale * epochs * total for d in domains], steps)
+    if isinstance(weights, Repeated):
+        shares = [weights[d] / scale for d in domains]
+        v = fit_repeats(rows, shares, steps)
+        over = _dot(F.array(*(F.col("p")[k] - F.lit(x) for k, x in enumerate(shares))), [F.lit(x) for x in v], len(domains))
+        found = F.lit(1.0) + F.greatest(F.lit(0.0), over)
+    else:
+        found = rate(fit_rates(rows, [weights[d] / scale * epochs * total for d in domains], steps), len(domains))
     domain = F.element_at(F.array(*(F.lit(d) for d in domains)), F.array_position("p", F.array_max("p")).cast("int"))
-    return rows.select("doc_id", "n_tokens", domain.alias("domain"), "p", rate(made, len(domains)).alias("rate"))
+    return rows.select("doc_id", "n_tokens", domain.alias("domain"), "p", found.alias("rate"))
 
 
 def copies(rate_column: Column, key: Column, at_least: int = 0) -> Column:

@@ -201,6 +201,20 @@ def test_mixing_meets_targets(spark, documents):
     assert mixing.mixture(documents.limit(0), labels, {"a": 1.0, "b": 1.0}, steps=2).count() == 0
 
 
+def test_mixing_stage_reaches_shares(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(rng.choice([f"{'ab'[k % 2]}{j}" for j in range(30)] + ["c"] * 20, 30))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = [r.doc_id for r in corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()]
+    high = sum(k % 2 == 0 for k in out) / len(out)  # every text has 30 words
+    assert set(out) == set(range(400)) and abs(high - corpus_pipeline.TARGETS["high"]) < 0.02
+    p = mixing.mixture(docs, mixing.label_domains(spark.read.parquet(f"{tmp_path}/labels.parquet")), mixing.Repeated(high=0.2, low=0.8)).toPandas()
+    assert p.rate.min() >= 1 and abs(p.rate[p.doc_id % 2 == 0].sum() / p.rate.sum() - 0.2) < 0.02
+
+
 def test_spotsigs(spark, documents):
     one = documents.dropDuplicates(["doc_id"])
     rows = sorted(((r.doc_id, r.text or "") for r in one.collect()))
