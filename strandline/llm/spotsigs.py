@@ -5,7 +5,9 @@ document's fingerprint is the set of its signatures' 32-bit hashes. Fingerprints
 of a and b signatures can only reach it if min(a, b) >= t * max(a, b), so sets are partitioned by length and compared within a
 partition and with the next one, and only if they share one of their first signatures in hash order.
 
-Texts with few anchors have the chains that start at every word as well, texts of few words those of characters.
+Where no anchor is among the FAR words before a word, the chain of CHAIN words that starts there, or of as many as the text
+has before its first anchor, is a signature as well: an anchor more or less changes signatures next to it only. Texts of up to FEW_WORDS words also have chains of characters, of which
+each word more takes a part away, by their hashes.
 Results: null texts count as empty; an empty text has the empty fingerprint, which is like itself (1) and nothing else (0).
 Equal texts have equal fingerprints. A document that is alone is its own next one.
 """
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from strandline.llm.neighbours import with_next
 from strandline.llm.shared import shared_folder, written
 
-#: Content words of a chain; fewest anchors and words to do without the other chains; characters of those.
-CHAIN, FEW_ANCHORS, FEW_WORDS, CHARACTERS = 3, 8, 6, 4
+#: Words of a chain; words after an anchor at which no other chains start; most words to have chains of characters; characters of those.
+CHAIN, FAR, FEW_WORDS, CHARACTERS = 3, 8, 6, 4
 #: Anchors: common words of English, German, French and Spanish (fixed values).
 ANCHORS = (
     "a an and are as at be by for from had has have he in is it not of on or she that the this to was were with you "
@@ -50,7 +52,7 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn(own, words(F.coalesce(F.col(text), F.lit(""))))
     # the stretches between anchors; the first comes before any anchor
     df = df.withColumn(at, F.transform(F.split(F.array_join(marked, " "), "\\|"), lambda s: F.filter(F.split(s, " "), lambda w: w != "")))
-    df = df.withColumn(f"_{name}_letters", F.when(F.size(own) < FEW_WORDS, F.split(F.array_join(own, " "), "")))
+    df = df.withColumn(f"_{name}_letters", F.when(F.size(own) <= FEW_WORDS, F.split(F.array_join(own, " "), "")))
     n, letters = F.size(at), F.col(f"_{name}_letters")
     none = F.lit([]).cast("array<bigint>")
     # elements are taken one by one: slicing a long array copies it, once for each of its elements
@@ -58,10 +60,15 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     chain = lambda i: _int(F.xxhash64(F.lit("anchor"), F.slice(F.concat(part(i), part(i + 1), part(i + 2)), 1, CHAIN)))
     anchored = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), chain)).otherwise(none)
     run = lambda kind, of, k: lambda i: _int(F.xxhash64(F.lit(kind), *(F.get(of, i + j) for j in range(k))))
-    each = F.transform(F.sequence(F.lit(0), F.size(own) - 1), run("word", F.col(own), CHAIN))
+
+    def apart(stretch: Column, i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(FAR)
+        return F.when(F.size(stretch) > start, F.transform(F.sequence(start, F.greatest(start, F.size(stretch) - CHAIN)), run("word", stretch, CHAIN))).otherwise(none)
+
+    each = F.flatten(F.transform(at, apart))
     spelt = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(letters) - CHARACTERS)), run("letters", letters, CHARACTERS))
-    more = F.when(F.size(own) == 0, none).when(F.size(own) < FEW_WORDS, spelt).when(n <= FEW_ANCHORS, each).otherwise(none)
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.concat(anchored, more))).cast("array<int>")).drop(own, at, f"_{name}_letters")
+    spelt = F.when(F.size(own).between(1, FEW_WORDS), F.filter(spelt, lambda s: F.pmod(s, F.lit(FEW_WORDS)) >= F.size(own) - 1)).otherwise(none)
+    return df.withColumn(name, F.array_sort(F.array_distinct(F.concat(anchored, each, spelt))).cast("array<int>")).drop(own, at, f"_{name}_letters")
 
 
 def fingerprint(signatures: Column) -> Column:

@@ -229,6 +229,18 @@ def test_spotsigs(spark, documents):
     assert spotsigs.fingerprint_documents(documents).count() == 12 and spotsigs.fingerprint_documents(documents.limit(0)).count() == 0
 
 
+def test_spotsigs_change_next_to_an_anchor_only(spark):
+    content = [f"w{k}" for k in range(100)]
+    with_anchors = lambda n: " ".join("the " * (n > 0 and k % (100 // n) == 0) + w for k, w in enumerate(content))
+    seven = with_anchors(8).split(" ", 1)[1]
+    rows = [(1, seven, "the " + seven), (2, seven, seven.replace("w50", "w50 the")), (3, "w1 w2 w3 w4 w5", "w1 w2 w3 w4 w5 w6"), (4, "w1 w2 w3 w4 w5 w6", "w1 w2 w3 w4 w5 w6 w7")]
+    rows += [(5, " ".join(content), " ".join(content[:50]) + " the " + " ".join(content[50:]))]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    df = spotsigs.with_signatures(spotsigs.with_signatures(df, "a", "x"), "b", "y")
+    got = {r.k: r.near for r in df.select("k", spotsigs.likeness(F.col("x"), F.col("y")).alias("near")).collect()}
+    assert min(got.values()) > 0.35 and got[5] > 0.8, got
+
+
 def test_next_over_many_buckets(spark):
     from strandline.llm.neighbours import with_next
 
