@@ -1,13 +1,14 @@
 """Operator 2: licence scans by the Dice coefficient over word bigrams.
 
 Texts and templates are normalised (A-Z lower-cased; anything but ASCII letters, digits and bytes of other scripts parts words). Units of a
-text are each line, each run of lines without a blank one, each run of lines of which every one is mostly template bigrams, and the
-whole text; a unit's set is its distinct word bigrams. Dice is 2 c / (a + b) for c shared bigrams. For a threshold t a template of b
-bigrams can only match a unit of a bigrams if 2 min(a, b) >= t (a + b), so templates outside these size bounds are never compared, and
-c is only counted through an index from bigrams to templates.
+text are its windows of words, wherever they begin and end within lines; a unit's set is its distinct word bigrams. Dice is
+2 c / (a + b) for c shared bigrams. For a threshold t a template of b bigrams can only match a unit of a bigrams if 2 min(a, b) >=
+t (a + b), so templates of which a text has fewer bigrams, looked up in an index from bigrams to templates, are never compared, and
+windows end at that size. Windows that start or end at a bigram the template lacks, or that they have again further in, are left out:
+without it they are at least as alike. So all windows of a template cost time in proportion to the text at most.
 
 Results: a row for each document; without a match the licence is null, dice 0 and spans empty. Null and empty texts have none. Of
-units that overlap and match the same template the best is kept (ties: the shorter, then the earlier); the best licence of a
+units that share words and match the same template the best is kept (ties: the shorter, then the earlier); the best licence of a
 document is its highest Dice, ties go to the larger template and then to the name. Repeated rows get the same row again.
 """
 
@@ -36,52 +37,56 @@ class Scanner:
         sets = [np.unique(bigrams(hashed_words([templates[n]], _TABLE)[0])) for n in self.names]
         self.sizes = np.array([len(s) for s in sets])
         self.known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
-        self.of = [np.flatnonzero([k in set(s.tolist()) for s in sets]) for k in self.known.tolist()]
+        self.of = np.array([np.isin(self.known, s) for s in sets], bool).reshape(len(sets), len(self.known))
         reach = threshold / (2 - threshold)
         self.least, self.most = self.sizes * reach - 1e-9, self.sizes / reach + 1e-9
 
-    def matches(self, pairs: np.ndarray) -> list[tuple[int, float]]:
-        """Templates and Dice values of one unit, from its bigrams."""
-        own = np.unique(pairs)
-        fits = (self.least <= len(own)) & (len(own) <= self.most) & (self.sizes > 0)
-        if not len(own) or not fits.any():
-            return []
-        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-        common = np.zeros(len(self.names), np.int64)
-        for k in at[self.known[at] == own].tolist():
-            common[self.of[k]] += 1
-        dice = 2 * common / (len(own) + self.sizes)
-        return [(int(i), float(dice[i])) for i in np.flatnonzero(fits & (dice >= self.threshold))]
+    def windows(self, i: int, hit: np.ndarray, before: np.ndarray, after: np.ndarray, present: int) -> list[tuple[float, int, int]]:
+        """(Dice, first, last bigram) of the best window from each start that matches template i.
+
+        `hit` are the text's bigrams of the template, `before` and `after` where each bigram of the text is found next; `present` are
+        the template's distinct bigrams in the text."""
+        found = []
+        for start in np.flatnonzero(hit).tolist():
+            # from its next place on, this bigram is further in
+            stop, size = int(after[start]), int(2 * self.most[i]) + 16
+            while True:
+                end = min(stop, start + size)
+                new = before[start:end] < start
+                distinct, common = np.cumsum(new), np.cumsum(new & hit[start:end])
+                if end == stop or distinct[-1] > self.most[i] or common[-1] == present:
+                    break
+                size *= 2
+            dice = np.where(new & hit[start:end] & (distinct <= self.most[i]), 2 * common / (distinct + self.sizes[i]), 0.0)
+            last = int(dice.argmax())
+            if dice[last] >= self.threshold:
+                found.append((float(dice[last]), start, start + last))
+        return found
 
     def scan(self, text: str, words: np.ndarray, starts: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(licence, dice, first line, last line) of a text, of which the words' hashes and first bytes are known."""
         pairs = bigrams(words)
+        if not len(pairs) or not len(self.known):
+            return []
         at = np.minimum(np.searchsorted(self.known, pairs), len(self.known) - 1)
-        hit = self.known[at] == pairs
-        if not hit.any():
-            return []  # no unit can share a bigram with a template
-        raw = np.frombuffer(text.encode(), np.uint8)
-        line = np.searchsorted(np.flatnonzero(raw == 10), starts)
-        lines = int((raw == 10).sum()) + 1
-        edges = np.searchsorted(line, np.arange(lines + 1))  # words of a line
-        within = line[1:] == line[:-1]
-        shared = np.bincount(line[:-1][hit & within], minlength=lines)
-        inner = np.bincount(line[:-1][within], minlength=lines)
-        units = {(k, k) for k in np.flatnonzero(shared).tolist()} | {(0, lines - 1)}
-        blank = np.diff(edges) == 0
-        mostly = (2 * shared >= inner) & (inner > 0)
-        for breaks in (blank, ~mostly):
-            stops = np.flatnonzero(breaks)
-            for a, b in zip([0, *(stops + 1).tolist()], [*(stops - 1).tolist(), lines - 1], strict=True):
-                if b > a and shared[a : b + 1].any():
-                    units.add((a, b))
-        found = []
-        for a, b in units:
-            found += [(self.names[i], dice, a, b) for i, dice in self.matches(pairs[edges[a] : max(edges[a], edges[b + 1] - 1)])]
+        at[self.known[at] != pairs] = -1
+        known = np.unique(at[at >= 0])
+        present = self.of[:, known].sum(1)
+        wanted = np.flatnonzero((present >= self.least) & (present > 0))
+        if not len(wanted):
+            return []  # no unit can share enough bigrams with a template
+        order = np.argsort(pairs, kind="stable")
+        same = pairs[order[1:]] == pairs[order[:-1]]
+        before, after = np.full(len(pairs), -1), np.full(len(pairs), len(pairs))
+        before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+        line = np.searchsorted(np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10), starts)
         kept: list[tuple[str, float, int, int]] = []
-        for f in sorted(found, key=lambda f: (-f[1], f[3] - f[2], f[2], f[0])):
-            if not any(k[0] == f[0] and k[2] <= f[3] and f[2] <= k[3] for k in kept):
-                kept.append(f)
+        for i in wanted.tolist():
+            taken = np.zeros(len(words), bool)
+            for dice, a, b in sorted(self.windows(i, (at >= 0) & self.of[i][at], before, after, int(present[i])), key=lambda f: (-f[0], f[2] - f[1], f[1])):
+                if not taken[a : b + 2].any():
+                    taken[a : b + 2] = True
+                    kept.append((self.names[i], dice, int(line[a]), int(line[b + 1])))
         return sorted(kept, key=lambda f: (f[2], f[3], f[0]))
 
 

@@ -274,6 +274,32 @@ def test_licences(documents):
     assert licences.scan_licences(documents.limit(0), TEMPLATES).count() == 0
 
 
+def test_licences_at_word_positions():
+    def found(text):
+        words, _, starts, _ = shared.hashed_words([text], licences._TABLE)
+        return [f for f in licences.Scanner(TEMPLATES, 0.8).scan(text, words, starts)]
+
+    prose = " ".join(f"prose{k}" for k in range(40))
+    assert found("Code here is free to read. All rights reserved.") == [("All-rights-reserved", 1.0, 0, 0)]
+    assert found(f"{prose} Released under the MIT License. {prose}\n{prose}") == [("MIT-notice", 1.0, 0, 0)]
+    assert found(f"All rights reserved. {prose} All rights reserved.") == [("All-rights-reserved", 1.0, 0, 0)] * 2
+    assert [f[0] for f in found(f"{prose} {TEMPLATES['MIT']} {prose}")] == ["MIT"]
+    wrapped = (TEMPLATES["MIT"] + " " + TEMPLATES["MPL-2.0-header"]).replace(", ", ",\n").replace(". ", ".\n")
+    assert {f[0] for f in found(wrapped)} == {"MIT", "MPL-2.0-header"}
+    assert len(found("All rights reserved. " * 20000)) == 20000 and found("all rights " * 20000 + prose) == []
+    # every window, by brute force
+    rng = np.random.default_rng(6)
+    name = "CC-BY-4.0"
+    template = TEMPLATES[name].lower().replace(".", " ").split()
+    target = set(zip(template, template[1:], strict=False))
+    for _ in range(30):
+        words = [w for k in range(0, 40, 13) for w in [*rng.choice(["x", "y", "work", "licensed"], 3), *(t for t in template if rng.random() > 0.08)]]
+        pairs = list(zip(words, words[1:], strict=False))
+        dice = [2 * len(target & set(pairs[a:b])) / (len(target) + len(set(pairs[a:b]))) for a in range(len(pairs)) for b in range(a + 1, len(pairs) + 1)]
+        got = max((f[1] for f in found(" ".join(words)) if f[0] == name), default=0)
+        assert abs(got - (max(dice) if max(dice) >= 0.8 else 0)) < 1e-9
+
+
 def test_pipeline(spark, reference):
     import corpus_pipeline
 
