@@ -137,6 +137,18 @@ def test_near_duplicates(spark, documents):
     assert near_duplicates.near_duplicates(df.limit(0), 4, 80).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(1, text("a"), "x"), (None, text("a"), "y"), (None, text("b"), "z"), (None, text("c"), "z"), (None, text("c") + " more", "z"), (None, "", "e"), (None, None, "e")]
+    rows += [(2, text("d"), "x"), (2, text("d"), "x"), (2, text("d"), "other"), (3, text("d"), "x"), (4, "", "e"), (4, "", "e"), (5, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    got = sorted(near_duplicates.without_near_duplicates(df, 5, 80).collect(), key=str)
+    third = [r for r in got if r.text and r.text.startswith("c0 ")]
+    assert len(third) == 1 and tuple(third[0]) in rows
+    want = [(1, text("a"), "x"), (None, text("b"), "z"), (None, "", "e"), (None, None, "e"), (2, text("d"), "x"), (2, text("d"), "other"), (4, "", "e"), (5, "", "e")]
+    assert sorted((tuple(r) for r in got if r not in third), key=str) == sorted(want, key=str)
+
+
 def test_blocks_find_what_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "STAR_ROUNDS", 0)
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
