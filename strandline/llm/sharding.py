@@ -1,17 +1,19 @@
 """Operator 6: sharding by a hierarchical weighted hash tree.
 
-A tree of regions, racks and shards. A row descends it level by level; at a level each child i with weight w_i draws
--ln(u_i) / w_i from a hash u_i of the key and the child, and the smallest draw wins, so a child is taken with a chance in
-proportion to its weight. A child's draw doesn't depend on its siblings: when one weight grows, rows move into that child only,
-and nothing below or beside it is dealt anew. A shard that is added as a region of its own therefore takes rows only into itself.
-
-Results: a null key is a key like any other; equal keys share a shard and have different slots; a text doesn't decide anything.
+A tree of regions, racks and shards. Each shard k with weight w draws -ln(u) / w from a hash u of the key and the shard's name; a
+rack's draw is the smallest of its shards', a region's the smallest of its racks'. A key descends to the child with the smallest draw
+at each level. The smallest of exponential draws is exponential with the sum of their weights, so at every level a child is taken
+with a chance in proportion to the weight below it. Inner draws come from the draws below and not from hashes of their own: a weight
+that grows then takes rows into its own shard only, one that shrinks gives rows away from it only, and no row moves between two other
+shards. `topology` fills racks and regions in order, so the tree of n + 1 shards is that of n and one more shard.
+
+Results: the key and the number of shards decide alone. A null key is a key like any other; equal keys share a shard and have different
+slots; a null text counts as empty, its size is 8 and its crc32 0; an empty table gives an empty one; other columns aren't read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,57 +26,50 @@ SLOT_ROWS = 20_000
 
 @dataclass(frozen=True)
 class Node:
-    """A subtree; its name decides its draws, its weight its share. Leaves carry shard numbers."""
+    """A subtree. Leaves carry a shard's number and weight; the weight of others is the sum below."""
 
     name: str
-    weight: float = 1.0
+    leaf_weight: float = 1.0
     children: tuple[Node, ...] = field(default=())
     shard: int | None = None
 
+    @property
+    def weight(self) -> float:
+        return self.leaf_weight if self.shard is not None else sum(c.weight for c in self.children)
+
 
 def topology(shards: int, racks_a_region: int = 3, shards_a_rack: int = 4) -> Node:
-    """`shards` equal shards, filled into racks and regions in order; weights are the numbers of shards below."""
+    """`shards` equal shards, filled into racks and regions in order."""
     regions: list[Node] = []
     span = racks_a_region * shards_a_rack
     for first in range(0, shards, span):
         racks = []
         for start in range(first, min(shards, first + span), shards_a_rack):
             leaves = tuple(Node(f"shard{k}", 1.0, (), k) for k in range(start, min(shards, first + span, start + shards_a_rack)))
-            racks.append(Node(f"rack{start // shards_a_rack}", float(len(leaves)), leaves))
-        regions.append(Node(f"region{first // span}", sum(r.weight for r in racks), tuple(racks)))
-    return Node("root", float(shards), tuple(regions))
-
-
-def grown(tree: Node, shard: int, weight: float = 1.0) -> Node:
-    """The tree and one more shard in a region of its own: rows move into that shard only."""
-    leaf = Node(f"shard{shard}", weight, (), shard)
-    region = Node(f"region-of-shard{shard}", weight, (Node(f"rack-of-shard{shard}", weight, (leaf,)),))
-    return Node(tree.name, tree.weight + weight, (*tree.children, region))
+            racks.append(Node(f"rack{start // shards_a_rack}", children=leaves))
+        regions.append(Node(f"region{first // span}", children=tuple(racks)))
+    return Node("root", children=tuple(regions))
 
 
 def reweighted(tree: Node, shard: int, weight: float) -> Node:
-    """The tree with another weight of one shard, carried up: only subtrees on its path change."""
+    """The tree with another weight of one shard."""
     if tree.shard is not None:
         return Node(tree.name, weight, (), shard) if tree.shard == shard else tree
-    children = tuple(reweighted(c, shard, weight) for c in tree.children)
-    return tree if children == tree.children else Node(tree.name, sum(c.weight for c in children), children)
+    return Node(tree.name, children=tuple(reweighted(c, shard, weight) for c in tree.children))
 
 
-def descend(key: Column, tree: Node) -> Column:
-    """The shard of a key, as one expression without joins: only the draws on the chosen path are taken."""
+def _winner(key: Column, tree: Node) -> Column:
+    """The smallest draw of a subtree and its shard: draws go up from the leaves, each is taken once."""
     if tree.shard is not None:
-        return F.lit(tree.shard)
-    live = [c for c in tree.children if c.weight > 0]
-    if not live:
+        return F.struct((-F.log(uniform(key, tree.name)) / tree.weight).alias("draw"), F.lit(tree.shard).alias("shard"))
+    return F.array_min(F.array(*(_winner(key, c) for c in tree.children if c.weight > 0)))
+
+
+def descend(key: Column, tree: Node) -> Column:
+    """The shard of a key, as one expression without joins."""
+    if tree.weight <= 0:
         raise ValueError(f"{tree.name} has no weight")
-    if len(live) == 1:
-        return descend(key, live[0])
-    draws = [-F.log(uniform(key, f"{tree.name}/{c.name}")) / c.weight for c in live]
-    least = F.array_min(F.array(*(F.struct(d.alias("draw"), F.lit(k).alias("at")) for k, d in enumerate(draws))))["at"]
-    if all(c.shard is not None for c in live):
-        return F.element_at(F.array(*(F.lit(c.shard) for c in live)), least + 1)
-    chosen = [descend(key, c) for c in live]
-    return F.element_at(F.transform(F.array(least), lambda at: reduce(lambda rest, k: F.when(at == k, chosen[k]).otherwise(rest), range(len(live) - 2, -1, -1), chosen[-1])), 1)
+    return _winner(key, tree)["shard"]
 
 
 def slots(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
@@ -95,7 +90,6 @@ def slots(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law (`key`), shard, slot, grown_shard of every row of docs."""
-    tree = topology(shards)
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -103,6 +97,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
         F.crc32(F.encode(raw, "utf-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    # the least draw is taken once for each level: array_min over a few structs stays in the JVM
-    rows = rows.withColumn("shard", descend(F.col("doc_id"), tree).cast("int")).withColumn("grown_shard", descend(F.col("doc_id"), grown(tree, shards)).cast("int"))
+    shard = lambda n: descend(F.col("doc_id"), topology(n)).cast("int")
+    rows = rows.withColumn("shard", shard(shards)).withColumn("grown_shard", shard(shards + 1))
     return slots(rows, "shard", "doc_id", "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -98,10 +98,29 @@ def test_sharding(spark, documents):
     tree = sharding.topology(24)
     heavier = sharding.reweighted(tree, 5, 3.0)
     both = docs.select(sharding.descend(F.col("doc_id"), tree).alias("a"), sharding.descend(F.col("doc_id"), heavier).alias("b")).where("a <> b").collect()
-    assert both and all(r.b in range(12) for r in both if r.a >= 12) and all(r.b in range(4, 8) for r in both if 0 <= r.a < 12 and r.a // 4 != 1)
+    assert 250 < len(both) < 400 and {r.b for r in both} == {5}  # from 1/24 to 3/26 of 4000
     assert sharding.shard_documents(documents).count() == 12 and sharding.shard_documents(documents.limit(0)).count() == 0
 
 
+def test_one_more_shard_takes_rows_into_itself_only(spark):
+    keys = spark.range(3000).select(F.col("id").alias("doc_id")).union(spark.sql("select cast(null as bigint)"))
+    counts = range(24, 41)
+    p = keys.select("doc_id", *(sharding.descend(F.col("doc_id"), sharding.topology(n)).alias(f"s{n}") for n in counts)).toPandas()
+    for n in counts[:-1]:
+        moved = p[f"s{n}"] != p[f"s{n + 1}"]
+        assert set(p[f"s{n + 1}"][moved]) == {n} and p[f"s{n}"].nunique() == n
+    # by brute force: region, rack and shard of the smallest draws
+    draws = keys.select(*(shared.uniform(F.col("doc_id"), f"shard{k}").alias(str(k)) for k in range(40))).toPandas().to_numpy()
+    draws = -np.log(draws)
+    region = np.array([draws[:, a : a + 12].min(1) for a in range(0, 40, 12)]).argmin(0)
+    rack = np.array([np.array([row[a : a + 4].min() if a < 12 * r + 12 and len(row[a : a + 4]) else np.inf for a in range(12 * r, 12 * r + 12, 4)]).argmin() + 3 * r for row, r in zip(draws, region)])
+    leaf = np.array([row[4 * r : 4 * r + 4].argmin() + 4 * r for row, r in zip(draws, rack)])
+    assert (leaf == p["s40"]).all()
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    grown = {r.doc_id: r.grown_shard for r in sharding.shard_documents(docs, 24).collect()}
+    assert grown == {r.doc_id: r.shard for r in sharding.shard_documents(docs, 25).collect()}
+
+
 def brute_components(rows, width, percent):
     sets = [near_duplicates.word_shingles(t or "", width) for _, t in rows]
     low = [k for k, _ in rows]
