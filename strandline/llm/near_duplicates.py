@@ -4,19 +4,23 @@ Each document's set of word shingles gets m registers: register i is floor(1 - l
 exponentially distributed hashes of its shingles, cut to 0..q+1. Registers of a union are the larger of both (mergeable), and they
 agree more often the more alike two sets are. Documents are then found in these steps, each a table or a shuffle by key:
 
-1. documents with the same set are one class (its smallest id stands for it), so copies meet in one aggregation only;
+1. documents with the same set are one class, so copies meet in one aggregation only; a class has a number of its own;
 2. each class goes into BANDS buckets by ROWS registers each;
 3. STAR_ROUNDS times at most, and no further than a round closes a tenth of what is open: every bucket that still has members of several components has one centre, and each class becomes a candidate
    with one centre of another component among its buckets. Candidates whose likeness, estimated from all registers jointly by
    maximum likelihood with the known set sizes, lies far below the threshold go; the rest are confirmed on the full sets of words of
    their texts; components are formed anew. Large groups of copies fall together here with one comparison a member;
-4. a bucket whose members have several components even then is searched fully: in blocks of BLOCK members, each pair of different
-   components by estimate, then by whole sets of hashes, and those few by their words. A pair is compared in the first bucket it
-   shares alone: were that one closed, both would be of one component. Blocks bound memory; nothing is capped.
+4. a bucket whose members have several components even then is searched fully: in blocks of BLOCK members of its largest component and
+   BLOCK others, each pair of different components by estimate, then by whole sets of hashes, and those few by their words. A pair is
+   compared in the first bucket it shares alone: were that one closed, both would be of one component. Blocks bound memory; nothing
+   is capped.
+
+Buckets and classes of more than a share of 1/HOT of all places or rows (there are HOT of them at most) are salted before joins.
 
 A pair at the threshold of 0.8 shares no bucket with a chance of (1 - 0.8^6)^48 < 5e-7, and less above.
-Results: documents without words have an empty set and are linked with nothing; null texts count as empty; each row
-keeps its own set, and of rows that share an id the component is found by their sets. Columns other than id and text are not read.
+Results: documents without words have an empty set and are linked with nothing; null texts count as empty; each row is found by its own
+set, also where rows share an id or have none. component_id is the smallest id of any row of the component, null where none has one;
+kept is whether a row's id is that one (both null: true). Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import grown_components
-from strandline.llm.shared import bounded_batches, mixed, shared_folder, shingle_sets, text_batches, written
+from strandline.llm.shared import mixed, removed, shared_folder, shingle_sets, text_batches, written
 
 #: Bands and registers a band; base and largest value of registers (two bytes each), rate of the exponential hashes.
 BANDS, ROWS, BASE, LARGEST, RATE = 48, 6, 1.001, 65_534, 20.0
@@ -40,8 +44,10 @@ PAIRS = 8192
 STAR_ROUNDS = 3
 #: Rounds end when one leaves more than this share of the open places open: what is left then are pairs that aren't alike.
 WORTHWHILE = 0.9
-#: Ids of eight bytes that are sent to all executors at most; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of three numbers that are sent to all executors at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Salted buckets or classes at most, and the rows that one has before it is salted at least.
+HOT, HOT_ROWS = 65_536, 2048
 #: Standard deviations of the estimate below the threshold at which a candidate goes.
 MARGIN = 6.0
 
@@ -67,6 +73,11 @@ def registers(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LARGEST + 1).astype(np.uint16)
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Registers of the unions of the sets of a and b."""
+    return np.maximum(a, b)
+
+
 def likeness(greater: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The Jaccard similarity most likely to give so many registers in which a is greater and less than b, for known sizes."""
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
@@ -106,8 +117,7 @@ def _alive(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thres
 
 
 def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), set_a and set_b (its hash), regs (registers, null for an empty set)."""
-    bounded_batches(docs.sparkSession)
+    """doc_id, of (hash of the text), n (size of the set), set_a and set_b (its hash), regs (registers, null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -123,10 +133,10 @@ def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
                 regs = registers(shingles, offsets)
                 for i, at in enumerate(full.tolist()):
                     rows[at] = regs[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "n", "set_a", "set_b", "regs"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["of"], pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "of", "n", "set_a", "set_b", "regs"])
 
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, regs binary")
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
+    return source.mapInArrow(run, "doc_id long, of long, n long, set_a long, set_b long, regs binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -201,16 +211,20 @@ def folded_sets(texts: DataFrame, width: int) -> DataFrame:
 
 def blocks(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different components that share a bucket and whose folded sets reach the threshold, give or take what folding may
-    change, from members (key, band, size, rep, component, n, regs, folded). No pair leaves a block that its whole sets rule out, and
-    each leaves the block of the first band it shares, once."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int")
-    dealt = (
-        members.withColumn("parts", parts)
-        .withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "band", "part", "rep", "component", "n", "regs", "folded")
-    )
+    change, from members (key, band, rep, component, n, regs, folded, largest, most, others): whether a member is of its bucket's
+    largest component, how many are and how many aren't. The largest component isn't compared within itself, and goes out once for
+    each BLOCK of the others. No pair leaves a block that its whole sets rule out, and each leaves the block of the first band it
+    shares, once."""
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    part = F.pmod(F.xxhash64("rep", F.lit("part")), F.when(F.col("largest"), parts("most")).otherwise(parts("others"))).cast("int")
+    place = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    each = lambda c, make: F.transform(F.sequence(F.lit(0), parts(c) - 1), make)
+    across = F.when(F.col("largest"), each("others", lambda k: place(0, F.col("part"), k)))
+    among = F.concat(each("most", lambda k: place(0, k, F.col("part"))), each("others", lambda k: place(1, F.least(F.col("part"), k), F.greatest(F.col("part"), k))))
+    dealt = members.withColumn("part", part).withColumn("place", F.explode(F.coalesce(across, among)))
+    # the side of a member in its block: members of one side aren't compared, unless the block has one side only
+    side = F.when(F.col("place.kind") == 0, F.col("largest").cast("int")).otherwise(F.col("part"))
+    dealt = dealt.select(F.xxhash64("key", "place.kind", "place.x", "place.y").alias("block"), "band", side.alias("part"), (F.col("place.kind") == 0).alias("across"), "rep", "component", "n", "regs", "folded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -232,6 +246,7 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
     def pairs_within(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         band, rep, part, component, n = (table[c].to_numpy() for c in ("band", "rep", "part", "component", "n"))
+        within = not table["across"][0].as_py() and part.min() == part.max()
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
         sets = [np.frombuffer(x, np.uint32) for x in table["folded"].to_pylist()]
 
@@ -242,8 +257,7 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
         chosen, waiting = [], 0
         for i in range(len(rep) - 1):
             rest = np.arange(i + 1, len(rep))
-            # a block of two parts compares across, a block of one part within
-            rest = rest[(component[rest] != component[i]) & ((part[rest] != part[i]) | (part[0] == part[-1]) & (part.min() == part.max()))]
+            rest = rest[(component[rest] != component[i]) & ((part[rest] != part[i]) | within)]
             rest = rest[np.minimum(n[i], n[rest]) >= threshold * np.maximum(n[i], n[rest]) - 1e-9]
             equal = regs[rest] == regs[i]
             near = np.count_nonzero(equal, axis=1) >= least_equal
@@ -264,27 +278,50 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
+def _hot(total: int) -> int:
+    """Rows above which a key is hot: fewer than HOT keys can have so many."""
+    return max(HOT_ROWS, -(-total // HOT))
+
+
+def _salted(sizes: DataFrame, size: str, hot: int) -> DataFrame:
+    """A row for each salt of a key, by its size."""
+    return sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.floor(F.col(size) / hot).cast("int"))))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs; see the module."""
     spark = docs.sparkSession
     folder, threshold = shared_folder(spark), percent / 100
     sketched = written(sketches(docs, width, key, text), folder, "sketches")
-    # rows of one set have equal registers, so any of them does
-    classes = written(sketched.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), folder, "classes")
+    # rows of one set have equal registers, so any of them does; the text of its first row stands for a class
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "of"))
+    classes = sketched.where("n > 0").groupBy("set_a", "set_b", "n").agg(first.alias("first"), F.first("regs").alias("regs"), F.count(F.lit(1)).alias("rows"))
+    classes = written(classes.select("set_a", "set_b", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.of").alias("of"), "regs", "rows", F.monotonically_increasing_id().alias("rep")), folder, "classes")
+    total, rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     banded = band_keys(classes)
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(banded.join(shared, "key"), folder, "members")
-    in_buckets = written(members.select("rep").distinct(), folder, "in-buckets")
+    shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), folder, "shared")
+    hot = _hot(BANDS * total)
+    salts = F.broadcast(shared.where(F.col("size") >= hot).select("key", F.floor(F.col("size") / hot).cast("int").alias("most")))  # fewer than HOT rows
+    salt = F.when(F.col("most").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep", F.lit("salt")), F.col("most") + 1)).cast("int")
+    banded = banded.join(salts, "key", "left").withColumn("salt", salt).drop("most")
+    members = written(banded.join(_salted(shared, "size", hot), ["key", "salt"]), folder, "members")
+    in_buckets = members.select("rep").distinct().join(classes.select("rep", F.col("doc_id").alias("_id"), F.col("of").alias("_of")), "rep")
+    in_buckets = written(in_buckets, folder, "in-buckets")
     some = F.broadcast(in_buckets) if in_buckets.count() <= BROADCAST_IDS else in_buckets
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(some, "rep", "left_semi")
-    # of classes that share a bucket with another one, one text for each id; the rest isn't read again
+    own = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
+    # of classes that share a bucket with another one, one text each; the rest isn't read again
+    texts = own.join(some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of"))).select("rep", "text")
     texts = written(texts.dropDuplicates(["rep"]), folder, "texts")
 
+    def by_key(placed: DataFrame, groups: DataFrame) -> DataFrame:
+        """placed with the columns of groups (key, size, ...), hot keys by their salts."""
+        return placed.join(_salted(groups, "size", hot).drop("size"), ["key", "salt"])
+
     def still_open(placed: DataFrame, labels: DataFrame, name: str) -> DataFrame:
         """Members of buckets in which there are several components still; components only grow, so no bucket opens again."""
         placed = placed.drop("component").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return written(placed.join(several, "key"), folder, name)
+        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).where("low < high").select("key", "size")
+        return written(by_key(placed, several), folder, name)
 
     def confirmed_links(pairs: DataFrame, name: str) -> DataFrame:
         return written(confirmed(pairs, texts, width, percent), folder, f"{name}-links")
@@ -292,8 +329,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     placed, labels, places = members.withColumn("component", F.col("rep")), None, members.count()
     for turn in range(STAR_ROUNDS):
         order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", F.lit(turn)), "rep", "component")
-        centres = placed.groupBy("key").agg(F.min(order).alias("centre")).select("key", F.col("centre.rep").alias("centre"), F.col("centre.component").alias("centre_component"))
-        wanted = placed.join(centres, "key").where("component <> centre_component")
+        centres = placed.groupBy("key").agg(F.min(order).alias("centre"), F.max("size").alias("size")).select("key", "size", F.col("centre.rep").alias("centre"), F.col("centre.component").alias("centre_component"))
+        wanted = by_key(placed, centres).where("component <> centre_component")
         # one candidate for each member: texts move once a round, however many buckets a member is in
         chosen = wanted.groupBy("rep").agg(F.min(F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", "centre", F.lit(turn)), "centre"))["centre"].alias("centre"))
         # dealt by rep already; two that chose each other make one link twice
@@ -305,11 +342,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
             break
     left = placed.select("rep").distinct()
     sets = written(folded_sets(texts.join(left, "rep", "left_semi"), width), folder, "folded")
-    searched = placed.join(classes.select("rep", "n", "regs").join(sets, "rep"), "rep")
+    held = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"), F.max("size").alias("size"))
+    held = held.groupBy("key").agg(F.max(F.struct("held", "component")).alias("top"), F.sum("held").alias("now"), F.max("size").alias("size"))
+    held = held.select("key", "size", F.col("top.component").alias("main"), F.col("top.held").alias("most"), (F.col("now") - F.col("top.held")).alias("others"))
+    searched = by_key(placed, held).withColumn("largest", F.col("component") == F.col("main")).join(classes.select("rep", "n", "regs").join(sets, "rep"), "rep")
     final = grown_components(labels, confirmed_links(blocks(searched, threshold), "rest"), folder, "final")
-    named = classes.select("set_a", "set_b", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.drop("regs").join(named, ["set_a", "set_b", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    # the smallest id of each component; classes without links are components of their own
+    ids = classes.select("rep", "doc_id")
+    smallest = final.join(ids, final["node"] == ids["rep"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = final.select(F.col("node").alias("rep"), "component").join(smallest, "component").select("rep", "component_id", F.lit(True).alias("linked"))
+    named = classes.select("set_a", "set_b", "n", "rows", "rep", "doc_id").join(joined, "rep", "left")
+    named = written(named.select("set_a", "set_b", "n", "rows", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), folder, "named")
+    removed(spark, folder, *(f"open-{k}" for k in range(STAR_ROUNDS)), *(f"star-{k}-links" for k in range(STAR_ROUNDS)), "classes", "shared", "members", "in-buckets", "texts", "folded", "rest-links")
+    # sets of many rows are sent to all executors (fewer than HOT of them), so that copies of one text don't meet in a task
+    crowd = _hot(rows)
+    of, own = ["set_a", "set_b", "n"], sketched.drop("regs", "of")
+    many = F.broadcast(named.where(F.col("rows") >= crowd).select(*of, F.col("component_id").alias("_many"), F.lit(True).alias("_crowd")))
+    own = own.join(many, of, "left")
+    few = named.where(F.col("rows") < crowd).select(*of, F.col("component_id").alias("_few"))
+    rest = own.where("_crowd IS NULL").join(few, of, "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_few")))
+    out = rest.select("doc_id", "n", "component_id").union(own.where("_crowd").select("doc_id", "n", F.col("_many").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,4 @@
-"""What several training-data operators use: the shared folder, bounded Arrow batches and vectorised word hashing."""
+"""What several training-data operators use: the shared folder, bounded batches of texts and vectorised word hashing."""
 
 from __future__ import annotations
 
@@ -12,14 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of documents in one Arrow batch: memory of a Python worker stays bounded when texts are long.
-BATCH_ROWS = 256
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; only where that is unset (tests), a local one is set."""
+    """A new folder below spark.checkpoint.dir, which all executors see. Where that is unset, a local one is set if the master is local;
+    on a cluster it has to be named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
@@ -32,10 +31,12 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Limits Arrow batches by rows and, where Spark has the setting, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def removed(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes tables of the shared folder that no plan reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in names:
+        path = hadoop(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents_at(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def documents_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the column `text` of each holds about `size` bytes, one row at least."""
+    """Cuts batches so that the column `text` of each holds about `size` bytes, one row at least: what a worker makes of texts at
+    once stays bounded, as the batches themselves are by Spark's own limit on their bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue

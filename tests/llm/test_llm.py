@@ -168,6 +168,33 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert sorted((tuple(r) for r in got if r not in third), key=str) == sorted(want, key=str)
 
 
+def test_near_duplicates_of_clashing_ids(spark):
+    text = lambda name, *new: " ".join([f"{name}{k}" for k in range(60)] + list(new))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", "x")), (3, text("b", "y")), (None, text("c")), (None, text("c", "z")), (None, text("d")), (5, text("d", "u")), (7, None), (7, ""), (None, "")]
+    rows += [(9, text("e"))] * 2 + [(8, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(df, 4, 80).collect()), key=str)
+    want = [(1, 57, 1, True)] * 2 + [(2, 58, 1, False), (3, 58, 1, False), (None, 57, None, True), (None, 58, None, True), (None, 57, 5, False), (5, 58, 5, True), (7, 0, 7, True), (7, 0, 7, True), (None, 0, None, True)]
+    want += [(9, 57, 8, False)] * 2 + [(8, 57, 8, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_hot_buckets_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT_ROWS", 5)
+    monkeypatch.setattr(near_duplicates, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[:k], f"e{k}", *base[k + 1 :]])) for k in range(30)] + [(100 + k, " ".join(base)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df, 4, 80).collect()} == brute_components(rows, 4, 80)
+
+
+def test_registers_merge():
+    a, b = (np.unique(np.random.default_rng(k).integers(0, 2**64, 500, dtype=np.uint64)) for k in range(2))
+    of = lambda x: near_duplicates.registers(x, np.array([0, len(x)]))
+    assert (near_duplicates.merged(of(a), of(b)) == of(np.union1d(a, b))).all()
+
+
 def test_blocks_find_what_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "STAR_ROUNDS", 0)
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
