@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import bounded_batches
+from strandline.llm.shared import text_batches
 
 #: Pieces in one generation of the cache, and the longest that is kept there; two generations bound a worker's memory.
 CACHED_PIECES, CACHED_CHARS = 250_000, 48
@@ -144,12 +144,11 @@ def codec(path: str, pattern: str) -> PrefixBPE:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids of every row of docs."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in text_batches(batches):
             ids = [own.encode(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["key", "n_tokens", "ids"])
 
@@ -159,11 +158,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """key, text of every row of `encoded` (key, ids)."""
-    bounded_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             texts = [own.decode(ids or []) for ids in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array([t.decode(errors="replace") for t in texts], pa.string())], ["key", "text"])
 
@@ -175,13 +173,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     """key, n_tokens, ids_sha256 of the decimal ids parted by spaces, decoded_sha256 of the bytes that the ids decode to.
 
     Encoding and decoding share one pass, so that ids needn't travel through the JVM only to be hashed."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         decimal = {i: str(i) for i in own.bytes_of}
-        for batch in batches:
+        for batch in text_batches(batches):
             counts, of_ids, of_bytes = [], [], []
             for t in batch["text"]:
                 ids = own.encode(t.as_py())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import bounded_batches, hashed_words, mixed, text_batches, word_table
+from strandline.llm.shared import hashed_words, mixed, text_batches, word_table
 
 _TABLE = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 SPANS = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32())]))
@@ -92,7 +92,6 @@ class Scanner:
 
 def scan_licences(docs: DataFrame, templates: dict[str, str], threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, licence, dice, n_spans, spans of every row of docs."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     sizes = {n: len(np.unique(bigrams(hashed_words([t], _TABLE)[0]))) for n, t in templates.items()}
 

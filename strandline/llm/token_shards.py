@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import bounded_batches, shared_folder
+from strandline.llm.shared import shared_folder, text_batches
 
 MAGIC = b"STRSST01"
 FOOTER = struct.Struct("<QQQQQQQB7x8s")  # index at, bytes; bloom at, bytes; documents; ids; bloom hashes; bytes an id; magic
@@ -62,9 +63,14 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
     return n | data[at] << shift, at + 1
 
 
-def _places(key: bytes, bits: int, hashes: int) -> list[int]:
+def _bloom_hash(key: bytes) -> tuple[int, int]:
+    """First place and step of a key, small enough that their sums stay below 64 bits."""
     h = xxhash.xxh3_128_intdigest(key)
-    first, step = h & (1 << 64) - 1, h >> 64 | 1
+    return h & (1 << 62) - 1, h >> 64 & (1 << 32) - 1 | 1
+
+
+def _places(key: bytes, bits: int, hashes: int) -> list[int]:
+    first, step = _bloom_hash(key)
     return [(first + k * step) % bits for k in range(hashes)]
 
 
@@ -77,7 +83,8 @@ class ShardWriter:
 
     def __init__(self, file, id_bytes: int = 4):
         self.file, self.at, self.id_bytes = file, 0, id_bytes
-        self.block, self.index, self.hashes = bytearray(), [], []
+        self.block, self.index = bytearray(), []
+        self.firsts, self.steps = array("Q"), array("Q")  # 16 bytes a key: the filter is sized when all keys are known
         self.last = self.first = b""
         self.documents = self.ids = 0
 
@@ -86,6 +93,10 @@ class ShardWriter:
         key = key_bytes(doc_id)
         if self.documents and key < self._before:
             raise ValueError("keys must not descend")
+        if not self.documents or key != self._before:
+            first, step = _bloom_hash(key)
+            self.firsts.append(first)
+            self.steps.append(step)
         self._before = key
         shared = 0
         if self.block:
@@ -95,7 +106,6 @@ class ShardWriter:
             self.first = key
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids)) + key[shared:] + ids
         self.last = key
-        self.hashes.append(key)
         self.documents += 1
         self.ids += len(ids) // self.id_bytes
         if len(self.block) >= BLOCK_BYTES:
@@ -111,12 +121,13 @@ class ShardWriter:
     def close(self) -> None:
         self._flush()
         index = b"".join(_varint(len(k)) + k + struct.pack("<QQI", at, n, crc) for k, at, n, crc in self.index)
-        bits = max(64, BLOOM_BITS_A_KEY * len(self.hashes) + 7 & ~7)
-        bloom = bytearray(bits // 8)
-        for key in set(self.hashes):
-            for place in _places(key, bits, BLOOM_HASHES):
-                bloom[place >> 3] |= 1 << (place & 7)
-        self.file.write(index + bytes(bloom) + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.documents, self.ids, BLOOM_HASHES, self.id_bytes, MAGIC))
+        bits = max(64, BLOOM_BITS_A_KEY * len(self.firsts) + 7 & ~7)
+        bloom = np.zeros(bits // 8, np.uint8)
+        firsts, steps = np.frombuffer(self.firsts, np.uint64), np.frombuffer(self.steps, np.uint64)
+        for k in range(BLOOM_HASHES):
+            place = (firsts + np.uint64(k) * steps) % np.uint64(bits)
+            np.bitwise_or.at(bloom, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        self.file.write(index + bloom.tobytes() + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.documents, self.ids, BLOOM_HASHES, self.id_bytes, MAGIC))
 
 
 class ShardReader:
@@ -269,7 +280,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     Texts are range-partitioned once; each task encodes and writes what it has. The manifest has a row for each partition.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = rows.select("key", "text", F.spark_partition_id().alias("shard"))
@@ -278,9 +288,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         encoder, writer, shard, path = library_encoder(tokenizer_path), None, None, ""
         store, base = filesystem(folder)
         stream = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in text_batches(batches):
             if writer is None:
                 shard = batch["shard"][0].as_py()
                 path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"

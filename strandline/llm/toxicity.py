@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import bounded_batches, hashed_words, text_batches, word_table
+from strandline.llm.shared import hashed_words, text_batches, word_table
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 8_000, 16_000, 768
 #: A word must be in so many positives and stand out by so many standard deviations.
@@ -91,7 +91,6 @@ def _sampled(key: Column, share: float, salt: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from the rows of `labels` that aren't held out."""
-    bounded_batches(docs.sparkSession)
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     texts = docs.where(~held_out(F.col(key))).select(F.col(key).alias("key"), F.col(text).alias("text"))
     labelled, positives = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -143,7 +142,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score of every row of docs."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +160,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns, in one pass over the texts."""
     model = fit(docs, labels)
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
