@@ -11,9 +11,10 @@ agree more often the more alike two sets are. Documents are then found in these
    maximum likelihood with the known set sizes, lies far below the threshold go; the rest are confirmed on the full sets of words of
    their texts; components are formed anew. Large groups of copies fall together here with one comparison a member;
 4. a bucket whose members have several components even then is searched fully: in blocks of BLOCK members of its largest component and
-   BLOCK others, each pair of different components by estimate, then by whole sets of hashes, and those few by their words. A pair is
-   compared in the first bucket it shares alone: were that one closed, both would be of one component. Blocks bound memory; nothing
-   is capped.
+   BLOCK others, each pair of different components by estimate, then by whole sets of hashes, and those few by their words. A pair that
+   is alike beyond doubt joins its components inside the block at once, so a block sends on links that join, not all pairs of a group;
+   pairs in doubt are all sent on. A pair is compared in the first bucket it shares alone: were that one closed, both would be of one
+   component. Blocks bound memory; nothing is capped.
 
 Buckets and classes of more than a share of 1/HOT of all places or rows (there are HOT of them at most) are salted before joins.
 
@@ -45,7 +46,7 @@ STAR_ROUNDS = 3
 #: Rounds end when one leaves more than this share of the open places open: what is left then are pairs that aren't alike.
 WORTHWHILE = 0.9
 #: Rows of three numbers that are sent to all executors at most; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 250_000
 #: Salted buckets or classes at most, and the rows that one has before it is salted at least.
 HOT, HOT_ROWS = 65_536, 2048
 #: Standard deviations of the estimate below the threshold at which a candidate goes.
@@ -209,9 +210,9 @@ def folded_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "rep long, folded binary")
 
 
-def blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share a bucket and whose folded sets reach the threshold, give or take what folding may
-    change, from members (key, band, rep, component, n, regs, folded, largest, most, others): whether a member is of its bucket's
+def blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a bucket and whose folded sets may reach the threshold, but none whose components have
+    been joined by others of the block, from members (key, band, rep, component, n, regs, folded, largest, most, others): whether a member is of its bucket's
     largest component, how many are and how many aren't. The largest component isn't compared within itself, and goes out once for
     each BLOCK of the others. No pair leaves a block that its whole sets rule out, and each leaves the block of the first band it
     shares, once."""
@@ -241,18 +242,35 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield from pairs_within(held)
 
+    threshold = percent / 100
     least_equal = _least_equal(threshold)
 
     def pairs_within(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
-        band, rep, part, component, n = (table[c].to_numpy() for c in ("band", "rep", "part", "component", "n"))
+        band, rep, part, n = (table[c].to_numpy() for c in ("band", "rep", "part", "n"))
+        component = table["component"].to_numpy().copy()
         within = not table["across"][0].as_py() and part.min() == part.max()
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
         sets = [np.frombuffer(x, np.uint32) for x in table["folded"].to_pylist()]
 
-        def reaches(i: int, j: int) -> bool:
+        def reaches(i: int, j: int) -> tuple[bool, bool]:
+            """Whether a pair may reach the threshold, and whether it does so beyond what folding can change."""
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            return common >= (threshold - 0.01) * (len(sets[i]) + len(sets[j]) - common)
+            doubt = int(n[i] - len(sets[i]) + n[j] - len(sets[j])) + 1 + int(n[i] * n[j]) // (1 << 30)
+            alike = lambda c: 100 * c >= percent * (n[i] + n[j] - c)
+            return alike(common + doubt), alike(common - doubt)
+
+        def joining(x: np.ndarray, y: np.ndarray) -> list[int]:
+            """Places of the pairs that are sent on: components that have met inside the block aren't joined again."""
+            out = []
+            for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                if component[i] != component[j]:
+                    may, does = reaches(i, j)
+                    if may:
+                        out.append(k)
+                    if does:
+                        component[component == component[j]] = component[i]
+            return out
 
         chosen, waiting = [], 0
         for i in range(len(rep) - 1):
@@ -269,7 +287,7 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
             if waiting >= PAIRS or waiting and i == len(rep) - 2:
                 x, y = (np.concatenate(side) for side in zip(*chosen, strict=True))
                 alive = np.flatnonzero(_alive(regs[x], regs[y], n[x], n[y], threshold))
-                alive = alive[[reaches(x[k], y[k]) for k in alive]] if len(alive) else alive
+                alive = alive[joining(x[alive], y[alive])] if len(alive) else alive
                 if len(alive):
                     a, b = rep[x[alive]], rep[y[alive]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -288,15 +306,26 @@ def _salted(sizes: DataFrame, size: str, hot: int) -> DataFrame:
     return sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.floor(F.col(size) / hot).cast("int"))))
 
 
+def set_classes(sketched: DataFrame) -> DataFrame:
+    """set_a, set_b, n, doc_id and `of` of its first row, regs, rows and rep of each set: the class's number is the id of its first
+    row, where no other class has it, else one beyond all ids."""
+    rows, of = sketched.where("n > 0"), ["set_a", "set_b", "n"]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "of")).alias("first")
+    clash = rows.groupBy(*of).agg(first).groupBy(F.col("first.doc_id").alias("clash")).agg(F.count(F.lit(1)).alias("classes")).where("classes > 1 OR clash IS NULL")
+    beyond = rows.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0] + 1
+    # rows of one set have equal registers, so any of them does; the text of its first row stands for a class
+    classes = rows.groupBy(*of).agg(first, F.first("regs").alias("regs"), F.count(F.lit(1)).alias("rows")).withColumn("doc_id", F.col("first.doc_id"))
+    found = classes.join(clash, F.col("doc_id").eqNullSafe(F.col("clash")), "left")
+    rep = F.when(F.col("classes").isNotNull(), F.monotonically_increasing_id() + beyond).otherwise(F.col("doc_id"))
+    return found.select(*of, "doc_id", F.col("first.of").alias("of"), "regs", "rows", rep.alias("rep"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs; see the module."""
     spark = docs.sparkSession
     folder, threshold = shared_folder(spark), percent / 100
     sketched = written(sketches(docs, width, key, text), folder, "sketches")
-    # rows of one set have equal registers, so any of them does; the text of its first row stands for a class
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "of"))
-    classes = sketched.where("n > 0").groupBy("set_a", "set_b", "n").agg(first.alias("first"), F.first("regs").alias("regs"), F.count(F.lit(1)).alias("rows"))
-    classes = written(classes.select("set_a", "set_b", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.of").alias("of"), "regs", "rows", F.monotonically_increasing_id().alias("rep")), folder, "classes")
+    classes = written(set_classes(sketched), folder, "classes")
     total, rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     banded = band_keys(classes)
     shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), folder, "shared")
@@ -346,7 +375,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     held = held.groupBy("key").agg(F.max(F.struct("held", "component")).alias("top"), F.sum("held").alias("now"), F.max("size").alias("size"))
     held = held.select("key", "size", F.col("top.component").alias("main"), F.col("top.held").alias("most"), (F.col("now") - F.col("top.held")).alias("others"))
     searched = by_key(placed, held).withColumn("largest", F.col("component") == F.col("main")).join(classes.select("rep", "n", "regs").join(sets, "rep"), "rep")
-    final = grown_components(labels, confirmed_links(blocks(searched, threshold), "rest"), folder, "final")
+    final = grown_components(labels, confirmed_links(blocks(searched, percent), "rest"), folder, "final")
     # the smallest id of each component; classes without links are components of their own
     ids = classes.select("rep", "doc_id")
     smallest = final.join(ids, final["node"] == ids["rep"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
