@@ -3,9 +3,12 @@
 A classifier fitted on a labelled table (id, domain) gives each document a posterior over domains: naive Bayes on word counts in
 BUCKETS hash buckets, tempered by a factor that is chosen on the half of the labelled rows that wasn't counted. The expected tokens
 of domain d are then sum_i n_i p_id r_i for document rates r_i >= 0, and the rates minimise the squared distance to the target
-totals. Distances are weighted by the inverse of sum_i n_i p_i p_i' / sum_i n_i, and projected gradient steps run in the metric of
-the token counts: there no step of length 1 overshoots, and while no rate is held at 0 a single one arrives. A step is one aggregate over (n, p) rows: a few sums come to the driver, and a rate is folded from the
-steps' vectors where it is needed, so nothing is kept for a document but its row.
+totals. Distances are weighted by the inverse of sum_i n_i p_i p_i' / sum_i n_i. A projected gradient step runs in the metric of the
+token counts of those documents whose rate is above 0: while none more is held at 0 a single step arrives. Where that brings the totals
+hardly closer, the step runs in the metric of all documents, in which no step of length 1 overshoots. The fit ends when every share is
+within TOLERANCE, or when no step helps any more; targets that can't be met are approached for STEPS steps, with a warning. A step is
+one aggregate over (n, p) rows: a few sums come to the driver, and a rate is folded from the steps' vectors where it is needed, so
+nothing is kept for a document but its row.
 
 Weights that are `Repeated` are reached by repeating alone: rates are at least 1, and the total grows as far as the shares ask for. Of
 all such rates those are taken that differ least from 1: 1 + max(0, v (p - w)) for shares w and one vector v, found by Newton steps.
@@ -18,6 +21,7 @@ Bound: at most about MAX_LABELLED labelled rows are counted, taken by a hash of
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -107,25 +111,40 @@ def rate(steps: list[list[float]], size: int) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list[list[float]]:
-    """The steps that bring sum n p r to `targets` (in tokens), from rows (n_tokens, p)."""
+    """The steps that bring sum n p r to `targets` (in tokens), from rows (n_tokens, p); warns where `steps` of them don't."""
     size = len(targets)
     n = F.col("n_tokens").cast("double")
     p = [F.col("p")[k] for k in range(size)]
-    first = rows.agg(F.coalesce(F.sum(n), F.lit(0.0)), *(F.sum(n * p[j] * p[k]) for j in range(size) for k in range(size))).first()
-    total = first[0]
+
+    def at(made: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, the distances to the targets and the metric of rows with a rate above 0, by `total`."""
+        own = rows.select("n_tokens", "p", rate(made, size).alias("rate"))
+        on = F.when(F.col("rate") > 0, n).otherwise(0.0)
+        metric = [F.coalesce(F.sum(on * p[j] * p[k]), F.lit(0.0)) for j in range(size) for k in range(size)]
+        sums = own.agg(F.coalesce(F.sum(n), F.lit(0.0)), *(F.coalesce(F.sum(n * p[k] * F.col("rate")), F.lit(0.0)) for k in range(size)), *metric).first()
+        total = sums[0] or 1.0
+        return sums[0], (np.array(sums[1 : size + 1]) - targets) / total, np.array(sums[size + 1 :]).reshape(size, size) / total
+
+    inverse = lambda m: np.linalg.pinv(m, rcond=1e-9, hermitian=True)
+    total, gap, metric = at([])
     if not total:
         return []
-    weight = np.linalg.pinv(np.array(first[1:]).reshape(size, size) / total, rcond=1e-9, hermitian=True)
+    weight = inverse(metric)
     made: list[list[float]] = []
     for _ in range(steps):
-        old = rate(made[:-1], size)
-        new = F.greatest(F.lit(0.0), F.col("old") - _dot(F.col("p"), [F.lit(x) for x in made[-1]], size)) if made else F.col("old")
-        moved = rows.select("n_tokens", "p", old.alias("old")).select("n_tokens", "p", "old", new.alias("new"))
-        sums = moved.agg(*(F.sum(n * p[k] * F.col("new")) for k in range(size)), F.sum(n * (F.col("new") - F.col("old")) ** 2)).first()
-        gradient = (np.array(sums[:size]) - targets) / total
-        if np.abs(gradient).max() < TOLERANCE or made and sums[size] / total < TOLERANCE**2:
-            break
-        made.append((weight @ gradient).tolist())
+        if np.abs(gap).max() < TOLERANCE:
+            return made
+        loss = gap @ weight @ gap
+        for own, most in ((inverse(metric), 0.95), (weight, 1 - 1e-6)):
+            step = (own @ gap).tolist()
+            _, new_gap, new_metric = at([*made, step])
+            if new_gap @ weight @ new_gap < most * loss:
+                break
+        else:
+            return made
+        made.append(step)
+        gap, metric = new_gap, new_metric
+    warnings.warn(f"mixing: shares are still up to {np.abs(gap).max():.1e} off after {steps} steps", stacklevel=2)
     return made
 
 
