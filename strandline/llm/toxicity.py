@@ -1,13 +1,13 @@
 """Operator 8: toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; a sample of all texts, labelled or not, is the unlabelled set. A numpy logistic model
-minimises  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with l the logistic loss: the second term is the risk on
-negatives, corrected by the class prior pi, and is held non-negative (when it falls below zero its gradient is turned around).
-pi is the share of toxic rows among all labelled training rows. Features are the presence of words and word beginnings (by 64-bit hashes,
-so nothing collides) that stand out among positives or unlabelled texts by a two-sample z value.
-
-Bounds, documented parameters: MAX_POSITIVE and MAX_UNLABELLED texts (expected numbers, taken by a hash of the id) and MAX_WORDS
-words; what reaches the driver is bounded by them. Scoring reads whole texts and nothing but the text.
+Confirmed toxic texts are the positives; texts of the labels table, whatever their label says, are the unlabelled set. A numpy
+logistic model minimises  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with l the logistic loss: the second term is the risk
+on negatives, corrected by the class prior pi, and is held non-negative (when it falls below zero its gradient is turned around).
+pi is the share of toxic rows among all labelled training rows. Features are the presence of words and word beginnings (by 64-bit
+hashes, so nothing collides): all that stand out among positives or unlabelled texts by a two-sample z value.
+
+Bounds, documented parameters: MAX_POSITIVE and MAX_UNLABELLED labelled rows (expected numbers, taken by a hash of the id) are what
+the model is fitted on, and what reaches the driver is bounded by them. Scoring reads whole texts and nothing but the text.
 Results: null and empty texts get the score of a text without any known word; repeated rows get equal scores; without positives
 (or without labels) every score is the prior, 0 where there is none. Labels that are null don't count; of several the largest does.
 """
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import hashed_words, text_batches, word_table
+from strandline.llm.shared import hashed_words, shared_folder, text_batches, word_table, written
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 8_000, 16_000, 768
+MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
 #: A word must be in so many positives and stand out by so many standard deviations.
 LEAST_TEXTS, LEAST_Z = 3, 4.5
 STEPS, RATE, DECAY = 800, 0.1, 1e-5
@@ -60,20 +60,46 @@ def present(texts: list[str | None], words: np.ndarray) -> tuple[np.ndarray, np.
     return pairs // len(words), pairs % len(words)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model by full-batch Adam on the non-negative PU risk; rows are texts."""
-    size = positive.shape[1]
-    w = np.zeros(size + 1)
+class Presence:
+    """A 0/1 matrix of texts by words as the words of each text."""
+
+    def __init__(self, rows: list[np.ndarray], size: int):
+        self.lengths, self.size = np.array([len(r) for r in rows], np.int64), size
+        self.words = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        self.texts = np.repeat(np.arange(len(rows)), self.lengths)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.texts, weights[self.words], len(self))
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.words, values[self.texts], self.size)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def nnpu_risk(positive: Presence, unlabelled: Presence, prior: float, w: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """pi E_P[l(g)], E_U[l(-g)] - pi E_P[l(-g)] and the direction to descend against, for weights w (the bias last)."""
+    gp, gu = positive.times(w[:-1]) + w[-1], unlabelled.times(w[:-1]) + w[-1]
+    on_positives = prior * np.logaddexp(0, -gp).mean()
+    on_negatives = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    down = prior * (_sigmoid(gp) - 1) / len(gp)  # of pi * E_P[l(g)]
+    up_p, up_u = -prior * _sigmoid(gp) / len(gp), _sigmoid(gu) / len(gu)  # of the risk on negatives
+    dp, du = (down + up_p, up_u) if on_negatives >= 0 else (-up_p, -up_u)
+    return on_positives, on_negatives, np.append(positive.summed(dp) + unlabelled.summed(du), dp.sum() + du.sum())
+
+
+def fit_nnpu(positive: Presence, unlabelled: Presence, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model by full-batch Adam on the non-negative PU risk."""
+    w = np.zeros(positive.size + 1)
     w[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros(size + 1), np.zeros(size + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    first, second = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, steps + 1):
-        gp, gu = positive @ w[:-1].astype(np.float32) + w[-1], unlabelled @ w[:-1].astype(np.float32) + w[-1]
-        on_negatives = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        down = prior * (sigmoid(gp) - 1) / len(gp)  # of pi * E_P[l(g)]
-        up_p, up_u = -prior * sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)  # of the risk on negatives
-        dp, du = (down + up_p, up_u) if on_negatives >= 0 else (-up_p, -up_u)
-        gradient = np.append(positive.T @ dp.astype(np.float32) + unlabelled.T @ du.astype(np.float32), dp.sum() + du.sum())
+        gradient = nnpu_risk(positive, unlabelled, prior, w)[2]
         gradient[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
@@ -94,15 +120,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     texts = docs.where(~held_out(F.col(key))).select(F.col(key).alias("key"), F.col(text).alias("text"))
     labelled, positives = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    total = texts.where("key is not null").count()
     prior = positives / labelled if labelled else 0.0
-    if not positives or not total:
+    if not positives:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-12) / max(1 - prior, 1e-12))))
     prior = min(prior, 0.95)
-    picked = own.where("toxic = 1").where(_sampled(F.col("key"), MAX_POSITIVE / positives, "positive")).select("key", F.lit(1).alias("group")).limit(MAX_POSITIVE)
-    others = texts.where(_sampled(F.col("key"), MAX_UNLABELLED / total, "unlabelled")).select("key", "text", F.lit(0).alias("group"))
-    sample = texts.join(F.broadcast(picked), "key")  # ids of MAX_POSITIVE rows at most
-    sample = sample.select("text", "group").union(others.select("text", "group"))
+    known = own.where("toxic = 1").where(_sampled(F.col("key"), MAX_POSITIVE / positives, "positive")).select("key", F.lit(1).alias("group"))
+    known = known.union(own.where(_sampled(F.col("key"), MAX_UNLABELLED / labelled, "unlabelled")).select("key", F.lit(0).alias("group")))
+    picked = F.broadcast(known.limit(2 * (MAX_POSITIVE + MAX_UNLABELLED)))
+    # a table, as the texts are read for their words and again for the features
+    sample = written(texts.join(picked, "key").select("text", "group"), shared_folder(docs.sparkSession), "labelled-texts")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -119,24 +145,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n_p, n_u = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     pooled = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(pooled * (1 - F.least(pooled, F.lit(0.999999))) * (1 / n_p + 1 / n_u))
-    chosen = counts.where(F.col("p") + F.col("u") >= LEAST_TEXTS).select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS)
+    chosen = counts.where(F.col("p") + F.col("u") >= LEAST_TEXTS).where(F.abs(z) >= LEAST_Z).select("word")
     words = np.sort(np.array([r["word"] for r in chosen.collect()], np.int64).view(np.uint64))
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             owner, feature = present(batch["text"].to_pylist(), words)
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            rows = [feature[a:b].astype("<u2").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            rows = [feature[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch["group"], pa.array(rows, pa.binary())], ["group", "features"])
 
-    x = {0: [], 1: []}
+    x: dict[int, list[np.ndarray]] = {0: [], 1: []}
     for r in sample.mapInArrow(features_of, "group int, features binary").collect():  # bounded by the parameters above
-        row = np.zeros(len(words), np.float32)
-        row[np.frombuffer(r["features"], "<u2")] = 1
-        x[r["group"]].append(row)
+        x[r["group"]].append(np.frombuffer(r["features"], "<u4"))
     if not x[1] or not x[0]:
         return Model(words[:0], np.zeros(0), float(np.log(prior / (1 - prior))))
-    weights, bias = fit_nnpu(np.array(x[1]), np.array(x[0]), prior)
+    weights, bias = fit_nnpu(Presence(x[1], len(words)), Presence(x[0], len(words)), prior)
     return Model(words, weights, bias)
 
 
