@@ -7,8 +7,9 @@ annulus than max(d - farthest, nearest - d, 0). It first visits the FIRST annuli
 gives a radius, and then it goes to those others whose bound isn't beyond it: the rest can't hold a better vector.
 
 Pivots are fitted on a bounded sample (SAMPLE rows); every vector is indexed and every bound is exact up to a slack for rounding.
-Blocks are parts of annuli of about BLOCK rows (equal distances are parted by a hash), so no task gets more at once. The table of
-annuli has at most ANNULI rows and a part for each pivot, whatever the data's size; queries are never collected.
+Blocks are parts of annuli of about BLOCK rows, 2 * BLOCK at most on average (parted by a hash), and the visits to a block are dealt in
+salts of about VISITS, so no task gets more at once. The table of annuli has at most 64 rows for each of at most 256 pivots, whatever
+the data's size; queries are never collected.
 Results: vectors that are null or hold null or non-finite components, and rows without an id, take no part; shorter vectors count
 as filled up with zeros; ties go to the smaller id; fewer than k others give fewer rows.
 """
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import shared_folder, written
+from strandline.llm.shared import removed, shared_folder, written
 
-SAMPLE, BLOCK, ANNULI, FIRST = 4096, 2048, 32_768, 3
+SAMPLE, BLOCK, FIRST = 4096, 2048, 3
+#: Visits to a block that are searched together, about.
+VISITS = 65_536
 
 
 def integers(vector: Column) -> Column:
@@ -111,11 +114,13 @@ def _visits(queries: DataFrame, annuli: list, pivots: np.ndarray, norm: float, d
     return queries.mapInArrow(run, "query_id long, v array<long>, least long, block long")
 
 
-def _searched(visits: DataFrame, index: DataFrame, k: int, dim: int) -> DataFrame:
+def _searched(visits: DataFrame, index: DataFrame, k: int, dim: int, salts: int) -> DataFrame:
     """query_id, vec_id, score: the k best of each visited block, those of `least` and more only."""
-    rows = index.select("block", F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("long").alias("least"))
-    rows = rows.join(visits.select("block").distinct(), "block", "left_semi")
-    both = rows.union(visits.select("block", F.lit(1).alias("kind"), F.col("query_id").alias("vec_id"), "v", "least"))
+    group = (F.col("block") * salts + F.pmod(F.xxhash64("query_id"), F.lit(salts))).alias("group")
+    visits = visits.select(group, "block", F.lit(1).alias("kind"), F.col("query_id").alias("vec_id"), "v", "least")
+    rows = index.join(visits.select("block", "group").distinct(), "block")
+    rows = rows.select("group", F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("long").alias("least"))
+    both = rows.union(visits.drop("block")).withColumnRenamed("group", "block")
     both = both.repartition("block").sortWithinPartitions("block", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,21 +194,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32()), pa.array(d[np.arange(len(d)), nearest])], ["vec_id", "v", "pivot", "distance"])
 
     placed = written(rows.mapInArrow(keyed, "vec_id long, v array<long>, pivot int, distance double"), folder, "keyed")
-    block = max(BLOCK, n // ANNULI)
     cuts = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("distance", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    edges = cuts.select("pivot", F.ceil(F.col("rows") / block).cast("int").alias("wanted"), "cuts")
+    edges = cuts.select("pivot", F.least(F.lit(64), F.ceil(F.col("rows") / BLOCK)).cast("int").alias("wanted"), "cuts")
     edges = edges.select("pivot", F.array_distinct(F.filter("cuts", lambda c, i: F.floor((i + 1) * F.col("wanted") / 64) > F.floor(i * F.col("wanted") / 64))).alias("cuts"))
     ring = F.size(F.filter("cuts", lambda c: c <= F.col("distance")))
     ringed = placed.join(F.broadcast(edges), "pivot").withColumn("annulus", (F.col("pivot") * 64 + ring).cast("long")).drop("cuts")  # a row for each pivot, 256 at most
     table = ringed.groupBy("annulus", "pivot").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count(F.lit(1)).alias("rows"))
-    table = table.withColumn("parts", F.ceil(F.col("rows") / (2 * block)).cast("int"))
+    table = table.withColumn("parts", F.ceil(F.col("rows") / (2 * BLOCK)).cast("int"))
     annuli = table.orderBy("annulus").collect()  # at most 64 for each of at most 256 pivots
     parts = spark.createDataFrame([(r["annulus"], r["parts"]) for r in annuli], "annulus long, parts int")
     index = ringed.join(F.broadcast(parts), "annulus").select("vec_id", "v", (F.col("annulus") * (1 << 20) + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"))
     index = written(index, folder, "index")
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", F.lit(None).cast("long").alias("least")).dropDuplicates(["query_id"])
-    first = written(_best(_searched(_visits(queries, annuli, pivots, norm, dim, False), index, k, dim), k), folder, "first")
+    salts = queries.count() // VISITS + 1
+    first = written(_best(_searched(_visits(queries, annuli, pivots, norm, dim, False), index, k, dim, salts), k), folder, "first")
     least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     known = queries.drop("least").join(least, "query_id", "left").select("query_id", "v", F.col("kth").alias("least"))
-    more = _searched(_visits(known, annuli, pivots, norm, dim, True), index, k, dim)
+    removed(spark, folder, "keyed")
+    more = _searched(_visits(known, annuli, pivots, norm, dim, True), index, k, dim, salts)
     return _best(first.select("query_id", "vec_id", "score").union(more), k).select("query_id", "rank", "vec_id", "score")

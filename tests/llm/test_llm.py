@@ -230,7 +230,40 @@ def test_toxicity(spark, documents):
     assert len(none) == 12 and none.score.between(0, 1).all()
 
 
-def test_top_k(spark):
+def brute_risk(positive, unlabelled, prior, w):
+    g = lambda rows: [sum(w[k] for k in r) + w[-1] for r in rows]
+    loss = lambda z: float(np.log1p(np.exp(-z)))
+    on_positives = prior * np.mean([loss(z) for z in g(positive)])
+    on_negatives = np.mean([loss(-z) for z in g(unlabelled)]) - prior * np.mean([loss(-z) for z in g(positive)])
+    return on_positives, on_negatives
+
+
+def test_nnpu_risk_and_direction():
+    rng = np.random.default_rng(1)
+    seen = set()
+    for prior in (0.05, 0.3, 0.9):
+        for _ in range(10):
+            rows = [[np.flatnonzero(rng.random(5) < 0.4) for _ in range(n)] for n in (6, 15)]
+            w = rng.normal(size=6) * 2
+            made = [toxicity.Presence(r, 5) for r in rows]
+            positive, negative, direction = toxicity.nnpu_risk(*made, prior, w)
+            np.testing.assert_allclose([positive, negative], brute_risk(*rows, prior, w), rtol=1e-9)
+            # downhill of the whole risk while that on negatives is positive, uphill of it alone when it isn't
+            seen.add(negative >= 0)
+            of = lambda w: sum(brute_risk(*rows, prior, w)) if negative >= 0 else -brute_risk(*rows, prior, w)[1]
+            numeric = [(of(w + 1e-6 * e) - of(w - 1e-6 * e)) / 2e-6 for e in np.eye(6)]
+            np.testing.assert_allclose(direction, numeric, atol=1e-6)
+    assert seen == {True, False}
+
+
+def test_toxicity_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    p = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).toPandas()
+    known = spark.read.parquet(f"{d}/labels.parquet").toPandas().merge(p[p.held_out], on="doc_id")
+    assert (known.toxic == known.predicted).mean() > 0.95
+
+
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.normal(size=(300, 8)), np.tile(rng.normal(size=8), (200, 1))]).astype(np.float32)
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, None), (1050, [float("nan")] * 8), (1100, [None] * 8), (None, [1.0] * 8)]
@@ -242,6 +275,11 @@ def test_top_k(spark):
         order = sorted((j for j in range(500) if j != k), key=lambda j: (-int(q[k] @ q[j]), j))[:5]
         want |= {(k, i + 1): (j, int(q[k] @ q[j])) for i, j in enumerate(order)}
     assert got == want
+    monkeypatch.setattr(top_k, "BLOCK", 16)
+    monkeypatch.setattr(top_k, "VISITS", 3)
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k.top_k(df, F.col("vec_id") % 50 == 0).collect()} == want
+    short = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, []), (3, [1.0, 2.0]), (4, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k.top_k(short, F.col("vec_id") == 0, 9).orderBy("rank").collect()] == [(3, 5 * 65536), (4, 5 * 65536), (4, 5 * 65536), (1, 65536), (2, 0)]
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -250,15 +288,55 @@ def test_mixing_meets_targets(spark, documents):
     rows = [(k, " ".join(rng.choice([f"{'ab'[k % 2]}{j}" for j in range(30)] + ["c"] * 20, 30))) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(0, 200)], "doc_id long, domain string")
-    p = mixing.mixture(docs, labels, {"a": 0.7, "b": 0.3}, steps=8).toPandas()
+    p = mixing.mixture(docs, labels, {"a": 0.7, "b": 0.3}).toPandas()
     shares = (np.array(p.p.tolist()) * (p.n_tokens * p.rate).to_numpy()[:, None]).sum(0) / p.n_tokens.sum()
-    assert np.abs(shares - [0.7, 0.3]).max() < 1e-2 and (p.rate >= 0).all() and (p.domain == ["ab"[k % 2] for k in p.doc_id]).mean() > 0.95
+    assert np.abs(shares - [0.7, 0.3]).max() < 1e-6 and (p.rate >= 0).all() and (p.domain == ["ab"[k % 2] for k in p.doc_id]).mean() > 0.95
     mixed = mixing.mixed_documents(docs, labels, {"a": 0.7, "b": 0.3}, at_least=1, steps=3)
     assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == 300
     assert mixing.mixture(documents, labels, {"a": 1.0, "b": 1.0}, steps=2).count() == 12
     assert mixing.mixture(documents.limit(0), labels, {"a": 1.0, "b": 1.0}, steps=2).count() == 0
 
 
+@pytest.mark.parametrize("targets", [[0.5, 0.3, 0.2], [0.05, 0.9, 0.05], [0.9, 0.05, 0.05], [0.0, 0.0, 1.0]])
+def test_rates_against_plain_projected_gradient(spark, targets):
+    rng = np.random.default_rng(8)
+    p, n = rng.dirichlet([1.0, 0.6, 0.4], 400), rng.integers(1, 60, 400).astype(float)
+    if targets[0] == 0.9:
+        p = 0.2 * p + 0.8 / 3  # no text is likely enough to be of the first domain: these targets can't be met
+    total = n.sum()
+    goal = np.array(targets) * total
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    steps = mixing.fit_rates(rows, goal.tolist())
+    got = np.array([r.rate for r in rows.select(mixing.rate(steps, 3).alias("rate")).collect()])
+    weight = np.linalg.pinv((p * n[:, None]).T @ p / total, rcond=1e-9, hermitian=True)
+    loss = lambda r: ((p * (n * r)[:, None]).sum(0) - goal) @ weight @ ((p * (n * r)[:, None]).sum(0) - goal) / total**2
+    plain = np.ones(400)
+    for _ in range(mixing.STEPS):
+        plain = np.maximum(0, plain - p @ (weight @ ((p * (n * plain)[:, None]).sum(0) - goal)) / total)
+    assert (got >= 0).all() and loss(got) <= loss(plain) * (1 + 1e-9) + 1e-15
+    if 0 < targets[0] < 0.9:
+        assert len(steps) < 15
+        assert np.abs((p * (n * got)[:, None]).sum(0) - goal).max() / total < 1e-6
+
+
+def test_repeats_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    p, n = rng.dirichlet([2.0, 1.0], 300), rng.integers(1, 60, 300).astype(float)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    shares = np.array([0.45, 0.55])
+    v = np.array(mixing.fit_repeats(rows, shares.tolist()))
+    rate = lambda v: 1 + np.maximum(0, (p - shares) @ v)
+    reached = (p * (n * rate(v))[:, None]).sum(0) / (n * rate(v)).sum()
+    assert np.abs(reached - shares).max() < 1e-4
+    # of two domains one number decides; found by halving
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        own = rate(np.array([-mid, mid]) / 2)
+        low, high = (mid, high) if (p[:, 1] * n * own).sum() / (n * own).sum() < 0.55 else (low, mid)
+    assert np.abs(rate(v) - rate(np.array([-mid, mid]) / 2)).max() < 1e-2
+
+
 def test_mixing_stage_reaches_shares(spark, tmp_path):
     import corpus_pipeline
 
