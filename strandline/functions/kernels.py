@@ -11,8 +11,9 @@ def disk(radius: int) -> np.ndarray:
 
 
 def dilated(mask: np.ndarray, footprint: np.ndarray) -> np.ndarray:
+    """Pixels that the footprint covers when its centre (the later one of even sizes) lies on a pixel of the mask."""
     (h, w), (a, b) = footprint.shape, (footprint.shape[0] // 2, footprint.shape[1] // 2)
-    padded = np.pad(mask.astype(bool), ((a, h - 1 - a), (b, w - 1 - b)))
+    padded = np.pad(mask.astype(bool), ((h - 1 - a, a), (w - 1 - b, b)))
     out = np.zeros(mask.shape, bool)
     for i, j in zip(*np.nonzero(footprint[::-1, ::-1]), strict=True):
         out |= padded[i : i + mask.shape[0], j : j + mask.shape[1]]
@@ -20,38 +21,47 @@ def dilated(mask: np.ndarray, footprint: np.ndarray) -> np.ndarray:
 
 
 def eroded(mask: np.ndarray, footprint: np.ndarray) -> np.ndarray:
-    return ~dilated(~mask.astype(bool), footprint[::-1, ::-1])
+    """Pixels on which the footprint lies within the mask; what is beyond the image counts as masked."""
+    (h, w), (a, b) = footprint.shape, (footprint.shape[0] // 2, footprint.shape[1] // 2)
+    padded = np.pad(mask.astype(bool), ((a, h - 1 - a), (b, w - 1 - b)), constant_values=True)
+    out = np.ones(mask.shape, bool)
+    for i, j in zip(*np.nonzero(footprint), strict=True):
+        out &= padded[i : i + mask.shape[0], j : j + mask.shape[1]]
+    return out
 
 
 def opened(mask: np.ndarray, footprint: np.ndarray) -> np.ndarray:
     return dilated(eroded(mask, footprint), footprint)
 
 
-def labelled(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
-    """Numbers of connected parts from 1, 0 outside, by union of run neighbours."""
-    mask = mask.astype(bool)
-    parent = np.arange(mask.size)
+def joined_labels(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The smallest number reachable from each of 0..size-1 over links (a, b), by hooking and pointer jumping."""
+    low = np.arange(size)
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return low
+        np.minimum.at(low, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not (low[low] == low).all():
+            low = low[low]
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
 
+def labelled(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """Numbers of connected parts from 1, 0 outside."""
+    mask = mask.astype(bool)
     number = np.arange(mask.size).reshape(mask.shape)
-    shifts = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    for dr, dc in shifts:
-        a = number[: mask.shape[0] - dr, max(0, -dc) : mask.shape[1] - max(0, dc)]
-        b = number[dr:, max(0, dc) : mask.shape[1] + min(0, dc)]
+    links = []
+    for dr, dc in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else []):
+        a = number[: mask.shape[0] - dr, max(0, -dc) : mask.shape[1] - max(0, dc)].ravel()
+        b = number[dr:, max(0, dc) : mask.shape[1] + min(0, dc)].ravel()
         both = mask.ravel()[a] & mask.ravel()[b]
-        for i, j in zip(a[both].tolist(), b[both].tolist(), strict=True):
-            i, j = root(i), root(j)
-            if i != j:
-                parent[max(i, j)] = min(i, j)
-    roots = np.array([root(k) for k in range(mask.size)]).reshape(mask.shape)
-    _, out = np.unique(np.where(mask, roots, -1), return_inverse=True)
-    out = out.reshape(mask.shape)
-    return out + 1 if mask.all() else out
+        links.append((a[both], b[both]))
+    low = joined_labels(*(np.concatenate(side) for side in zip(*links, strict=True)), mask.size)
+    out = np.zeros(mask.size, int)
+    inside = mask.ravel()
+    out[inside] = np.unique(low[inside], return_inverse=True)[1] + 1
+    return out.reshape(mask.shape)
 
 
 def without_small(mask: np.ndarray, least: int, diagonal: bool = False) -> np.ndarray:
@@ -85,6 +95,13 @@ def features(bands: np.ndarray) -> np.ndarray:
     return np.stack([*own, *(local_std(x) for x in own)], -1)
 
 
+def histogram_matched(source: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Each value of source as the template's value at the same share of its distribution, linear in between, ends held."""
+    _, at, counts = np.unique(source, return_inverse=True, return_counts=True)
+    values, template_counts = np.unique(template, return_counts=True)
+    return np.interp(np.cumsum(counts) / source.size, np.cumsum(template_counts) / template.size, values)[at]
+
+
 def pansharpened(bands: np.ndarray, pan: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Three bands with their first principal component replaced by the pan band matched to it. The component's sign is the one in
     which its largest loading is positive; more than 95 % masked pixels leave the bands as they are."""
@@ -96,10 +113,51 @@ def pansharpened(bands: np.ndarray, pan: np.ndarray, mask: np.ndarray) -> np.nda
     _, vectors = np.linalg.eigh(np.cov((x - mean).T))
     vectors = vectors[:, ::-1] * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(3)])[::-1]
     scores = (x - mean) @ vectors
-    order = np.argsort(pan[good], kind="stable")
-    matched = np.empty(len(order))
-    matched[order] = np.sort(scores[:, 0])
-    scores[:, 0] = matched
+    scores[:, 0] = histogram_matched(pan[good], scores[:, 0])
     out = bands.copy()
     out[good] = scores @ vectors.T + mean
     return out
+
+
+#: Values of quality bands that mean cloud or cirrus (fixed values): Sentinel-2, collection 1 of L8 and L9, and of older Landsats.
+CLOUD_VALUES = {"S2": (1024, 2048), "L8": (2800, 2804, 2808, 2812, 6896, 6900, 6904, 6908), "L5": (752, 756, 760, 764)}
+
+
+def cloud_values(qa: np.ndarray, satname: str, collection: str) -> np.ndarray:
+    """The values of a quality band that mean cloud; of collection 2 those with bit 1, 2 or 3."""
+    found = np.unique(qa)
+    if satname != "S2" and collection == "C02":
+        return found[found & 0b1110 != 0]
+    return np.intersect1d(found, CLOUD_VALUES["S2" if satname == "S2" else "L8" if satname in ("L8", "L9") else "L5"])
+
+
+def cloud_mask(qa: np.ndarray, satname: str, collection: str = "C02", issue: bool = False) -> np.ndarray:
+    """Cloud pixels without parts of fewer than 40. Where sand is taken for cloud (`issue`), each value's pixels are opened by a square
+    of 6 and its parts of fewer than 100 dropped instead."""
+    values = cloud_values(qa, satname, collection)
+    if issue:
+        out = np.zeros(qa.shape, bool)
+        for value in values:
+            out |= without_small(opened(qa == value, np.ones((6, 6), bool)), 100)
+        return out
+    mask = np.isin(qa, values)
+    return without_small(mask, 40) if mask.any() and not mask.all() else mask
+
+
+def without_padding(band: np.ndarray) -> np.ndarray:
+    """False on the all-zero rows and columns at the edges of a band."""
+    inside = np.zeros(band.shape, bool)
+    rows, cols = (np.flatnonzero((band != 0).any(k)) for k in (1, 0))
+    if len(rows):
+        inside[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1] = True
+    return inside
+
+
+def in_polygon(height: int, width: int, ring: np.ndarray) -> np.ndarray:
+    """Pixels whose centre (column, row) lies inside a ring, by crossings of a ray."""
+    x, y = np.meshgrid(np.arange(width), np.arange(height))
+    inside = np.zeros((height, width), bool)
+    for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, 0), strict=True):
+        if ay != by:
+            inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return inside

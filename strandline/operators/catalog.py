@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,30 @@ def not_cloudy(df: DataFrame, percent: str, threshold: float = 0.95) -> DataFram
     return df.where(F.col(percent) <= threshold * 100)
 
 
+def of_tile(df: DataFrame, tile: str, name: str | None) -> DataFrame:
+    """Scenes of one tile; without a name all."""
+    return df if name is None else df.where(F.col(tile) == name)
+
+
 def in_months(df: DataFrame, ts: str, months: list[int]) -> DataFrame:
     return df.where(F.month(ts).isin(*months)) if months else df
 
 
+def within_dates(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
+    """Rows from the midnight of `start` to that of `end`, both included."""
+    return df.where(F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+
+
+def quality_and_accuracy(properties: Column, satname: Column) -> tuple[Column, Column]:
+    """Image quality and geometric accuracy of a scene's properties (a map) by the names that missions and eras use; without one
+    Landsat has quality NA and 12 metres, Sentinel-2 PASSED for both."""
+    s2, old = satname == "S2", satname.isin("L5", "L7")
+    quality = F.when(s2, first_property(properties, ["RADIOMETRIC_QUALITY", "RADIOMETRIC_QUALITY_FLAG"], F.lit("PASSED"))).when(old, first_property(properties, ["IMAGE_QUALITY"], F.lit("NA")))
+    flags = ["GEOMETRIC_QUALITY_FLAG", "GEOMETRIC_QUALITY", "quality_check", "GENERAL_QUALITY_FLAG"]
+    accuracy = F.when(s2, first_property(properties, flags, F.lit("PASSED"))).otherwise(first_property(properties, ["GEOMETRIC_RMSE_MODEL"], F.lit("12")))
+    return quality.otherwise(first_property(properties, ["IMAGE_QUALITY_OLI"], F.lit("NA"))), accuracy
+
+
 def accurately_placed(df: DataFrame, accuracy: float, flag: str = "geo_flag", rmse: str = "geo_rmse", failed_is_minus_one: bool = True) -> DataFrame:
     """PASSED is kept, FAILED goes, a number is kept up to `accuracy`; -1 stands for failed unless told otherwise."""
     number = F.col(rmse) <= accuracy
@@ -88,25 +109,41 @@ def first_cloud_free(df: DataFrame, site: list[str], satname: str, cloud: str, l
     return good.groupBy(*site).agg(F.min_by(F.struct(*df.columns), F.struct("_rank", *order)).alias("_row")).select("_row.*")
 
 
-def one_projection(df: DataFrame, site: str, zone: str, ts: str, order: str) -> DataFrame:
-    """Scenes of the dominant zone (ties: the smallest), and of each group within 24 hours of an anchor the first two.
+def dominant(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by, name, n_values: the most frequent value (ties: the smallest) and how many there are."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("_n"), value)).alias(name), F.count(F.lit(1)).alias("n_values"))
+
+
+def first_per_group(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
-    Anchors are scanned in order, covered scenes included, so that the part by site runs in a Python group."""
-    counts = df.groupBy(site, zone).agg(F.count(F.lit(1)).alias("n"))
-    dominant = counts.groupBy(site).agg(F.min_by(zone, F.struct(-F.col("n"), zone)).alias("_zone"), F.count(F.lit(1)).alias("_zones"))
-    kept = df.join(dominant, site).where(F.col(zone) == F.col("_zone"))
 
+def repeated(df: DataFrame, value: str, key: str) -> DataFrame:
+    """value, keys of rows that share a value with others, in ascending order."""
+    return df.groupBy(value).agg(F.array_sort(F.collect_list(key)).alias("keys")).where(F.size("keys") > 1)
+
+
+def one_projection(df: DataFrame, site: str, zone: str, ts: str, order: str) -> DataFrame:
+    """Scenes of the dominant zone (ties: the smallest); of sites with several zones, a scene also goes if within 24 hours of any scene
+    of its site there are two earlier ones in `order`. Anchors may be covered scenes themselves, so that the part by site runs in a
+    Python group: a site's scenes within 24 hours of each other are few."""
+    kept = df.join(dominant(df, [site], zone, "_zone").withColumnRenamed("n_values", "_zones"), site).where(F.col(zone) == F.col("_zone"))
     columns = df.columns
 
     def thinned(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         if pdf["_zones"].iloc[0] > 1:
-            gone: set[int] = set()
-            t = pdf[ts]
-            for k in range(len(pdf)):
-                near = [j for j in range(len(pdf)) if abs((t[j] - t[k]).total_seconds()) < 86400]
-                gone.update(near[2:])
-            pdf = pdf.drop(index=sorted(gone))
+            t = pdf[ts].astype("int64" if pdf[ts].dtype.kind == "M" else float).to_numpy()
+            unit = {"s": 1, "ms": 10**3, "us": 10**6, "ns": 10**9}[np.datetime_data(pdf[ts].dtype)[0]] if pdf[ts].dtype.kind == "M" else 1
+            by_time = np.argsort(t, kind="stable")
+            low = np.searchsorted(t[by_time], t - 86400 * unit, "right")
+            high = np.searchsorted(t[by_time], t + 86400 * unit, "left")
+            gone = np.zeros(len(pdf), bool)
+            for a, b in {(a, b) for a, b in zip(low, high, strict=True) if b - a > 2}:
+                gone[np.sort(by_time[a:b])[2:]] = True
+            pdf = pdf[~gone]
         return pdf[columns]
 
     return kept.select(*columns, "_zones", F.col(site).alias("_site")).groupBy("_site").applyInPandas(thinned, df.schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.series import surrounded
+
 
 def cover(df: DataFrame, by: list[str], cloud: Column, nodata: Column) -> DataFrame:
     """combined: share of pixels in either mask; cover: pixels in exactly one, by pixels with data."""
@@ -89,15 +91,18 @@ def contour_points(df: DataFrame, by: list[str], value: str, level: Column) -> D
     return out
 
 
-def away_from(points: DataFrame, others: DataFrame, distance: float, key: str) -> DataFrame:
-    """Points (x, y) without any of `others` (x, y) closer than `distance`, by grid cells of that size and their neighbours."""
+def away_from(points: DataFrame, others: DataFrame, distance: float, by: list[str] = ()) -> DataFrame:
+    """Points (by, x, y) without any of `others` (by, x, y) closer than `distance`, by grid cells of that size and their neighbours."""
     cell = lambda df: df.withColumn("_i", F.floor(F.col("x") / distance)).withColumn("_j", F.floor(F.col("y") / distance))
     around = F.expr("sequence(-1, 1)")
-    spread = cell(others.select("x", "y").distinct()).withColumn("_di", F.explode(around)).withColumn("_dj", F.explode(around))
-    spread = spread.select(F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("_i") + F.col("_di")).alias("_i"), (F.col("_j") + F.col("_dj")).alias("_j"))
+    spread = cell(others.select(*by, "x", "y").distinct()).withColumn("_di", F.explode(around)).withColumn("_dj", F.explode(around))
+    spread = spread.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("_i") + F.col("_di")).alias("_i"), (F.col("_j") + F.col("_dj")).alias("_j"))
     own = cell(points)
+    same = (own["_i"] == spread["_i"]) & (own["_j"] == spread["_j"])
+    for c in by:
+        same = same & (own[c] == spread[f"_{c}"])
     near = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) < distance
-    return own.join(spread, (own["_i"] == spread["_i"]) & (own["_j"] == spread["_j"]) & near, "left_anti").drop("_i", "_j")
+    return own.join(spread, same & near, "left_anti").drop("_i", "_j")
 
 
 def mosaic(df: DataFrame, value: str, nodata: float, order: str) -> DataFrame:
@@ -105,25 +110,32 @@ def mosaic(df: DataFrame, value: str, nodata: float, order: str) -> DataFrame:
     return df.where(F.col(value) != nodata).groupBy("r", "c").agg(F.max_by(value, order).alias(value))
 
 
-def histogram_matched(source: DataFrame, template: DataFrame, key: str, value: str) -> DataFrame:
-    """source with `matched`: the template's value at the same share of its distribution, linear in between, ends held.
-
-    Shares are taken on distinct values with their counts, so pixels of one value travel once; the windows over distinct values are
-    of one series and have its distinct values, not its pixels."""
-    def cdf(df: DataFrame, names: tuple[str, str]) -> DataFrame:
-        counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias(names[0])).agg(F.count(F.lit(1)).alias("_n"))
-        run = F.sum("_n").over(Window.orderBy(names[0]).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_n").over(Window.partitionBy())
-        return counts.select(names[0], run.alias(names[1]))
-
-    s, t = cdf(source, ("v", "q")), cdf(template, ("tv", "tq"))
-    both = s.select("q", "v", F.lit(1).alias("side"), F.lit(None).cast("double").alias("tv")).unionByName(t.select(F.col("tq").alias("q"), F.lit(None).cast("double").alias("v"), F.lit(0).alias("side"), "tv"))
-    point = F.when(F.col("side") == 0, F.struct("q", "tv"))
-    low = F.last(point, ignorenulls=True).over(Window.orderBy("q", "side").rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(point, ignorenulls=True).over(Window.orderBy("q", F.col("side").desc()).rowsBetween(0, Window.unboundedFollowing))
-    m = both.withColumn("lo", low).withColumn("hi", high).where("side = 1")
-    lerp = F.col("lo.tv") + F.try_divide((F.col("q") - F.col("lo.q")) * (F.col("hi.tv") - F.col("lo.tv")), F.col("hi.q") - F.col("lo.q"))
-    m = m.select("v", F.when(F.col("lo").isNull(), F.col("hi.tv")).when(F.col("hi").isNull(), F.col("lo.tv")).otherwise(F.coalesce(lerp, F.col("lo.tv"))).alias("matched"))
-    return source.join(m, source[value] == m["v"], "left").select(key, "matched")
+def _shares(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
+    """by, v, q: each distinct value and the share of the scene's values up to it. Sums run within each of `bins` equal ranges of the
+    scene's values, and then over the ranges."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = counts.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("_n").alias("_all"))
+    counts = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))  # one row
+    counts = counts.withColumn("_bin", F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(0)))
+    totals = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*by, "_bin", F.coalesce(before, F.lit(0)).alias("_base"))
+    within = F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_up", within).join(totals, [*by, "_bin"]).select(*by, "v", ((F.col("_base") + F.col("_up")) / F.col("_all")).alias("q"))
+
+
+def histogram_matched(source: DataFrame, template: DataFrame, keep: list[str], value: str, by: list[str] = (), bins: int = 1024) -> DataFrame:
+    """by, keep, matched of source: the template's value at the same share of its scene's distribution, linear in between, ends held.
+
+    Shares are taken on distinct values with their counts, so pixels of one value travel once. Scenes (`by`) are matched apart."""
+    by = list(by)
+    s, t = _shares(source, by, value, bins), _shares(template, by, value, bins).select(*by, F.col("q").alias("_t"), F.col("v").alias("_v"))
+    m = surrounded(s, t, by, F.col("q"), F.floor(F.col("_t") * bins))
+    lo, hi, q = F.col("_before"), F.col("_after"), F.col("_row.q")
+    lerp = lo["_v"] + F.try_divide((q - lo["_t"]) * (hi["_v"] - lo["_v"]), hi["_t"] - lo["_t"])
+    m = m.select(*(F.col(f"_row.{c}").alias(c) for c in by), F.col("_row.v").alias("_value"), F.when(lo.isNull(), hi["_v"]).when(hi.isNull(), lo["_v"]).otherwise(lerp).alias("matched"))
+    own = source.withColumn("_value", F.col(value).cast("double"))
+    return own.join(m, [*by, "_value"], "left").select(*by, *keep, "matched")
 
 
 def polyline_length(df: DataFrame, by: list[str], order: str, least: float = 0.0) -> DataFrame:

@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.series import by_time, surrounded
+
 
 def survey_match(series: DataFrame, surveys: DataFrame, by: list[str], date: str, value: str, survey_date: str, survey_value: str, min_days: int = 3, max_days: int = 10) -> DataFrame:
-    """series with `survey`: the closest survey's value if it is less than min_days away, else one interpolated by days between the
-    surveys around the date; NULL if the closest is farther than max_days or if no later survey exists."""
-    s = surveys.where(F.col(survey_value).isNotNull()).groupBy(*by, F.col(survey_date).alias("_t")).agg(F.min(survey_value).alias("_v"))
-    both = s.select(*by, "_t", "_v", F.lit(0).alias("_side"), F.lit(None).cast(series.select(F.struct("*")).schema[0].dataType).alias("_row")).unionByName(
-        series.select(*by, F.col(date).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_side"), F.struct(*series.columns).alias("_row"))
-    )
-    point = F.when(F.col("_side") == 0, F.struct("_t", "_v"))
-    before = F.last(point, ignorenulls=True).over(Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(1, Window.unboundedFollowing))
-    own = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1")
+    """series with `survey`: NULL if the closest survey is farther than max_days; its value if it is less than min_days away, also
+    where no survey follows; else one interpolated by days between the surveys around the date, NULL where one of them is missing."""
+    points = surveys.where(F.col(survey_value).isNotNull() & F.col(survey_date).isNotNull()).groupBy(*by, F.col(survey_date).alias("_t")).agg(F.min(survey_value).alias("_v"))
+    own = surrounded(series, points, by, F.col(date), by_time(F.col("_t"))).withColumnsRenamed({"_before": "_b", "_after": "_a"})
     days = lambda c: F.floor((F.unix_micros(F.col(f"{c}._t").cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp"))) / 86_400_000_000)
     gap_b, gap_a = F.abs(days("_b")), F.abs(days("_a"))
     least = F.least(gap_b, gap_a)
@@ -24,7 +20,7 @@ def survey_match(series: DataFrame, surveys: DataFrame, by: list[str], date: str
     ordinal = lambda c: F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
     x, x0, x1 = ordinal(F.col("_t")), ordinal(F.col("_b._t")), ordinal(F.col("_a._t"))
     between = F.col("_b._v") + F.try_divide((x - x0) * (F.col("_a._v") - F.col("_b._v")), (x1 - x0).cast("double"))
-    found = F.when(F.col("_a").isNull() | (least > max_days), None).when(least < min_days, closest).otherwise(between)
+    found = F.when(least > max_days, None).when(least < min_days, closest).otherwise(between)
     return own.select("_row.*", found.alias("survey"))
 
 
@@ -47,8 +43,22 @@ def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
 
 
 def normality(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean, deviation and population skewness and kurtosis, from which D'Agostino's test is made."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"))
+    """Mean, deviation, population skewness and excess kurtosis, and D'Agostino's K2 of both with its chance `p` under a normal
+    distribution (two degrees of freedom); K2 is NULL below 20 values, where its approximation doesn't hold."""
+    own = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"))
+    n, g1, g2 = F.col("n").cast("double"), F.col("skewness"), F.col("kurtosis")
+    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n**2 + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + F.sqrt(2 * (beta - 1))
+    of_skewness = F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(F.log(F.sqrt(w2)))
+    spread = 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    x = (g2 + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(spread)
+    third = 6 * (n**2 - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / third**2))
+    root = F.cbrt((1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4))))
+    of_kurtosis = (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a))
+    k2 = F.when(F.col("n") >= 20, of_skewness**2 + of_kurtosis**2)
+    return own.withColumn("k2", k2).withColumn("p", F.exp(-F.col("k2") / 2))
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -64,7 +74,13 @@ def class_shares(df: DataFrame, by: list[str], label: str, classes: list[int]) -
     return df.groupBy(*by).agg(*(F.avg((F.col(label) == k).cast("int")).alias(f"share_{k}") for k in classes))
 
 
-def subsample(df: DataFrame, by: str, key: Column, n: int) -> DataFrame:
-    """n rows of each class by a hash of their key (a sampling operator); ranks are cut before the shuffle."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
+def subsample(df: DataFrame, by: str, key: str, n: int, salt: int = 7919) -> DataFrame:
+    """n rows of each class (a sampling operator) in the order of an arithmetic hash of a whole-number key, which any engine can
+    repeat; ranks are cut before the shuffle."""
+    w = Window.partitionBy(by).orderBy(F.pmod(F.col(key) * salt + 13, F.lit(1_000_003)), key)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """n and the share of rows whose prediction is right."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(truth) == F.col(predicted)).cast("int")).alias("accuracy"))

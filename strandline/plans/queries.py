@@ -2,34 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scalar
 from strandline.operators import catalog, pixels, series, transects, validation
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def r6(c, name: str):
-    return F.round(c, 6).alias(name)
+from strandline.plans.registry import query, r6, table
 
 
 def scenes_and_tides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -112,11 +90,11 @@ def months_cloud_filter(spark, d):
     return catalog.not_cloudy(catalog.in_months(own, "l_shipdate", [1, 2, 12]), "l_discount", 0.05).where("l_quantity <= 25").select("l_orderkey", "l_linenumber", "l_discount")
 
 
-@query("""WITH u AS (SELECT o_orderkey AS k, o_custkey AS site, o_orderdate AS ts, 'L8' AS satname, 0 AS o FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_custkey, o_orderdate, 'S2', 1 FROM orders WHERE o_orderstatus = 'F')
+@query("""WITH u AS (SELECT o_orderkey AS k, o_custkey AS site, o_orderdate AS ts, 'L8' AS satname, 0 AS o FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_custkey, o_orderdate, 'S2', 1 FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_custkey, o_orderdate, 'L9', 2 FROM orders WHERE o_orderstatus NOT IN ('O', 'F'))
 SELECT k, site, satname, CAST(row_number() OVER (PARTITION BY site ORDER BY ts, o, k) - 1 AS INTEGER) AS idx FROM u""")
 def tier_union(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("site"), F.col("o_orderdate").alias("ts"), "o_orderstatus")
-    merged = catalog.merged_missions({"L8": o.where("o_orderstatus = 'O'"), "S2": o.where("o_orderstatus = 'F'")})
+    merged = catalog.merged_missions({"L8": o.where("o_orderstatus = 'O'"), "S2": o.where("o_orderstatus = 'F'"), "L9": o.where("o_orderstatus not in ('O', 'F')")})
     return catalog.chronological(merged, ["site"], "ts", ["sat_ord", "k"]).select("k", "site", "satname", "idx")
 
 
@@ -158,7 +136,7 @@ t AS (SELECT 'T' || n_nationkey AS name, 0.0::DOUBLE AS x0, n_nationkey * 4.0::D
 j AS (SELECT scene, name, (x - x0) * ux + (y - y0) * uy AS c FROM p, t WHERE abs((x - x0) * uy - (y - y0) * ux) <= {along} AND sqrt((x - x0) ** 2 + (y - y0) ** 2) <= 1000)"""
 
 
-@query(_LINES.format(along=10) + " SELECT scene, name, round(median(c), 6) AS chainage FROM j GROUP BY ALL")
+@query(_LINES.format(along=10).replace("<= 1000)", "<= 1000 AND abs(atan2(uy, ux) - atan2(y - y0, x - x0)) < pi() / 2)") + " SELECT scene, name, round(median(c), 6) AS chainage FROM j GROUP BY ALL")
 def transect_intersection(spark, d):
     p, t = points_and_lines(spark, d)
     return transects.intersections(p, t, 10, "scene").select("scene", "name", r6(F.col("chainage"), "chainage"))
@@ -174,10 +152,26 @@ def transect_qc(spark, d):
     return transects.quality_checked(p, t, p, "scene", 25, 3, 40, 120, 5, "auto", 0.3).select("scene", "name", "n", r6(F.col("chainage"), "chainage"))
 
 
-@query()
+#: The scan as a recursion over lists: `hit` is the first spike of the values left.
+_DESPIKE = """WITH RECURSIVE o AS (SELECT o_custkey, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS v, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders GROUP BY 1 HAVING count(*) >= 3),
+s AS (SELECT o_custkey, v, k, 0 AS step, TRUE AS more FROM o UNION ALL
+  SELECT o_custkey, v[:hit - 1] || v[hit + 1:], k[:hit - 1] || k[hit + 1:], step + 1, hit < len(v) - 1 FROM (
+    SELECT *, list_filter(range(1, len(v) + 1), lambda i: CASE
+      WHEN i = 1 THEN abs(v[1] - v[2]) > c WHEN i = len(v) THEN abs(v[i] - v[i-1]) > c
+      WHEN abs(v[i] - v[i-1]) > c AND abs(v[i] - v[i+1]) > c AND sign(v[i] - v[i-1]) = sign(v[i] - v[i+1]) THEN TRUE
+      WHEN i < 3 OR i > len(v) - 2 THEN FALSE
+      ELSE (abs(v[i] - v[i-1]) > c AND abs(v[i+1] - v[i+2]) > c AND sign(v[i] - v[i-1]) = sign(v[i+1] - v[i+2]))
+        OR (abs(v[i] - v[i+1]) > c AND abs(v[i-1] - v[i-2]) > c AND sign(v[i] - v[i+1]) = sign(v[i-1] - v[i-2]))
+        OR (abs(v[i-1] - v[i-2]) > 1.5 * c AND abs(v[i+1] - v[i+2]) > 1.5 * c AND abs(v[i] - v[i-1]) <= c AND abs(v[i] - v[i+1]) <= c AND sign(v[i-1] - v[i-2]) = sign(v[i+1] - v[i+2])) END)[1] AS hit
+    FROM (SELECT *, 150000.0::DOUBLE AS c FROM s WHERE more AND len(v) > 1)) WHERE hit IS NOT NULL),
+kept AS (SELECT unnest(k) AS o_orderkey FROM (SELECT arg_max(k, step) AS k FROM s GROUP BY o_custkey))
+SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM kept) THEN o_totalprice END AS o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM o)"""
+
+
+@query(_DESPIKE)
 def despike(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    return series.reject_outliers(o, "o_custkey", "o_orderdate", "o_totalprice", 150000, ["o_orderkey"], least=3)
+    return series.reject_outliers(o, ["o_custkey"], "o_orderdate", "o_totalprice", 150000, ["o_orderkey"], least=3)
 
 
 def grid(spark, d) -> DataFrame:
@@ -251,11 +245,11 @@ def contour_points(spark, d):
     return pixels.contour_points(grid(spark, d), [], "v", F.lit(0.1)).select(F.round("row", 5).alias("row"), F.round("col", 5).alias("col"))
 
 
-@query("""WITH p AS (SELECT event_id, value AS x, CAST(event_id * 37 % 1000 AS DOUBLE) AS y FROM events WHERE event_id % 2 = 0), k AS (SELECT value AS x, CAST(event_id * 37 % 1000 AS DOUBLE) AS y FROM events WHERE event_id % 20 = 1)
-SELECT event_id FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE sqrt((p.x - k.x) ** 2 + (p.y - k.y) ** 2) < 30)""")
+@query("""WITH p AS (SELECT event_id, value AS x, CAST(event_id * 37 % 1000 AS DOUBLE) AS y FROM events WHERE event_id % 2 = 0), k AS (SELECT value AS x, CAST(event_id * 37 % 1000 AS DOUBLE) AS y FROM events WHERE event_id % 2 = 1)
+SELECT event_id FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE sqrt((p.x - k.x) ** 2 + (p.y - k.y) ** 2) < 4)""")
 def cloud_distance_antijoin(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("value").alias("x"), (F.col("event_id") * 37 % 1000).cast("double").alias("y"))
-    return pixels.away_from(e.where("event_id % 2 = 0"), e.where("event_id % 20 = 1"), 30, "event_id").select("event_id")
+    return pixels.away_from(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), 4).select("event_id")
 
 
 @query(_GRID + " SELECT r % 200 AS r, c, round(arg_max(v, r), 6) AS v FROM g WHERE v <> 0 AND label % 4 <> 1 GROUP BY r % 200, c")
@@ -271,7 +265,7 @@ SELECT c_custkey, round(matched, 4) AS matched FROM customer JOIN m ON v = c_acc
 def hist_match(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v0"))
     s = table(spark, d, "supplier").select(F.col("s_acctbal").alias("v0"))
-    return pixels.histogram_matched(c, s, "c_custkey", "v0").select("c_custkey", F.round("matched", 4).alias("matched"))
+    return pixels.histogram_matched(c, s, ["c_custkey"], "v0").select("c_custkey", F.round("matched", 4).alias("matched"))
 
 
 _ERR = "WITH e AS (SELECT event_type, value AS est, avg(value) OVER (PARTITION BY user_id) AS truth FROM events)"
@@ -294,10 +288,16 @@ def error_hist(spark, d):
     return validation.histogram(table(spark, d, "events"), "value", 25.0).select("bin", "n_bin", F.round("density", 9).alias("density"))
 
 
-@query("SELECT event_type, count(value) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(kurtosis_pop(value), 5) AS kurtosis FROM events GROUP BY 1")
+@query("""WITH m AS (SELECT event_type, count(value)::DOUBLE AS n, avg(value) AS mean, stddev_pop(value) AS std FROM events GROUP BY 1),
+g AS (SELECT event_type, any_value(n) AS n, any_value(mean) AS mean, any_value(std) AS std, avg(((value - mean) / std) ** 3) AS g1, avg(((value - mean) / std) ** 4) AS b2 FROM events JOIN m USING (event_type) GROUP BY 1),
+s AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, -1 + sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) AS w2,
+  (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b1 FROM g),
+z AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))) AS zs, 6 + 8 / b1 * (2 / b1 + sqrt(1 + 4 / (b1 * b1))) AS a FROM s),
+k AS (SELECT *, ((1 - 2 / (9 * a)) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS zk FROM z)
+SELECT event_type, n::BIGINT AS n, round(mean, 5) AS mean, round(std, 5) AS std, round(g1, 5) AS skewness, round(b2 - 3, 5) AS kurtosis, round(zs * zs + zk * zk, 2) AS k2, round(exp(-(zs * zs + zk * zk) / 2), 5) AS p FROM k""")
 def error_normality(spark, d):
     n = validation.normality(table(spark, d, "events"), ["event_type"], "value")
-    return n.select("event_type", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), F.round("kurtosis", 5).alias("kurtosis"))
+    return n.select("event_type", "n", *(F.round(c, 5).alias(c) for c in ("mean", "std", "skewness", "kurtosis")), F.round("k2", 2).alias("k2"), F.round("p", 5).alias("p"))
 
 
 @query("SELECT quality, toxic, n, round(n / sum(n) OVER (PARTITION BY quality), 6) AS share FROM (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL)")
@@ -314,7 +314,7 @@ def mission_medians(spark, d):
 @query("""WITH s AS (SELECT event_id, user_id AS profile, CAST(ts AS DATE) AS day, value FROM events WHERE event_id % 3 <> 0), v AS (SELECT user_id AS profile, CAST(ts AS DATE) AS t, min(value) AS v FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
 b AS (SELECT s.*, v.t AS bt, v.v AS bv FROM s ASOF LEFT JOIN v ON s.profile = v.profile AND s.day >= v.t), a AS (SELECT s.event_id, v.t AS aft, v.v AS av FROM s ASOF LEFT JOIN v ON s.profile = v.profile AND s.day < v.t),
 g AS (SELECT b.event_id, bv, av, bt, aft, day, date_diff('day', bt, day) AS gb, date_diff('day', day, aft) AS ga FROM b JOIN a USING (event_id))
-SELECT event_id, round(CASE WHEN aft IS NULL OR least(gb, ga) > 2 THEN NULL WHEN least(gb, ga) < 1 THEN CASE WHEN gb <= ga THEN bv ELSE av END ELSE bv + date_diff('day', bt, day) * (av - bv) / date_diff('day', bt, aft) END, 5) AS survey FROM g""")
+SELECT event_id, round(CASE WHEN least(gb, ga) > 2 THEN NULL WHEN least(gb, ga) < 1 THEN CASE WHEN ga IS NULL OR gb <= ga THEN bv ELSE av END ELSE bv + date_diff('day', bt, day) * (av - bv) / date_diff('day', bt, aft) END, 5) AS survey FROM g""")
 def survey_match(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("profile"), F.to_date("ts").alias("day"), "value")
     surveys = e.where("event_id % 3 = 0").select("profile", F.col("day").alias("survey_day"), F.col("value").alias("position"))
@@ -338,10 +338,13 @@ def pixel_coordinates(spark, d):
     return e.select("event_id", r6(F.col("x"), "x"), r6(F.col("y"), "y"), r6(col, "col"), r6(row, "row"))
 
 
-@query("""SELECT ts, max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'view') AS view FROM (SELECT CAST(ts AS DATE) AS ts, event_type, max(value) AS value FROM events GROUP BY ALL) GROUP BY ts""")
+_TYPES = ["click", "error", "purchase", "search", "view"]
+
+
+@query("SELECT ts, " + ", ".join(f"max(value) FILTER (WHERE event_type = '{t}') AS \"{t}\"" for t in _TYPES) + " FROM (SELECT CAST(ts AS DATE) AS ts, event_type, value FROM events) GROUP BY ts")
 def wide_series(spark, d):
     e = table(spark, d, "events").groupBy(F.to_date("ts").alias("ts"), F.col("event_type").alias("name")).agg(F.max("value").alias("chainage"))
-    return transects.wide_series(e, "ts", ["click", "view"])
+    return transects.wide_series(e, "ts", _TYPES)
 
 
 @query("WITH s AS (SELECT user_id, sqrt((lead(value) OVER w - value) ** 2 + ((lead(event_id) OVER w - event_id) % 50) ** 2) AS l FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, count(*) AS n_points FROM s GROUP BY 1 HAVING sum(l) >= 500")
@@ -361,10 +364,10 @@ def area_filter(spark, d):
     return pixels.within_area(e, ["user_id"], [ring]).select("event_id")
 
 
-@query(_GRID + """, p AS (SELECT DISTINCT CAST(event_id % 500 AS INTEGER) AS r, CAST(event_id * 13 % 64 AS INTEGER) AS c FROM events WHERE event_id % 40 = 0)
+@query(_GRID + """, p AS (SELECT DISTINCT CAST(event_id % 500 * 3 AS INTEGER) AS r, CAST(event_id // 500 * 29 % 64 AS INTEGER) AS c FROM events)
 SELECT r, c, EXISTS (SELECT 1 FROM p WHERE p.r > 0 AND p.c > 0 AND (p.r - g.r) ** 2 + (p.c - g.c) ** 2 <= 9) AS near FROM g""")
 def reference_buffer(spark, d):
-    p = table(spark, d, "events").where("event_id % 40 = 0").select((F.col("event_id") % 500 + 0.5).alias("row"), (F.col("event_id") * 13 % 64 + 0.5).alias("col"))
+    p = table(spark, d, "events").select((F.col("event_id") % 500 * 3 + 0.5).alias("row"), (F.floor(F.col("event_id") / 500) * 29 % 64 + 0.5).alias("col"))
     return pixels.reference_buffer(grid(spark, d), [], p, 3).select("r", "c", "near")
 
 
@@ -445,6 +448,6 @@ def web_mercator(spark, d):
     return table(spark, d, "events").select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query()
+@query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY (event_id * 7919 + 13) % 1000003, event_id) <= 150")
 def class_subsample(spark, d):
-    return validation.subsample(table(spark, d, "events").select("event_id", "event_type"), "event_type", F.col("event_id"), 5000)
+    return validation.subsample(table(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", 150)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scalar import date_of_filename
+
 _COORDINATES = "array<array<double>>"
 SHORELINES = (
     "dates array<string>, shorelines array<array<array<double>>>, filename array<string>, cloud_cover array<double>, geoaccuracy array<string>, "
@@ -45,8 +47,6 @@ def metadata_fields(text: Column) -> Column:
 
 def scene_metadata(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """filename, epsg, geo_rmse, geo_flag, im_quality, im_width, im_height, acq_ts of metadata texts."""
-    from strandline.functions.scalar import date_of_filename
-
     m = df.withColumn("_m", metadata_fields(F.col(text)))
     georef = F.col("_m")["acc_georef"]
     return m.select(
@@ -75,9 +75,50 @@ def tides_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("dates timestamp, tide double").option("header", True).csv(path).select(F.col("dates").alias("ts"), "tide")
 
 
+def series_csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """name, acq_ts, chainage of a file of dates and one column for each transect."""
+    wide = spark.read.schema(", ".join(["dates timestamp", *(f"`{n}` double" for n in names)])).option("header", True).csv(path)
+    return wide.select("dates", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("chainage")) for n in names)))).withColumnRenamed("dates", "acq_ts")
+
+
 def surveys_csv(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("profile string, survey_date date, chainage double, elevation double").option("header", True).option("enforceSchema", True).csv(path)
-    return rows
+    """profile, survey_date, chainage, elevation; columns go by their place."""
+    return spark.read.schema("profile string, survey_date date, chainage double, elevation double").option("header", True).option("enforceSchema", True).csv(path)
+
+
+def frames_in_order(df: DataFrame, path: str) -> DataFrame:
+    """path and frame, its place from 0, in order of file names."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return df.select(path, (F.row_number().over(Window.partitionBy(F.regexp_replace(path, "[^/]*$", "")).orderBy(name, path)) - 1).alias("frame"))
+
+
+def exploded_points(df: DataFrame, pts: str, *keep: str) -> DataFrame:
+    """keep, pt_idx, x, y of lines as arrays."""
+    return df.select(*keep, F.posexplode(pts).alias("pt_idx", "_p")).select(*keep, "pt_idx", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+
+
+def collected_points(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, pts: points (x, y) as arrays in order."""
+    own = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "x", "y"))).alias("pts"))
+    return own.withColumn("pts", F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+
+
+def transects_json(df: DataFrame) -> DataFrame:
+    """One GeoJSON feature (`value`) a transect (name, x0, y0, x1, y1)."""
+    end = lambda k: F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    return features_json(df.withColumn("_line", F.array(end(0), end(1))), "_line", "lines", ["name"])
+
+
+def shorelines_arrays(df: DataFrame) -> DataFrame:
+    """One row of parallel arrays, as shorelines_json reads them, of a site's shorelines (acq_ts, satname, filename, cloud_cover,
+    geo_rmse, geo_flag, idx, mndwi_threshold, pts) in order of time: a file of one site; write with df.write.json."""
+    row = F.struct(
+        F.date_format("acq_ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("dates"), F.transform("pts", lambda p: F.array(p["x"], p["y"])).alias("shorelines"), "filename", "cloud_cover",
+        F.coalesce("geo_flag", F.col("geo_rmse").cast("string")).alias("geoaccuracy"), "idx", F.col("mndwi_threshold").alias("MNDWI_threshold"), "satname",
+    )
+    rows = df.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("acq_ts", "idx", row.alias("row")))), lambda r: r["row"]).alias("r"))
+    names = ["dates", "shorelines", "filename", "cloud_cover", "geoaccuracy", "idx", "MNDWI_threshold", "satname"]
+    return rows.select("site", *(F.col("r")[n].alias(n) for n in names))
 
 
 def geometry_json(pts: Column, kind: str) -> Column:

@@ -49,7 +49,66 @@ def test_despike(values, kept):
 
 def test_reject_outliers_needs_points(spark):
     df = spark.createDataFrame([("a", T0 + timedelta(days=k), float(k % 3)) for k in range(29)] + [("b", T0 + timedelta(days=k), float(k % 3)) for k in range(30)], "name string, ts timestamp, v double")
-    assert {r.name for r in series.reject_outliers(df, "name", "ts", "v", 40, []).collect()} == {"b"}
+    assert {r.name for r in series.reject_outliers(df, ["name"], "ts", "v", 40, []).collect()} == {"b"}
+
+
+def test_removed_points_are_null_rows(spark):
+    rows = [("a", T0 + timedelta(days=k), v, t) for k, (v, t) in enumerate([(0.0, 0.0), (1.0, 0.0), (100.0, 0.0), (None, 0.0), (2.0, 9.0), (1.0, None), (2.0, 0.1)])] + [("b", T0, None, 0.0)]
+    df = spark.createDataFrame(rows, "name string, ts timestamp, v double, t double").withColumn("_n", F.lit(1)).drop("_n")
+    got = series.reject_outliers(df, ["name"], "ts", "v", 40, [], "t", (-0.5, 0.5), least=2).orderBy("ts").collect()
+    assert [(r.name, r.v) for r in got] == [("a", v) for v in (0.0, 1.0, None, None, None, None, 2.0)]
+
+
+def scan_from_the_front(v, c):
+    """The rules as they are written: after each removal from the very front."""
+    own, at = list(v), list(range(len(v)))
+    again = True
+    while again and len(own) > 1:
+        again = False
+        for k in range(len(own)):
+            if series._spike(own, k, c):
+                again = k + 1 < len(own) - 1
+                del own[k], at[k]
+                break
+    return [k in at for k in range(len(v))]
+
+
+def test_despike_goes_on_where_it_may(spark):
+    rng = np.random.default_rng(0)
+    for n in range(400):
+        v = rng.choice([0.0, 1, 50, 90, -50], rng.integers(0, 14), p=[0.4, 0.2, 0.15, 0.15, 0.1])
+        assert series.despiked(v, 40).tolist() == scan_from_the_front(v, 40), v.tolist()
+
+
+def test_series_across_batches(spark):
+    rng = np.random.default_rng(1)
+    frames = [pd.DataFrame({"s": f"s{k:03}", "ts": [T0 + timedelta(days=i) for i in range(n)], "v": rng.choice([0.0, 1, 100], n, p=[0.5, 0.3, 0.2])}) for k, n in enumerate(rng.integers(1, 40, 60))]
+    df = spark.createDataFrame(pd.concat(frames))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = series.reject_outliers(df, ["s"], "ts", "v", 40, [], least=1).toPandas().sort_values(["s", "ts"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = np.concatenate([scan_from_the_front(f["v"].to_numpy(), 40) for f in frames])
+    assert (got["v"].notna().to_numpy() == want).all()
+
+
+def test_a_million_readings_of_one_site(spark):
+    tides = spark.range(1_000_000).select(F.lit(1).alias("site"), F.timestamp_seconds(F.col("id") * 900).alias("t"), F.col("id").cast("double").alias("v"))
+    scenes_ = spark.range(0, 1_000_000, 50).select(F.lit(1).alias("site"), F.timestamp_seconds(F.col("id") * 900 + 100).alias("ts"), F.col("id"))
+    near = series.as_of_nearest(scenes_, tides, ["site"], "ts", "t", "v", "v")
+    later = series.as_of_next(scenes_, tides, ["site"], "ts", "t", "v", "v")
+    assert near.where("v <> id").count() == 0 and later.where("v <> id + 1").count() == 0
+
+
+def test_as_of_without_points_times_or_sites(spark):
+    left = spark.createDataFrame([(1, T0), (2, T0), (None, T0), (1, None)], "site int, ts timestamp")
+    right = spark.createDataFrame([(1, T0 - timedelta(days=4000), 5.0), (1, T0 + timedelta(days=3000), 6.0), (None, T0, 9.0), (1, None, 8.0)], "site int, t timestamp, v double")
+    near = {(r.site, r.ts): r.v for r in series.as_of_nearest(left, right, ["site"], "ts", "t", "v", "v").collect()}
+    assert near == {(1, T0): 6.0, (2, T0): None, (None, T0): None, (1, None): None}
+    later = {(r.site, r.ts): r.v for r in series.as_of_next(left, right, ["site"], "ts", "t", "v", "v").collect()}
+    assert later == {(1, T0): 6.0, (2, T0): None, (None, T0): None, (1, None): None}
+    assert series.as_of_next(left.limit(0), right.limit(0), ["site"], "ts", "t", "v", "v").count() == 0
 
 
 def test_december_of_the_last_year_has_no_season(spark):
@@ -92,6 +151,24 @@ def test_quality_modes(spark):
         get("median")
 
 
+def test_quality_is_by_site(spark):
+    lines = spark.createDataFrame([("a", "T", 0.0, 0.0, 100.0, 0.0), ("b", "T", 0.0, 0.0, 100.0, 0.0), ("b", "U", 0.0, 50.0, 100.0, 50.0)], "site string, name string, x0 double, y0 double, x1 double, y1 double")
+    pts = spark.createDataFrame([("a", 1, 10.0, 0.0), ("a", 1, 60.0, 0.0), ("a", 1, 90.0, 0.0), ("b", 2, 10.0, 0.0), ("b", 2, 11.0, 0.0), ("b", 2, 12.0, 0.0)], "site string, scene int, x double, y double")
+    frame = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("b", 4)], "site string, scene int")
+    got = {(r.site, r.scene, r["name"]): (r.chainage, r.n) for r in transects.quality_checked(pts, lines, frame, "scene", share=0.3, site=["site"]).collect()}
+    # one of one scene of site a spreads; by all four scenes together it would be a quarter
+    assert got == {("a", 1, "T"): (90.0, 3), ("b", 2, "T"): (11.0, 3), ("b", 3, "T"): (None, 0), ("b", 4, "T"): (None, 0), ("b", 2, "U"): (None, 0), ("b", 3, "U"): (None, 0), ("b", 4, "U"): (None, 0)}
+
+
+def test_points_behind_the_origin_count_in_quality_only(spark):
+    lines = spark.createDataFrame([("E", 0.0, 0.0, 100.0, 0.0), ("W", 0.0, 0.0, -100.0, 1e-9)], "name string, x0 double, y0 double, x1 double, y1 double")
+    pts = spark.createDataFrame([(1, 10.0, 1.0), (1, 12.0, -1.0), (1, -30.0, 1.0), (1, -40.0, -1.0)], "scene int, x double, y double")
+    got = {r["name"]: r.chainage for r in transects.intersections(pts, lines, 10, "scene").collect()}
+    assert got["E"] == 11.0 and abs(got["W"] - 30) < 1e-6  # due west the half below is lost, as angles aren't wrapped
+    every = {r["name"]: r.chainage for r in transects.near_transects(pts, lines, 10, ["scene"]).groupBy("name").agg(F.median("chainage").alias("chainage")).collect()}
+    assert every["E"] == -10.0
+
+
 def test_create_transect(spark):
     p = spark.range(1).select(transects.create_transect(F.lit(1.0), F.lit(2.0), F.lit(90.0), 3).alias("p")).first().p
     assert len(p) == 4 and abs(p[3].x - 4) < 1e-9 and abs(p[3].y - 2) < 1e-9
@@ -122,6 +199,22 @@ def test_components_and_morphology():
     one[2, 2] = True
     assert (kernels.dilated(one, kernels.disk(1)) == np.array([[0] * 5, [0, 0, 1, 0, 0], [0, 1, 1, 1, 0], [0, 0, 1, 0, 0], [0] * 5], bool)).all()
     assert not kernels.opened(one, np.ones((2, 2), bool)).any()
+    block = np.zeros((20, 20), bool)
+    block[7:13, 5:11] = True
+    assert (kernels.opened(block, np.ones((6, 6), bool)) == block).all()
+    rng = np.random.default_rng(0)
+    for diagonal in (False, True):
+        mask = rng.random((30, 40)) < 0.5
+        parts, todo = np.zeros(mask.shape, int), {tuple(p) for p in np.argwhere(mask)}
+        while todo:
+            stack, number = [min(todo)], parts.max() + 1
+            while stack:
+                p = stack.pop()
+                if p in todo:
+                    todo.remove(p)
+                    parts[p] = number
+                    stack += [(p[0] + i, p[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if diagonal or 0 in (i, j)]
+        assert (kernels.labelled(mask, diagonal) == parts).all()
     assert kernels.flooded(np.array([[1.0, 1.1], [5, 1.2]]), (0, 0), 0.5).tolist() == [[True, True], [False, True]]
 
 
@@ -134,18 +227,120 @@ def test_scene_kernels(spark):
     np.testing.assert_allclose(scenes.sharpened(pan).first().bands, bands[:3], atol=1e-9)
 
 
+def test_equal_pan_pixels_get_equal_values():
+    x = np.random.default_rng(0).normal(size=(50, 3))
+    pan = np.repeat(np.arange(10.0), 5)
+    out = kernels.pansharpened(x, pan, np.zeros(50, bool))
+    _, vectors = np.linalg.eigh(np.cov((x - x.mean(0)).T))
+    first = (out - x.mean(0)) @ vectors[:, -1]
+    assert all(np.ptp(first[pan == k]) < 1e-9 for k in range(10))
+    assert kernels.histogram_matched(np.array([1.0, 1, 2, 3]), np.array([10.0, 20, 30, 40])).tolist() == [20.0, 20.0, 30.0, 40.0]
+
+
+def test_polygons_and_floods(spark):
+    bands = [[float(k * 7 + i % 5) for i in range(30)] for k in range(1, 6)]
+    tiles = spark.createDataFrame([("a", 5, 6, bands)], "scene_id string, height int, width int, bands array<array<double>>")
+    rings = spark.createDataFrame([("a", "sand", [(0.5, 0.5), (3.5, 0.5), (3.5, 2.5), (0.5, 2.5)])], "scene_id string, class string, ring array<struct<x:double,y:double>>")
+    rows = scenes.labelled_by_polygons(tiles, rings).collect()
+    assert len(rows) == 6 and all(r["class"] == "sand" and len(r.features) == 20 for r in rows)
+    flood = tiles.select("scene_id", "height", "width", F.array(*[F.lit(v) for v in [1.0, 1.0, 5.0] * 10]).alias("values"), F.array(*[F.lit(v) for v in [0.0] * 15 + [9.0] * 15]).alias("others"), F.lit(0).alias("seed_r"), F.lit(1).alias("seed_c"), F.lit(0.5).alias("tolerance"))
+    assert sum(scenes.flooded(flood).first().mask) == 6  # two columns, of which the first three rows are like the seed in the others
+
+
+def flat_scene(sat="L8", **more):
+    """30 x 40 pixels: water left of column 20, sand right of it; index (swir - g) / (swir + g) from -0.5 to 0.5."""
+    water = np.arange(40) < 20
+    plane = lambda w, s: np.tile(np.where(water, w, s), (30, 1)).ravel().tolist()
+    bands = [plane(0.1, 0.3), plane(0.3, 0.3), plane(0.1, 0.3), plane(0.1, 0.6), plane(0.1, 0.9)]
+    row = {"scene_id": "a", "site": "s", "satname": sat, "acq_ts": T0, "height": 30, "width": 40, "bands": bands, "pan": None, "qa": [1] * 1200, "cloud_prob": None, "georef": [1000.0, 15.0, 0.0, 5000.0, 0.0, -15.0], "epsg": 32756}
+    return row | more
+
+
+def extracted(spark, rows, settings, **more):
+    from strandline.operators.scenes import TILES
+    from strandline.plans import extraction
+
+    by_index = lambda x: np.where(x[:, 6] > 0, 1, 3)
+    classes = extraction.classified_scenes(spark.createDataFrame([[r[c.split()[0]] for c in TILES.split(", ")] for r in rows], TILES), by_index, settings).cache()
+    return {r.scene_id: r for r in classes.collect()}, {r.scene_id: r for r in extraction.shorelines(classes, settings, **more).collect()}
+
+
+def test_extraction(spark):
+    from strandline.plans.extraction import Detection
+
+    cloudy = [9] * 600 + [1] * 600
+    some = np.ones((30, 40), int)
+    some[:8, 16:26] = 9
+    nan = flat_scene()["bands"][:]
+    nan[0] = [float("nan")] * 41 + nan[0][41:]
+    rows = [flat_scene(), flat_scene(scene_id="b", qa=cloudy), flat_scene(scene_id="c", qa=some.ravel().tolist()), flat_scene(scene_id="d", height=31), flat_scene("L7", scene_id="e"), flat_scene(scene_id="f", bands=nan)]
+    settings = Detection(dist_clouds=45, min_length_sl=200)
+    classes, got = extracted(spark, rows, settings)
+    assert {k: bool(r.reason) for k, r in classes.items()} == {"a": False, "b": True, "c": False, "d": True, "e": False, "f": False} and classes["d"].error
+    assert classes["c"].cover == pytest.approx(80 / 1200) and classes["f"].cover == 0 and classes["f"].combined == pytest.approx(41 / 1200)
+    a = got["a"].pts
+    # NIR and green of as many sand as water pixels give the threshold; SWIR and green cross it between columns 19 and 20
+    share = (got["a"].threshold + 0.5) / 1.0
+    assert len(a) == 30 and all(p.x == pytest.approx(1000 + 15 * (19 + share)) for p in a) and sorted(p.y for p in a) == [5000.0 - 15 * r for r in range(29, -1, -1)]
+    assert [p.y for p in a] in (sorted(p.y for p in a), sorted((p.y for p in a), reverse=True))
+    assert {p.y for p in got["c"].pts} == {5000.0 - 15 * r for r in range(10, 30)}  # rows 8 and 9 are within 45 m of cloud
+    assert len(got["e"].pts) == 30 and {p.y for p in got["f"].pts} == {5000.0 - 15 * r for r in range(2, 30)}  # 30 m from what is unknown
+    _, short = extracted(spark, rows[:1] + rows[4:5], Detection(min_length_sl=1000))
+    assert len(short["a"].pts) == 0 and len(short["e"].pts) == 30  # Landsat 7 is held to 200 m
+    _, within = extracted(spark, rows[:1], settings, area=[[(0.0, 4700.0), (9999.0, 4700.0), (9999.0, 4801.0), (0.0, 4801.0)]])
+    assert {p.y for p in within["a"].pts} == {5000.0 - 15 * r for r in range(14, 20)}
+    reference = spark.createDataFrame([("s", 1300.0, 5000.0 - 15 * r) for r in range(1, 10)], "site string, x double, y double")
+    _, near = extracted(spark, rows[:1], Detection(min_length_sl=50, max_dist_ref=45), reference=reference)
+    assert {p.y for p in near["a"].pts} == {5000.0 - 15 * r for r in range(0, 13)}
+
+
+def test_sentinel_preprocessing(spark):
+    from strandline.operators.scenes import TILES
+
+    base = flat_scene("S2")
+    scaled = [(np.array(b) * 10_000).tolist() for b in base["bands"]]
+    scaled[4] = np.where(np.arange(1200) % 40 < 2, 0, scaled[4]).tolist()
+    prob = np.zeros((30, 40))
+    prob[5:11, 30:36], prob[20, :] = 99, 99
+    rows = [flat_scene("S2", bands=scaled, cloud_prob=prob.ravel().tolist()), flat_scene("S2", scene_id="a_merged", bands=scaled), flat_scene("S2", scene_id="zero", bands=[[0.0] * 1200] * 5)]
+    df = spark.createDataFrame([[r[c.split()[0]] for c in TILES.split(", ")] for r in rows], TILES)
+    got = {r.scene_id: r for r in scenes.preprocessed(df).collect()}
+    assert np.allclose(got["a"].bands[3], base["bands"][3]) and sum(got["a"].nodata) == 60 and sum(got["a"].cloud) == 60 + 36
+    assert sum(got["a_merged"].nodata) == 120 and sum(got["a_merged"].cloud) == 60 and all(got["zero"].cloud)
+
+
+def test_lines_part_and_close(spark):
+    from strandline.operators import contours
+
+    v = np.zeros((6, 7))
+    v[1, 1] = v[4, 4] = v[3, 5] = 1
+    v[0, 6] = np.nan
+    df = spark.createDataFrame([(0, int(r), int(c), float(x)) for (r, c), x in np.ndenumerate(v)], "s int, r int, c int, v double")
+    lines = contours.contour_lines(contours.contour_segments(df, ["s"], "v", F.lit(0.5)), ["s"]).toPandas()
+    assert lines.groupby("line").size().tolist() == [5, 5, 5]  # three diamonds; the two that meet at a corner are cut apart
+    for _, g in lines.groupby("line"):
+        assert (g.iloc[0][["row", "col"]] == g.iloc[-1][["row", "col"]]).all()
+    assert contours.contour_segments(df, ["s"], "v", F.lit(5.0)).count() == 0
+
+
 def test_survey_match(spark):
     day = lambda k: (T0 + timedelta(days=k)).date()
-    s = spark.createDataFrame([("p", day(k)) for k in (0, 2, 5, 12, 25)], "profile string, day date").withColumn("x", F.lit(0.0))
+    s = spark.createDataFrame([("p", day(k)) for k in (-5, 0, 2, 5, 12, 21, 25, 40)], "profile string, day date").withColumn("x", F.lit(0.0))
     v = spark.createDataFrame([("p", day(1), 10.0), ("p", day(11), 20.0), ("p", day(20), 30.0)], "profile string, sday date, pos double")
     got = [r.survey for r in validation.survey_match(s, v, ["profile"], "day", "x", "sday", "pos").orderBy("day").collect()]
-    assert got == [10.0, 10.0, 14.0, 20.0, None]
+    # the day after the last survey takes its value; five days later there is none to interpolate with, nor before the first
+    assert got == [None, 10.0, 10.0, 14.0, 20.0, 30.0, None, None]
 
 
 def test_utm_of_a_known_point(spark):
     x, y = scalar.lonlat_to_utm(F.lit(151.0), F.lit(-33.0), 56, True)
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert abs(r.x - 313152.8) < 1 and abs(r.y - 6346937.4) < 1
+    lon, lat = scalar.converted(F.lit(342880.0), F.lit(6269180.0), 28356, 4326)
+    r = spark.range(1).select(lon.alias("lon"), lat.alias("lat")).first()
+    assert abs(r.lon - 151.303) < 0.01 and abs(r.lat + 33.705) < 0.01
+    with pytest.raises(ValueError):
+        scalar.converted(F.lit(0.0), F.lit(0.0), 4326, 2154)
 
 
 def test_formats(spark, tmp_path):
@@ -179,15 +374,27 @@ def test_streaming(spark, tmp_path):
     assert spark.table("corrected").count() == 1
 
 
-def test_training(spark):
-    from strandline.plans.training import trained, training_table
+def test_training(spark, tmp_path):
+    from strandline.plans import training
 
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
-    df = spark.createDataFrame(pd.DataFrame({"y": (x[:, 0] > 0).astype(int), "x": x.tolist()}))
-    _, matrix = trained(training_table(df, "y", "x"), [3, 4, 2])
-    rows = matrix.collect()
-    assert sum(r.n for r in rows if r.label == r.prediction) > 0.85 * sum(r.n for r in rows)
+    rows = spark.createDataFrame(pd.DataFrame({"y": (x[:, 0] > 0).astype(int), "x": x.tolist()}))
+    table = training.training_table(rows, "y", "x").cache()
+    model, matrix = training.trained(table, [3, 4, 2])
+    counts = matrix.collect()
+    assert sum(r.n for r in counts if r.label == r.prediction) > 0.85 * sum(r.n for r in counts)
+    folds = training.cross_validated(table, [3, 2], 3)
+    assert sum(n for n, _ in folds) == 200 and min(a for _, a in folds) > 0.8
+    model.save(str(tmp_path / training.model_name("L8", "dark")))
+    again = training.loaded(str(tmp_path), "L8", "dark")
+    labels = training.predictor(again)(x)
+    assert labels.tolist() == [int(r.prediction) for r in model.transform(training.training_table(rows, "y", "x")).collect()]
+    for site in ("one", "two"):
+        spark.createDataFrame([("sand", [1.0])], "class string, features array<double>").write.parquet(str(tmp_path / "rows" / f"site={site}"))
+    assert training.united([training.training_rows(spark, str(tmp_path / "rows"), ["one", "none"])] * 2).count() == 2
+    with pytest.raises(ValueError):
+        training.model_name("L8", "green")
 
 
 def test_chain(spark):
@@ -195,12 +402,73 @@ def test_chain(spark):
 
     pts = [(float(50 + k), 0.0) for k in range(5)]
     s = spark.createDataFrame([("site", "a", "L8", T0, "PASSED", None, pts), ("site", "b", "L8", T0 + timedelta(days=9), "FAILED", None, pts)], "site string, scene_id string, satname string, acq_ts timestamp, geo_flag string, geo_rmse double, pts array<struct<x:double,y:double>>")
-    lines = spark.createDataFrame([("T", 0.0, 0.0, 100.0, 0.0)], "name string, x0 double, y0 double, x1 double, y1 double")
+    lines = spark.createDataFrame([("site", "T", 0.0, 0.0, 100.0, 0.0)], "site string, name string, x0 double, y0 double, x1 double, y1 double")
     tides = spark.createDataFrame([("site", T0, 0.8)], "site string, ts timestamp, tide double")
     (row,) = corrected_series(s, lines, tides).collect()
     assert row.scene_id == "a" and abs(row.chainage - 53.0) < 1e-9
 
 
+def test_the_shorter_line_goes_not_the_one_of_fewer_points(spark):
+    from strandline.plans.shoreline_series import corrected_series
+
+    dense, long = [(float(50 + k / 10), 0.0) for k in range(9)], [(50.0, -5.0), (50.0, 0.0), (50.0, 5.0)]
+    s = spark.createDataFrame([("site", "a", "L8", T0, "PASSED", None, dense), ("site", "b", "L8", T0 + timedelta(minutes=1), "PASSED", None, long)], "site string, scene_id string, satname string, acq_ts timestamp, geo_flag string, geo_rmse double, pts array<struct<x:double,y:double>>")
+    lines = spark.createDataFrame([("site", "T", 0.0, 0.0, 100.0, 0.0)], "site string, name string, x0 double, y0 double, x1 double, y1 double")
+    tides = spark.createDataFrame([("site", T0, 0.7)], "site string, ts timestamp, tide double")
+    assert [r.scene_id for r in corrected_series(s, lines, tides).collect()] == ["b"]
+
+
+def test_pages_and_ingest(spark):
+    from strandline.sources import catalogue
+
+    days = [datetime(2020, 1, 1) + timedelta(days=k) for k in range(40)]
+    of = lambda a, b: [d for d in days if a <= d < b]
+    assert len(catalogue.date_pages(days[0], days[-1], lambda a, b: len(of(a, b)), 10)) >= 4
+
+    def fetch(a, b):
+        return [{"satname": "L8", "tier": "T1", "id": str(d.date()), "properties": {"system:time_start": str(int(d.timestamp() * 1000)), "CLOUD_COVER": "5.5", "GEOMETRIC_RMSE_MODEL": "7.1"}, "bands": [{"id": "B2", "crs": "EPSG:32656"}, {"id": "MSK_CLASSI_1", "crs": "x"}]} for d in of(a, b)]
+
+    found = catalogue.paged(spark, days[0], datetime(2020, 2, 20), lambda a, b: len(of(a, b)), fetch, 10)
+    rows = catalogue.scenes_of(found).orderBy("scene_id").collect()
+    assert len(rows) == 40 and (rows[0].epsg, rows[0].cloud_pct, rows[0].geo_rmse, rows[0].im_quality) == (32656, 5.5, 7.1, "NA")
+    assert {len(r.bands) for r in catalogue.bands_of(found, ["B2", "MSK_CLASSI_1"]).collect()} == {1}
+
+    def pixels_of(row):
+        if row["scene_id"].endswith("03"):
+            raise OSError("no connection")
+        return {"height": 1, "width": 2, "bands": [[1.0, 2.0]], "qa": [1, 1], "georef": [0.0] * 6}
+
+    got = catalogue.ingested(catalogue.scenes_of(found), pixels_of, 2, 0.0).collect()
+    assert sum(r.error is not None for r in got) == 2 and all((r.error is None) == (r.bands is not None) for r in got)
+    calls = []
+    with pytest.raises(ValueError):
+        catalogue.retried(lambda: calls.append(1) or int("x"), 3, 0.0)
+    assert len(calls) == 3
+
+
+def test_round_trip_of_shorelines(spark, tmp_path):
+    rows = [("s", T0 + timedelta(days=k), "L8", f"f{k}", 0.1, 5.0 if k else None, None if k else "PASSED", k, 0.0, [(1.0, 2.0), (3.0, 4.0)][: 2 * k]) for k in range(2)]
+    df = spark.createDataFrame(rows, "site string, acq_ts timestamp, satname string, filename string, cloud_cover double, geo_rmse double, geo_flag string, idx int, mndwi_threshold double, pts array<struct<x:double,y:double>>")
+    formats.shorelines_arrays(df).drop("site").write.json(str(tmp_path / "out"))
+    back = formats.shorelines_json(spark, str(tmp_path / "out")).orderBy("idx").collect()
+    assert [(r.acq_ts, r.satname, r.geo_rmse, r.geo_flag, len(r.pts)) for r in back] == [(T0, "L8", None, "PASSED", 0), (T0 + timedelta(days=1), "L8", 5.0, None, 2)]
+    points = formats.exploded_points(back and formats.shorelines_json(spark, str(tmp_path / "out")), "pts", "idx")
+    assert [len(r.pts) for r in formats.collected_points(points, ["idx"], "pt_idx").collect()] == [2]
+    (tmp_path / "series.csv").write_text("dates,A,B\n2020-01-01 00:00:00,1.5,\n")
+    assert {(r["name"], r.chainage) for r in formats.series_csv(spark, str(tmp_path / "series.csv"), ["A", "B"]).collect()} == {("A", 1.5), ("B", None)}
+    (tmp_path / "p.geojson").write_text(json.dumps({"features": [{"geometry": {"coordinates": [[[1, 2], [3, 4], [1, 2]]]}}]}))
+    assert [(r.pt_idx, r.x, r.y) for r in formats.polygon_geojson(spark, str(tmp_path / "p.geojson")).collect()] == [(0, 1.0, 2.0), (1, 3.0, 4.0), (2, 1.0, 2.0)]
+    lines = spark.createDataFrame([("T", 0.0, 1.0, 2.0, 3.0)], "name string, x0 double, y0 double, x1 double, y1 double")
+    assert json.loads(formats.transects_json(lines).first().value)["geometry"] == {"type": "LineString", "coordinates": [[0.0, 1.0], [2.0, 3.0]]}
+
+
+def test_pixels_and_metres():
+    assert scalar.pixels_of_area(1000, 15) == 5 and scalar.pixels_of_area(900, 15) == 4 and scalar.pixels_of_distance(100, 15) == 7
+    assert scalar.landsat_tier("C01") == "C02"
+    with pytest.raises(ValueError):
+        scalar.landsat_tier("C03")
+
+
 def test_merge_plan_chains_and_drops(spark):
     at = [0, 200, 400, 600, 1000, 1301]  # five minutes at most between neighbours: a run of four, then two alone
     df = spark.createDataFrame([("a", k, datetime(2020, 1, 1) + timedelta(seconds=s)) for k, s in enumerate(at)], "site string, id int, ts timestamp")

@@ -4,7 +4,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from strandline.plans.queries import ORACLE_SQL, QUERIES
+from strandline.plans import catalogue_queries, queries, raster_queries  # noqa: F401
+from strandline.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
