@@ -7,8 +7,11 @@ its own conversation if there is one that is earlier, else to an earlier convers
 most quoted characters at level 1 (ties: the latest, then by conversation), or else to the message before it. Conversations whose
 first message quotes another one join it. In a thread, messages are ordered by conversation and turn, so replies follow originals.
 
-Results: null texts count as empty; messages without quotes keep their text as it is; repeated rows are messages of their own;
-a null conversation or turn is a value like any other; passages without letters or digits link nothing. Other columns aren't read.
+Results: null texts count as empty; messages without quotes keep their text as it is; repeated rows are messages of their own, in the
+order of the table; passages without letters or digits link nothing. Messages without a turn come first in their conversation and
+follow each other; they are nobody's original, and their quotes are linked to earlier conversations only. Messages without a
+conversation are together in one, without a thread's id, and neither link nor are linked. Each message comes behind the one it
+replies to in its thread. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -76,6 +79,7 @@ def conversations_without_quotes(conversations: DataFrame) -> DataFrame:
     # only hashes that somebody quotes; the first to say it is the original, so each hash has one row a conversation
     asked = quotes.select("hash").distinct()
     place = F.struct("conv_id", "turn", "_row")
+    said = said.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     said = written(said.join(asked, "hash", "left_semi").groupBy("hash", "conv_id").agg(F.min(F.struct("turn", "_row")).alias("first")), folder, "said")
     everywhere = said.groupBy("hash").agg(F.min(F.struct("conv_id", "first.turn", "first._row")).alias("any"))
     here = said.select("hash", "conv_id", F.col("first.turn").alias("own_turn"))
@@ -97,7 +101,7 @@ def conversations_without_quotes(conversations: DataFrame) -> DataFrame:
     linked = F.col("quoted_turn").isNotNull()
     out = out.select(
         "_row", "conv_id", "turn", "role", F.when(linked, F.col("quoted_conv")).when(F.col("before").isNotNull(), F.col("conv_id")).alias("parent_conv"),
-        F.when(linked, F.col("quoted_turn")).otherwise(F.col("before")).alias("parent_turn"), linked.alias("linked"), F.coalesce("levels", F.lit(0)).cast("int").alias("quote_levels"),
+        F.when(linked, F.col("quoted_turn")).otherwise(F.col("before.turn")).alias("parent_turn"), linked.alias("linked"), F.coalesce("levels", F.lit(0)).cast("int").alias("quote_levels"),
         F.when(F.col("_quotes"), F.coalesce("clean", F.lit(""))).otherwise(F.col("text")).alias("text"), F.col("before").isNull().alias("opens"),
     )
     out = written(out, folder, "replies")
@@ -108,11 +112,13 @@ def conversations_without_quotes(conversations: DataFrame) -> DataFrame:
 
 
 def _with_previous(rows: DataFrame) -> DataFrame:
-    """`before`: the turn of the message before in the conversation; stretches of turns look to the last turn of the one before."""
+    """`before` (turn, _row): the message before in the conversation, NULL for the first one; stretches of turns look to the last message
+    of the one before."""
+    place = F.struct("turn", "_row")
     own = rows.withColumn("_stretch", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / STRETCH))
-    lasts = own.groupBy("conv_id", "_stretch").agg(F.max("turn").alias("_last"))
+    lasts = own.groupBy("conv_id", "_stretch").agg(F.max(place).alias("_last"))
     lasts = lasts.select(F.col("conv_id").alias("_c"), F.col("_stretch").alias("_s"), F.lag("_last").over(Window.partitionBy("conv_id").orderBy("_stretch")).alias("_earlier"))
-    own = own.withColumn("_lag", F.lag("turn").over(Window.partitionBy("conv_id", "_stretch").orderBy(F.col("turn").asc_nulls_first(), "_row")))
+    own = own.withColumn("_lag", F.lag(place).over(Window.partitionBy("conv_id", "_stretch").orderBy(F.col("turn").asc_nulls_first(), "_row")))
     joined = own.join(lasts, own["conv_id"].eqNullSafe(F.col("_c")) & (F.col("_stretch") == F.col("_s")), "left")
     return joined.withColumn("before", F.coalesce("_lag", "_earlier")).drop("_stretch", "_c", "_s", "_lag", "_earlier")
 

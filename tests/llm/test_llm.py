@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -399,6 +400,87 @@ def test_quotation_linking(spark):
     assert chat.conversations_without_quotes(df.limit(0)).count() == 0
 
 
+def brute_threads(rows):
+    """The rules of operator 7 over a list of (conv_id, turn, role, text), message by message."""
+    normal = lambda t: regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).strip(" ")
+    order = lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][1] is not None, rows[k][1] or 0, k)
+    said, quotes, clean, levels = {}, {}, {}, {}
+    for k, (conv, turn, _, text) in enumerate(rows):
+        text = text or ""
+        passages = []
+        for line in regex.split("\r?\n", text):
+            marks = regex.match(r"^\s*(>(?:\s?>)*)", line)
+            level = marks.group(1).count(">") if marks else 0
+            if not passages or passages[-1][0] != level:
+                passages.append((level, []))
+            passages[-1][1].append(regex.sub(r"^\s*>(?:\s?>)*\s?", "", line))
+        levels[k] = max(p[0] for p in passages)
+        clean[k] = regex.sub(r"^\s+|\s+$", "", "\n".join("\n".join(ls) for lv, ls in passages if not lv)) if levels[k] else text
+        for level, lines in passages:
+            units = [u for u in map(normal, ["\n".join(lines), *(lines if len(lines) > 1 else [])]) if u]
+            if level:
+                quotes.setdefault(k, []).extend((level, u) for u in units)
+            elif conv is not None and turn is not None:
+                for u in units:
+                    own = said.setdefault(u, {})
+                    own[conv] = min(own.get(conv, (turn, k)), (turn, k))
+    parents, joins, last = {}, {}, {}
+    for k in sorted(range(len(rows)), key=order):
+        conv, turn = rows[k][:2]
+        votes = {}
+        for level, u in quotes.get(k, []):
+            own = said.get(u, {})
+            any_ = min(((c, *p) for c, p in own.items()), default=None)
+            to = None
+            if turn is not None and conv in own and own[conv][0] < turn:
+                to = (conv, own[conv][0])
+            elif any_ and conv is not None and any_[0] < conv:
+                to = any_[:2]
+            if to and level == 1:
+                votes[to] = votes.get(to, 0) + len(u)
+        best = max(votes, key=lambda p: (votes[p], p[1], p[0]), default=None)
+        before = last.get(conv)
+        parents[k] = best or ((conv, rows[before][1]) if before is not None else (None, None)), best is not None
+        if before is None and best and best[0] != conv:
+            joins[conv] = best[0]
+        last[conv] = k
+    root = lambda c: root(joins[c]) if c in joins else c
+    places, out = {}, []
+    for k in sorted(range(len(rows)), key=order):
+        thread = root(rows[k][0])
+        places[thread] = places.get(thread, -1) + 1
+        (pc, pt), linked = parents[k]
+        out.append((*rows[k][:3], thread, places[thread], pc, pt, linked, levels[k], clean[k]))
+    return out
+
+
+def test_quotation_linking_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    said = [r for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").limit(60).collect()]
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in said]
+    texts = [t for *_, t in rows if t]
+    quoted = lambda t, mark: "\n".join(mark + line for line in t.split("\n"))
+    for k in range(120):
+        conv, turn = int(rng.integers(0, 40)), int(rng.integers(0, 1500))
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            t = texts[rng.integers(len(texts))]
+            part = t if rng.random() < 0.6 else t[: len(t) // 2]
+            parts.append([quoted(part, "> "), quoted(part.upper(), ">> "), quoted(part, " > > "), f"own words {k}", "", "> nobody said this"][rng.integers(6)])
+        rows.append((conv, turn, "user", "\n".join(parts)))
+        texts.append(f"own words {k}")
+    rows += [(3, None, "user", "first words"), (3, None, "user", quoted(texts[0], "> ") + "\nx"), (None, 1, "user", quoted(texts[1], "> ")), (None, None, "a", texts[2]), (50, 0, "user", None), (50, 1, None, "")]
+    rows += rows[60:64] + [(60, 0, "user", "> own words 5\nreply")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(1)).withColumn("root", F.lit(2))
+    for stretch in (512, 7):
+        monkeypatch.setattr(chat, "STRETCH", stretch)
+        got = [tuple(r) for r in chat.conversations_without_quotes(df).collect()]
+        assert sorted(got, key=str) == sorted(brute_threads(rows), key=str)
+    assert sum(r[7] for r in got) > 20 and len({r[3] for r in got}) < len({r[0] for r in got})
+    of = {(r[0], r[1]): (r[3], r[4]) for r in got}
+    assert all(of[r[5], r[6]][1] < r[4] for r in got if (r[5], r[6]) in of and of[r[5], r[6]][0] == r[3] and (r[5], r[6]) != (r[0], r[1]))
+
+
 def test_licences(documents):
     got = {r.doc_id: r for r in licences.scan_licences(documents, TEMPLATES).collect()}
     assert got[9].licence == "MIT-notice" and got[9].dice == 1 and [(s.first_line, s.last_line) for s in got[9].spans] == [(0, 0)]
