@@ -146,13 +146,14 @@ def polyline_length(df: DataFrame, by: list[str], order: str, least: float = 0.0
 
 
 def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point lies within a closed ring, by crossings of a ray; the ring is part of the expression."""
-    crossings = F.lit(0)
+    """Whether a point lies within a closed ring and not on it, by crossings of a ray; the ring is part of the expression."""
+    crossings, on = F.lit(0), F.lit(False)
     for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        on = on | (((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & x.between(min(ax, bx), max(ax, bx)) & y.between(min(ay, by), max(ay, by)))
         if ay != by:
             hit = ((F.lit(ay) > y) != (F.lit(by) > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
             crossings = crossings + hit.cast("int")
-    return crossings % 2 == 1
+    return (crossings % 2 == 1) & ~on
 
 
 def within_area(df: DataFrame, by: list[str], rings: list[list[tuple[float, float]]], least: int = 3) -> DataFrame:
