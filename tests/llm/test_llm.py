@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -366,6 +367,60 @@ def test_spotsigs(spark, documents):
     assert spotsigs.fingerprint_documents(documents).count() == 12 and spotsigs.fingerprint_documents(documents.limit(0)).count() == 0
 
 
+def brute_signatures(text):
+    """Operator 9's signatures by plain loops, with the same hash."""
+
+    def hashed(kind, chain):
+        h = 42
+        for part in [kind, *(c for c in chain if c is not None)]:
+            h = xxhash.xxh64_intdigest(part.encode(), seed=h)
+        return h % (1 << 32) - (1 << 31)
+
+    words = [w for w in regex.sub(r"[^\p{L}\p{N}]+", " ", (text or "").lower()).split(" ") if w]
+    stretches = [[]]
+    for w in words:
+        if w in spotsigs.ANCHORS:
+            stretches.append([])
+        else:
+            stretches[-1].append(w)
+    at = lambda xs, k: xs[k] if k < len(xs) else None
+    out = {hashed("anchor", sum(stretches[i : i + 3], [])[:3]) for i in range(1, len(stretches))}
+    for i, s in enumerate(stretches):
+        for k in range(8 if i else 0, len(s)):
+            if k == (8 if i else 0) or k + 3 <= len(s):
+                out.add(hashed("word", [at(s, k + j) for j in range(3)]))
+    if 1 <= len(words) <= 6:
+        letters = list(" ".join(words))
+        for k in range(max(1, len(letters) - 3)):
+            own = hashed("letters", [at(letters, k + j) for j in range(4)])
+            if own % 6 >= len(words) - 1:
+                out.add(own)
+    return out
+
+
+def test_signatures_and_likeness_against_brute_force(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id > 20").unionByName(documents.dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    sigs = {k: brute_signatures(t) for k, t in rows}
+    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    got = {r.doc_id: r for r in spotsigs.fingerprint_documents(docs).collect()}
+    for (k, t), (following, text) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        t, text = t or "", text or ""
+        half = len(t) // 2
+        new = brute_signatures(t[: len(t) - half] + text[:half])
+        name = lambda s: "".join(f"{x + (1 << 31):08X}" for x in sorted(s))
+        assert (got[k].fingerprint, got[k].edited_fingerprint) == (name(sigs[k]), name(new)), k
+        assert abs(got[k].near_edited - alike(sigs[k], new)) < 1e-12 and abs(got[k].near_next - alike(sigs[k], sigs[following])) < 1e-12
+    members, pairs = spotsigs.similar_classes(docs, 0.6)
+    classes = {}
+    for k, s in sorted(sigs.items()):
+        if s:
+            classes.setdefault(frozenset(s), k)
+    assert {r.doc_id: r.class_id for r in members.collect()} == {k: classes[frozenset(s)] for k, s in sigs.items() if s}
+    near = {(a, b) for x, a in classes.items() for y, b in classes.items() if a < b and alike(x, y) >= 0.6}
+    assert {(r.a, r.b) for r in pairs.collect()} == near and near
+
+
 def test_spotsigs_change_next_to_an_anchor_only(spark):
     content = [f"w{k}" for k in range(100)]
     with_anchors = lambda n: " ".join("the " * (n > 0 and k % (100 // n) == 0) + w for k, w in enumerate(content))
