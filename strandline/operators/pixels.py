@@ -105,9 +105,15 @@ def away_from(points: DataFrame, others: DataFrame, distance: float, by: list[st
     return own.join(spread, same & near, "left_anti").drop("_i", "_j")
 
 
-def mosaic(df: DataFrame, value: str, nodata: float, order: str) -> DataFrame:
-    """One value a pixel: the last file's that isn't nodata."""
-    return df.where(F.col(value) != nodata).groupBy("r", "c").agg(F.max_by(value, order).alias(value))
+def mosaic(df: DataFrame, value: str, nodata: float, order: str, by: list[str] = ()) -> DataFrame:
+    """by, r, c, value: of each pixel the last file's value that isn't nodata."""
+    return df.where(F.col(value) != nodata).groupBy(*by, "r", "c").agg(F.max_by(value, order).alias(value))
+
+
+def coarser(df: DataFrame, value: str, factor: int) -> DataFrame:
+    """Of each factor x factor pixels the one next to their middle (the later one of even factors), as one pixel."""
+    middle = factor // 2
+    return df.where((F.col("r") % factor == middle) & (F.col("c") % factor == middle)).withColumns({"r": F.floor(F.col("r") / factor).cast("int"), "c": F.floor(F.col("c") / factor).cast("int")})
 
 
 def _shares(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:

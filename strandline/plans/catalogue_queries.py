@@ -198,3 +198,28 @@ def hist_match_scenes(spark, d):
 @query(_GRID + " SELECT CAST(r * 3 + i AS BIGINT) AS r, CAST(c * 3 + j AS BIGINT) AS c, round(v, 6) AS v FROM g, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j)")
 def nearest_resample(spark, d):
     return pixels.nearest_resampled(grid(spark, d), [], 3).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), r6(F.col("v"), "v"))
+
+
+@query(_GRID + " SELECT CAST(r // 3 AS INTEGER) AS r, CAST(c // 3 AS INTEGER) AS c, v > 0 AS m FROM g WHERE r % 3 = 1 AND c % 3 = 1")
+def coarser_mask(spark, d):
+    return pixels.coarser(grid(spark, d).withColumn("m", F.col("v") > 0), "m", 3).select("r", "c", "m")
+
+
+#: Runs of scenes within five minutes: the first one's time, the rectangle of all that are merged, and sums of the mosaic's pixels.
+@query("""WITH e AS (SELECT event_id, user_id AS site, ts, value AS x, event_id % 50 AS y FROM events),
+o AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 3000000000, TRUE) AS opens FROM e WINDOW w AS (PARTITION BY site ORDER BY ts, event_id)),
+u AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY site ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY site, run ORDER BY ts, event_id) AS place, first_value(event_id) OVER (PARTITION BY site, run ORDER BY ts, event_id) AS first FROM u),
+k AS (SELECT * FROM p WHERE place <= 3), x AS (SELECT first, min(x) AS x_min, max(x) + 10 AS x_max, min(y) AS y_min, max(y) + 5 AS y_max FROM k GROUP BY first),
+r AS (SELECT first, place, event_id % 2 + i AS r, i AS c, CASE WHEN (event_id + i) % 3 = 0 THEN 0 ELSE event_id + i END AS v FROM k, (SELECT unnest(range(4)) AS i)),
+m AS (SELECT first, r, c, arg_max(v, place) AS v FROM r WHERE v <> 0 GROUP BY ALL), t AS (SELECT first, sum(v) AS total, count(*) AS n FROM m GROUP BY first)
+SELECT first AS event_id, round(x_min, 6) AS x_min, round(x_max, 6) AS x_max, CAST(y_min AS INTEGER) AS y_min, CAST(y_max AS INTEGER) AS y_max, CAST(total AS BIGINT) AS total, n FROM x JOIN t USING (first)""")
+def merged_scenes(spark, d):
+    from strandline.plans.merging import merged_scenes as merged
+
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("site"), "ts", F.col("value").alias("x_min"), (F.col("value") + 10).alias("x_max"), (F.col("event_id") % 50).alias("y_min"), (F.col("event_id") % 50 + 5).alias("y_max"))
+    i = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    raster = e.select("event_id", i.alias("c")).select("event_id", (F.col("event_id") % 2 + F.col("c")).alias("r"), "c", F.when((F.col("event_id") + F.col("c")) % 3 == 0, 0).otherwise(F.col("event_id") + F.col("c")).alias("v"))
+    kept, mosaic = merged(e, raster, ["site"], "ts", "event_id", "v", 0, 3000)
+    sums = mosaic.groupBy("event_id").agg(F.sum("v").cast("long").alias("total"), F.count(F.lit(1)).alias("n"))
+    return kept.join(sums, "event_id").select("event_id", r6(F.col("x_min"), "x_min"), r6(F.col("x_max"), "x_max"), F.col("y_min").cast("int").alias("y_min"), F.col("y_max").cast("int").alias("y_max"), "total", "n")

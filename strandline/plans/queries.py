@@ -338,7 +338,7 @@ def pixel_coordinates(spark, d):
     return e.select("event_id", r6(F.col("x"), "x"), r6(F.col("y"), "y"), r6(col, "col"), r6(row, "row"))
 
 
-_TYPES = ["click", "error", "purchase", "search", "view"]
+_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 @query("SELECT ts, " + ", ".join(f"max(value) FILTER (WHERE event_type = '{t}') AS \"{t}\"" for t in _TYPES) + " FROM (SELECT CAST(ts AS DATE) AS ts, event_type, value FROM events) GROUP BY ts")

@@ -512,3 +512,68 @@ def test_buffer_without_reference_is_everywhere(spark):
 def test_densified_leaves_the_end_out(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.5, 0.0), (1, 2, 2.5, 0.0), (2, 0, 1.0, 1.0)], "line int, k int, x double, y double")
     assert sorted((r.line, r.x, r.y) for r in pixels.densified(df, ["line"], "k").collect()) == [(1, 0.0, 0.0), (1, 1.0, 0.0), (1, 2.0, 0.0)]
+
+
+def tiff(bands, georef, epsg, order="<", deflated=False, tile=None, planar=1):
+    """A small GeoTIFF file, by hand."""
+    import struct
+    import zlib
+
+    cube = np.stack(bands, -1)
+    h, w, n = cube.shape
+    kind = cube.dtype.newbyteorder(order)
+    size, fields, parts = cube.dtype.itemsize, {}, []
+    planes = [cube[..., k : k + 1] for k in range(n)] if planar == 2 else [cube]
+    for plane in planes:
+        if tile:
+            for r in range(0, h, tile):
+                for c in range(0, w, tile):
+                    whole = np.zeros((tile, tile, plane.shape[-1]), cube.dtype)
+                    part = plane[r : r + tile, c : c + tile]
+                    whole[: part.shape[0], : part.shape[1]] = part
+                    parts.append(whole.astype(kind).tobytes())
+        else:
+            parts += [plane[r : r + 2].astype(kind).tobytes() for r in range(0, h, 2)]
+    parts = [zlib.compress(p) for p in parts] if deflated else parts
+    starts, body = [], b""
+    for p in parts:
+        starts.append(8 + len(body))
+        body += p
+    body += b"\0" * (len(body) % 2)
+    code = {"u": 1, "i": 2, "f": 3}[cube.dtype.kind]
+    fields = {256: ("I", [w]), 257: ("I", [h]), 258: ("H", [8 * size] * n), 259: ("H", [8 if deflated else 1]), 277: ("H", [n]), 284: ("H", [planar]), 339: ("H", [code] * n)}
+    fields |= {322: ("I", [tile]), 323: ("I", [tile]), 324: ("I", starts), 325: ("I", list(map(len, parts)))} if tile else {273: ("I", starts), 278: ("I", [2]), 279: ("I", list(map(len, parts)))}
+    fields |= {33550: ("d", [georef[1], -georef[5], 0.0]), 33922: ("d", [0.0, 0.0, 0.0, georef[0], georef[3], 0.0]), 34735: ("H", [1, 1, 0, 1, 3072, 0, 1, epsg])}
+    at, extra, entries = 8 + len(body), b"", b""
+    beyond = at + 2 + 12 * len(fields) + 4
+    for tag, (c, values) in sorted(fields.items()):
+        raw = struct.pack(order + c * len(values), *values)
+        if len(raw) > 4:
+            value, extra = struct.pack(order + "I", beyond + len(extra)), extra + raw
+        else:
+            value = raw.ljust(4, b"\0")
+        entries += struct.pack(order + "HHI", tag, {"H": 3, "I": 4, "d": 12}[c], len(values)) + value
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at) + body + struct.pack(order + "H", len(fields)) + entries + struct.pack(order + "I", 0) + extra
+
+
+def test_geotiffs(spark, tmp_path):
+    from strandline.sources import rasters
+
+    rng = np.random.default_rng(0)
+    geo = [300000.0, 15.0, 0.0, 6200000.0, 0.0, -15.0]
+    bands = [rng.normal(size=(5, 7)).astype("f4") for _ in range(5)]
+    for k, more in enumerate([{}, {"order": ">"}, {"deflated": True}, {"tile": 4}, {"planar": 2}, {"tile": 4, "planar": 2, "deflated": True, "order": ">"}]):
+        got = rasters.decoded(tiff(bands, geo, 32756, **more))
+        assert (got["height"], got["width"], got["georef"], got["epsg"]) == (5, 7, geo, 32756), k
+        assert all((a == b.ravel()).all() for a, b in zip(got["bands"], bands, strict=True)), k
+    for name, raw in (("ms", bands), ("pan", bands[:1]), ("mask", [np.arange(35, dtype="u2").reshape(5, 7)])):
+        (tmp_path / f"2020-01-02-03-04-05_L8_MY_SITE_{name}.tif").write_bytes(tiff(raw, geo, 32756))
+    for name, raw in (("ms", bands), ("swir", bands[4:]), ("mask", [np.ones((5, 7), "u2")])):
+        (tmp_path / f"2020-01-02-03-04-05_S2_MY_SITE_{name}_dup1.tif").write_bytes(tiff(raw, geo, 32756))
+    (tmp_path / "broken_ms.tif").write_bytes(b"II*")
+    files = rasters.geotiffs(spark, str(tmp_path))
+    assert [r.path.rsplit("/")[-1] for r in files.where("error is not null").collect()] == ["broken_ms.tif"]
+    a, b = rasters.scene_tiles(files).orderBy("satname").collect()
+    assert (a.satname, a.site, a.acq_ts, a.height, a.width, len(a.bands), a.qa[3], a.cloud_prob) == ("L8", "MY_SITE", datetime(2020, 1, 2, 3, 4, 5), 5, 7, 5, 3, None) and len(a.pan) == 35
+    assert (b.satname, b.site, b.pan) == ("S2", "MY_SITE", None) and b.bands[4] == b.cloud_prob == bands[4].ravel().astype(float).tolist()
+    assert set(a.asDict()) == {c.split()[0] for c in scenes.TILES.split(", ")}
