@@ -213,10 +213,13 @@ def copies(rate_column: Column, key: Column, at_least: int = 0) -> Column:
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs: float = 1.0, at_least: int = 0, steps: int = STEPS) -> DataFrame:
-    """The rows of docs, each as often as its rate says, at least `at_least` times; ids must be unique."""
+    """The rows of docs, each as often as its rate says, at least `at_least` times. Rows that share an id, or have none, are all taken as
+    often as the one of them with the most copies; texts without words have the rate of the prior."""
     taken = mixture(docs, labelled, weights, epochs, steps=steps).groupBy("doc_id").agg(F.max(copies(F.col("rate"), F.col("doc_id"), at_least)).alias("_copies"))
-    kept = docs.join(taken.where("_copies > 0"), docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # rows travel as a struct, so that no column's name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    kept = rows.join(taken.where("_copies > 0"), F.col("_row")["doc_id"].eqNullSafe(F.col("doc_id")))
+    return kept.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

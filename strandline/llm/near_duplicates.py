@@ -400,17 +400,18 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     documents of their own that come after all ids: one of them stays where no row of its component has an id."""
     folder, own = shared_folder(docs.sparkSession), F.col(key).cast("long")
     unnamed, most = docs.agg(F.count_if(own.isNull()), F.coalesce(F.max(own), F.lit(0))).first()
-    rows = docs.withColumn("_id", own)
+    # rows travel as a struct, so that no column's name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_id"), F.col(text).alias("_text"))
     if unnamed:
         # a table, as these numbers have to be the same wherever they are read
-        numbered = docs.where(own.isNull()).withColumn("_id", F.monotonically_increasing_id() + F.lit(most + 1))
+        numbered = rows.where("_id IS NULL").withColumn("_id", F.monotonically_increasing_id() + F.lit(most + 1))
         rows = rows.where("_id IS NOT NULL").unionByName(written(numbered, folder, "unnamed"))
-    kept = near_duplicates(rows, width, percent, "_id", text).groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    kept = near_duplicates(rows, width, percent, "_id", "_text").groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
     kept = written(kept.where("_kept").select(F.col("doc_id").alias("_id"), "_rows"), folder, "kept")
-    out = rows.join(kept.where("_rows = 1"), "_id", "left_semi").select(*docs.columns)
+    out = rows.join(kept.where("_rows = 1"), "_id", "left_semi").select("_row.*")
     repeated = kept.where("_rows > 1").select("_id")
     n = repeated.count()
     if n:
         some = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
-        out = out.unionByName(rows.join(some, "_id", "left_semi").dropDuplicates().select(*docs.columns))
+        out = out.unionByName(rows.join(some, "_id", "left_semi").select("_row").dropDuplicates().select("_row.*"))
     return out

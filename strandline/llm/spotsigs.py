@@ -3,7 +3,8 @@
 Common words are anchors. The CHAIN content words that follow an anchor, up to the third anchor after it, form a signature; a
 document's fingerprint is the set of its signatures' 32-bit hashes. Fingerprints are likened by Jaccard; for a threshold t two sets
 of a and b signatures can only reach it if min(a, b) >= t * max(a, b), so sets are partitioned by length and compared within a
-partition and with the next one, and only if they share one of their first signatures in hash order.
+partition and with the next one, and only if they share one of their first signatures, the rarest of all classes first: a signature
+that many share is only looked up by classes that have hardly any other.
 
 Where no anchor is among the FAR words before a word, the chain of CHAIN words that starts there, or of as many as the text
 has before its first anchor, is a signature as well: an anchor more or less changes signatures next to it only. Texts of up to FEW_WORDS words also have chains of characters, of which
@@ -111,10 +112,13 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     rows = rows.select("doc_id", "sigs", F.sha2(fingerprint(F.col("sigs")), 256).alias("of"))
     classes = rows.groupBy("of").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs"))
     members = rows.select("doc_id", "of").join(classes.select("of", "class_id"), "of").select("doc_id", "class_id")
-    n = F.size("sigs")
+    each = classes.select("class_id", F.explode("sigs").alias("sig"))
+    rarity = each.groupBy("sig").agg(F.count(F.lit(1)).alias("classes"))
+    ranked = each.join(rarity, "sig").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("classes", "sig"))).alias("ranked"))
+    n = F.size("ranked")
     part = F.floor(F.log(n.cast("double")) / math.log(1 / threshold))
-    prefix = F.slice("sigs", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    left = classes.select("class_id", "sigs", n.alias("n"), part.alias("part"), F.explode(prefix).alias("sig"))
+    prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    left = ranked.select("class_id", n.alias("n"), part.alias("part"), F.explode(F.transform(prefix, lambda x: x["sig"])).alias("sig"))
     right = left.select(F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("at"), "sig").withColumn("part", F.explode(F.array(F.col("at"), F.col("at") + 1, F.col("at") - 1)))
     pairs = left.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), "part", "sig").join(right, ["part", "sig"]).where("a < b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("a", "b").distinct()
     side = lambda c: classes.select(F.col("class_id").alias(c), F.col("sigs").alias(f"sigs_{c}"))

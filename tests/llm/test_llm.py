@@ -162,7 +162,7 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     text = lambda name: " ".join(f"{name}{k}" for k in range(40))
     rows = [(1, text("a"), "x"), (None, text("a"), "y"), (None, text("b"), "z"), (None, text("c"), "z"), (None, text("c") + " more", "z"), (None, "", "e"), (None, None, "e")]
     rows += [(2, text("d"), "x"), (2, text("d"), "x"), (2, text("d"), "other"), (3, text("d"), "x"), (4, "", "e"), (4, "", "e"), (5, "", "e")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
     got = sorted(near_duplicates.without_near_duplicates(df, 5, 80).collect(), key=str)
     third = [r for r in got if r.text and r.text.startswith("c0 ")]
     assert len(third) == 1 and tuple(third[0]) in rows
@@ -258,6 +258,38 @@ def test_nnpu_risk_and_direction():
     assert seen == {True, False}
 
 
+def test_scores_against_plain_loops(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    letter = lambda b: b >= 128 or chr(b).isalnum()
+    known: dict[bytes, list[int]] = {}
+
+    def features(word):
+        if word not in known:
+            known[word] = [int(shared.hashed_words([word.decode()], toxicity._TABLE)[0][0])]
+            for k in toxicity.PREFIXES:
+                known[word] += [int(h) for h in shared.hashed_words([word.decode()], toxicity._TABLE, prefixes=(k,))[0][1:]]
+        return known[word]
+
+    rows = docs.limit(60).collect()
+    got = model.scores([r.text for r in rows])
+    for r, score in zip(rows, got, strict=True):
+        words, word = set(), b""
+        for b in [*(r.text or "").encode(), 32]:
+            if letter(b):
+                word += bytes([b])
+            elif word:
+                words.add(word)
+                word = b""
+        own = {f for w in words for f in features(w)}
+        assert abs(score - 1 / (1 + np.exp(-(model.bias + sum(weights.get(f, 0.0) for f in own))))) < 1e-9
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    assert kept == {k for k, s in scores.items() if s < 0.5}
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     p = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).toPandas()
@@ -299,6 +331,20 @@ def test_mixing_meets_targets(spark, documents):
     assert mixing.mixture(documents.limit(0), labels, {"a": 1.0, "b": 1.0}, steps=2).count() == 0
 
 
+def test_mixing_of_shared_and_missing_ids(spark):
+    rng = np.random.default_rng(2)
+    text = lambda k: " ".join(rng.choice([f"{'ab'[k % 2]}{j}" for j in range(30)], 30))
+    rows = [(k, text(k), "x") for k in range(100)] + [(7, text(0), "y"), (7, text(0), "z"), (None, text(1), "n"), (None, None, "n"), (200, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _copies string")
+    labels = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(60)], "doc_id long, domain string")
+    out = mixing.mixed_documents(df, labels, {"a": 0.9, "b": 0.1}, at_least=1)
+    times = {}
+    for r in out.collect():
+        times[tuple(r)] = times.get(tuple(r), 0) + 1
+    assert out.columns == df.columns and set(times) == set(rows)
+    assert len({times[r] for r in rows if r[0] == 7}) == 1 and len({times[r] for r in rows if r[0] is None}) == 1
+
+
 @pytest.mark.parametrize("targets", [[0.5, 0.3, 0.2], [0.05, 0.9, 0.05], [0.9, 0.05, 0.05], [0.0, 0.0, 1.0]])
 def test_rates_against_plain_projected_gradient(spark, targets):
     rng = np.random.default_rng(8)
