@@ -34,6 +34,5 @@ def test_query_equals_sql(spark, duck, name):
     pd.testing.assert_frame_equal(key(got), key(want), check_dtype=False, rtol=1e-9)
 
 
-def test_every_query_runs(spark):
-    for name in sorted(set(QUERIES) - set(ORACLE_SQL)):
-        assert QUERIES[name](spark, DATA).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
