@@ -49,6 +49,8 @@ WORTHWHILE = 0.9
 BROADCAST_IDS = 250_000
 #: Salted buckets or classes at most, and the rows that one has before it is salted at least.
 HOT, HOT_ROWS = 65_536, 2048
+#: Ids up to here leave room for numbers beyond them.
+ROOM = 1 << 62
 #: Standard deviations of the estimate below the threshold at which a candidate goes.
 MARGIN = 6.0
 
@@ -308,7 +310,7 @@ def _salted(sizes: DataFrame, size: str, hot: int) -> DataFrame:
 
 def set_classes(sketched: DataFrame) -> DataFrame:
     """set_a, set_b, n, doc_id and `of` of its first row, regs, rows and rep of each set: the class's number is the id of its first
-    row, where no other class has it, else one beyond all ids."""
+    row, where no other class has it, else one beyond all ids, or a hash where ids leave no room."""
     rows, of = sketched.where("n > 0"), ["set_a", "set_b", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "of")).alias("first")
     clash = rows.groupBy(*of).agg(first).groupBy(F.col("first.doc_id").alias("clash")).agg(F.count(F.lit(1)).alias("classes")).where("classes > 1 OR clash IS NULL")
@@ -316,7 +318,8 @@ def set_classes(sketched: DataFrame) -> DataFrame:
     # rows of one set have equal registers, so any of them does; the text of its first row stands for a class
     classes = rows.groupBy(*of).agg(first, F.first("regs").alias("regs"), F.count(F.lit(1)).alias("rows")).withColumn("doc_id", F.col("first.doc_id"))
     found = classes.join(clash, F.col("doc_id").eqNullSafe(F.col("clash")), "left")
-    rep = F.when(F.col("classes").isNotNull(), F.monotonically_increasing_id() + beyond).otherwise(F.col("doc_id"))
+    own = F.monotonically_increasing_id() + F.lit(beyond) if beyond < ROOM else F.xxhash64(F.lit("class"), *of)
+    rep = F.when(F.col("classes").isNotNull(), own).otherwise(F.col("doc_id"))
     return found.select(*of, "doc_id", F.col("first.of").alias("of"), "regs", "rows", rep.alias("rep"))
 
 
@@ -397,14 +400,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of which one stays for each component; rows without words stay all. Ids are unique
     in a corpus; where they aren't, the rows of one id share its fate and equal ones of them stay once. Rows without an id are
-    documents of their own that come after all ids: one of them stays where no row of its component has an id."""
+    documents of their own that come after all ids (before them where ids reach 2 ** 62): one of them stays where no row of its
+    component has an id."""
     folder, own = shared_folder(docs.sparkSession), F.col(key).cast("long")
-    unnamed, most = docs.agg(F.count_if(own.isNull()), F.coalesce(F.max(own), F.lit(0))).first()
+    unnamed, most, least = docs.agg(F.count_if(own.isNull()), F.coalesce(F.max(own), F.lit(0)), F.coalesce(F.min(own), F.lit(0))).first()
     # rows travel as a struct, so that no column's name can clash
     rows = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_id"), F.col(text).alias("_text"))
     if unnamed:
         # a table, as these numbers have to be the same wherever they are read
-        numbered = rows.where("_id IS NULL").withColumn("_id", F.monotonically_increasing_id() + F.lit(most + 1))
+        beyond = F.lit(most + 1) + F.monotonically_increasing_id() if most < ROOM else F.lit(max(least, 1 - ROOM) - 1) - F.monotonically_increasing_id()
+        numbered = rows.where("_id IS NULL").withColumn("_id", beyond)
         rows = rows.where("_id IS NOT NULL").unionByName(written(numbered, folder, "unnamed"))
     kept = near_duplicates(rows, width, percent, "_id", "_text").groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
     kept = written(kept.where("_kept").select(F.col("doc_id").alias("_id"), "_rows"), folder, "kept")

@@ -181,6 +181,16 @@ def test_near_duplicates_of_clashing_ids(spark):
     assert got == sorted(want, key=str)
 
 
+def test_near_duplicates_of_extreme_ids(spark):
+    text = lambda name, *new: " ".join([f"{name}{k}" for k in range(60)] + list(new))
+    top = 2**63 - 1
+    rows = [(top, text("a")), (top, text("b")), (top - 1, text("b", "x")), (None, text("a", "y")), (-(2**63), text("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(df, 4, 80).collect()), key=str)
+    assert got == sorted([(top, top), (top, top - 1), (top - 1, top - 1), (None, top), (-(2**63), -(2**63))], key=str)
+    assert near_duplicates.without_near_duplicates(df.where("doc_id > 0 OR doc_id IS NULL"), 4, 80).count() == 2
+
+
 def test_hot_buckets_are_salted(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "HOT_ROWS", 5)
     monkeypatch.setattr(near_duplicates, "STAR_ROUNDS", 1)
