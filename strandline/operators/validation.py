@@ -24,13 +24,14 @@ def survey_match(series: DataFrame, surveys: DataFrame, by: list[str], date: str
     return own.select("_row.*", found.alias("survey"))
 
 
-def error_statistics(df: DataFrame, by: list[str], estimate: str, truth: str) -> DataFrame:
-    """Slope and R2 of the estimate on the truth; RMSE, mean, population deviation and 90 % quantile of errors."""
+def error_statistics(df: DataFrame, by: list[str], estimate: str, truth: str, least: int = 0) -> DataFrame:
+    """Slope and R2 of the estimate on the truth; RMSE, mean, population deviation and 90 % quantile of errors, of groups of at least
+    `least` pairs. Survey comparisons ask for eight."""
     own = df.where(F.col(estimate).isNotNull() & F.col(truth).isNotNull()).withColumn("_e", F.col(estimate) - F.col(truth))
     return own.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(estimate, truth).alias("slope"), F.regr_r2(estimate, truth).alias("r2"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         F.avg("_e").alias("mean_error"), F.stddev_pop("_e").alias("std_error"), F.percentile(F.abs("_e"), 0.9).alias("q90"),
-    )
+    ).where(F.col("n") >= least)
 
 
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:

@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from strandline.session import local_session
 
-    session = local_session(4, 8, "tests")
+    session = local_session(4, 4, "tests")
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -332,6 +332,12 @@ def test_survey_match(spark):
     assert got == [None, 10.0, 10.0, 14.0, 20.0, 30.0, None, None]
 
 
+def test_seven_pairs_have_no_statistics(spark):
+    df = spark.createDataFrame([(k, float(i), float(i) + 1) for k, n in (("a", 7), ("b", 8)) for i in range(n)] + [("a", None, 1.0)], "k string, est double, truth double")
+    (row,) = validation.error_statistics(df, ["k"], "est", "truth", 8).collect()
+    assert (row.k, row.n, row.rmse, row.mean_error, row.slope) == ("b", 8, 1.0, -1.0, 1.0)
+
+
 def test_utm_of_a_known_point(spark):
     x, y = scalar.lonlat_to_utm(F.lit(151.0), F.lit(-33.0), 56, True)
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
