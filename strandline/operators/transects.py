@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: Points farther from a transect's origin than this are never on it (metres).
 REACH = 1000.0
+#: Transects that are sent to every executor at most; more meet the points by a shuffle.
+BROADCAST_TRANSECTS = 50_000
+
 
 def create_transect(x: Column, y: Column, orientation: Column, length: int) -> Column:
     """Points every metre from the origin; orientation in degrees clockwise from North."""
@@ -31,6 +34,8 @@ def near_transects(points: DataFrame, transects: DataFrame, along: float, keep:
     cell = lambda c: F.floor(F.col(c) / REACH)
     around = F.explode(F.expr("sequence(-1, 1)"))
     lines = directed(transects, site).withColumn("_i", around).withColumn("_j", around).withColumn("_i", cell("x0") + F.col("_i")).withColumn("_j", cell("y0") + F.col("_j"))
+    if transects.limit(BROADCAST_TRANSECTS + 1).count() <= BROADCAST_TRANSECTS:
+        lines = F.broadcast(lines)
     dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
     joined = points.withColumn("_i", cell("x")).withColumn("_j", cell("y")).join(lines, [*site, "_i", "_j"])
     near = joined.where((F.abs(dx * F.col("uy") - dy * F.col("ux")) <= along) & (F.hypot(dx, dy) <= REACH))
