@@ -14,6 +14,7 @@ from strandline.llm.licence_templates import TEMPLATES
 from strandline.llm.licences import scan_licences
 from strandline.llm.mixing import label_domains, mixture
 from strandline.llm.near_duplicates import near_duplicates
+from strandline.llm.ranked_search import ranked
 from strandline.llm.shared import documents_at
 from strandline.llm.sharding import shard_documents
 from strandline.llm.spotsigs import fingerprint_documents
@@ -66,7 +67,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_soft_mixing, op2_licence_scan, op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op7_quotation_linking, op8_toxicity, op9_spotsigs, op10_exact_top_k)}
+def op12_windowed_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(documents_at(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_soft_mixing, op2_licence_scan, op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op7_quotation_linking, op8_toxicity, op9_spotsigs, op10_exact_top_k, op12_windowed_bucket_search)}
 
 #: Words and shingles as the operator defines them; components by the smallest label that spreads over the links.
 OP4_SQL = r"""
@@ -97,4 +102,18 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_setsketch_near_duplicates": OP4_SQL, "op10_exact_top_k": OP10_SQL}
+OP12_SQL = r"""
+WITH t AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+d AS (SELECT r, doc_id, words, CAST(len(words) AS BIGINT) AS n FROM t WHERE len(words) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term),
+adds AS (SELECT r, doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS s FROM tf JOIN weights ON weights.term = tf.term, totals),
+scores AS (SELECT item_id, r, doc_id, CAST(sum(s) AS BIGINT) AS score FROM adds JOIN asked ON asked.term = adds.term GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_setsketch_near_duplicates": OP4_SQL, "op10_exact_top_k": OP10_SQL, "op12_windowed_bucket_search": OP12_SQL}
