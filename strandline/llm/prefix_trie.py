@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.shared import removed, shared_folder, written
@@ -81,11 +81,12 @@ class Point:
         self.last = other.last
 
     def row(self, above: int) -> tuple:
-        """`below`: code points of members' turns below the point; `nodes`: those of distinct nodes below. The edge goes to one part only."""
+        """`below`: code points of members' turns below the point; `nodes`: those of distinct nodes below. `edge`: suffix sums of the code
+        points of the edge's turns, the point's own first; one part only has it."""
         begins = self.shared < self.depth
         own = self.sums[self.depth]
         nodes = self.distinct - (own - self.sums[self.shared] if begins else 0)
-        edge = [int(self.path[KEY * d + DIGEST : KEY * (d + 1)], 16) for d in range(above, self.depth)] if begins else None
+        edge = [own - self.sums[d] for d in range(self.depth - 1, above - 1, -1)] if begins else None
         return (key_of(self.path, self.depth), self.depth, key_of(self.path, above) if self.depth else None, edge, self.n, self.low, self.leaves, self.children, self.members - self.n * own, nodes)
 
 
@@ -154,7 +155,7 @@ def cuts(spines: list[tuple[int, str, str, list[int], list[int]]]) -> dict[int,
 
 
 def compressed(paths: DataFrame, folder: str) -> DataFrame:
-    """The points of the trie of paths (path, members, low), by POINT's columns; `edge` has the code points of the edge's turns."""
+    """The points of the trie of paths (path, members, low), by POINT's columns."""
     spark = paths.sparkSession
     wanted = paths.count() // PART + 1
     placed = paths.repartitionByRange(wanted, "path").withColumn("part", F.spark_partition_id()) if wanted > 1 else paths.withColumn("part", F.lit(0))
@@ -233,10 +234,8 @@ def prefix_trie(conversations: DataFrame, key: str = "conv_id", turn: str = "tur
     removed(conversations.sparkSession, folder, "sorted")
     above = tree.select(F.col("key").alias("parent"), F.col("conv_id").alias("above_conv_id"), F.col("depth").alias("above_depth"))
     tree = tree.join(above, "parent", "left").join(digests(ends.select(F.md5(F.col("path").cast("binary")).alias("key"), "conv_id")), "key", "left")
-    # place 0 is the point itself, place k the node k turns above it; suffix sums of the edge from its end
-    edge = F.reverse(F.coalesce("edge", F.array().cast("array<long>")))
-    suffix = F.aggregate(edge, F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(x + F.when(F.size(a) > 0, F.try_element_at(a, F.lit(-1))).otherwise(F.lit(0)))))
-    nodes = tree.withColumn("suffix", F.when(F.col("depth") == 0, F.array(F.lit(0).cast("long"))).otherwise(suffix)).select("*", F.posexplode("suffix").alias("up", "own"))
+    # place 0 is the point itself, place k the node k turns above it
+    nodes = tree.select("*", F.posexplode(F.coalesce("edge", F.array(F.lit(0).cast("long")))).alias("up", "own"))  # the root has no edge
     point, top = F.col("up") == 0, F.col("depth") - F.col("up") - 1 == F.col("above_depth")
     return nodes.select(
         "conv_id",

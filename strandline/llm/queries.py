@@ -14,6 +14,8 @@ from strandline.llm.licence_templates import TEMPLATES
 from strandline.llm.licences import scan_licences
 from strandline.llm.mixing import label_domains, mixture
 from strandline.llm.near_duplicates import near_duplicates
+from strandline.llm.one_bit import neighbours
+from strandline.llm.prefix_trie import prefix_trie
 from strandline.llm.ranked_search import ranked
 from strandline.llm.shared import documents_at
 from strandline.llm.sharding import shard_documents
@@ -67,11 +69,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_rotated_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op12_windowed_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(documents_at(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_soft_mixing, op2_licence_scan, op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op7_quotation_linking, op8_toxicity, op9_spotsigs, op10_exact_top_k, op12_windowed_bucket_search)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_soft_mixing, op2_licence_scan, op3_byte_bpe, op4_setsketch_near_duplicates, op5_token_shards, op6_hash_tree_shards, op7_quotation_linking, op8_toxicity, op9_spotsigs, op10_exact_top_k, op11_rotated_one_bit_codes, op12_windowed_bucket_search, op13_prefix_trie)}
 
 #: Words and shingles as the operator defines them; components by the smallest label that spreads over the links.
 OP4_SQL = r"""
@@ -102,6 +112,18 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5
 """
 
+#: The nearest by brute force: the query misses none of them but by an estimate that is off by more than its bound.
+OP11_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), lambda a, b: a + b)) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
 OP12_SQL = r"""
 WITH t AS (
     SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
@@ -116,4 +138,35 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM scores WHERE score > 0 QUALIFY rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_setsketch_near_duplicates": OP4_SQL, "op10_exact_top_k": OP10_SQL, "op12_windowed_bucket_search": OP12_SQL}
+OP13_SQL = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+original AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS turns FROM t GROUP BY conv_id),
+crc AS (
+    SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) FOR k IN range(8)]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM original),
+rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns[1:h], []), c.turns[h + 1:]) AS turns
+    FROM crc c LEFT JOIN original b ON b.conv_id = c.conv_id - c.conv_id % 100),
+members AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+    SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+    FROM members GROUP BY 1, 2),
+below AS (
+    SELECT p.path, p.depth, count(k.path) AS n_children, any_value(p.conv_id) AS conv_id, any_value(p.n_convs) AS n_convs, any_value(p.ends_sha256) AS ends_sha256
+    FROM nodes p LEFT JOIN nodes k ON k.depth = p.depth + 1 AND k.path[1:p.depth] = p.path GROUP BY 1, 2),
+every AS (SELECT path AS node, n_children = 0 AS leaf, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].text) END AS saved, unnest(range(0, depth + 1)) AS d FROM below),
+sums AS (SELECT node[1:d] AS path, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM every GROUP BY 1)
+SELECT b.conv_id, b.depth, p.conv_id AS parent_conv_id, b.n_convs, b.n_children, s.n_leaves, s.saved_tokens, b.ends_sha256
+FROM below b JOIN sums s ON s.path = b.path LEFT JOIN nodes p ON b.depth > 0 AND p.depth = b.depth - 1 AND p.path = b.path[1:b.depth - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_setsketch_near_duplicates": OP4_SQL,
+    "op10_exact_top_k": OP10_SQL,
+    "op11_rotated_one_bit_codes": OP11_SQL,
+    "op12_windowed_bucket_search": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
+}
