@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from strandline.llm.shared import removed, shared_folder, written
 from strandline.llm.top_k import _distances, fit_pivots
 
-SAMPLE, FIRST, BLOCK, GROUP = 4096, 4, 8192, 512
-BITS, BOUND = 256, 4.0
+SAMPLE, FIRST, BLOCK, GROUP = 4096, 8, 8192, 512
+BITS, BOUND = 512, 4.0
 CODE = "list int, code binary, length double, along double, shift double"
 
 
