@@ -95,6 +95,41 @@ def features(bands: np.ndarray) -> np.ndarray:
     return np.stack([*own, *(local_std(x) for x in own)], -1)
 
 
+def envelopes(at: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line (a row of `at` and `cost`) the parabolas (x - at)^2 + cost that lie lowest somewhere: their places in the line, the x
+    from which each does, and how many there are. Places ascend in a line; an infinite cost is no parabola. All lines go ahead together."""
+    lines, size = at.shape
+    which, begins, top = np.zeros((lines, size), int), np.full((lines, size + 1), np.inf), np.full(lines, -1)
+    for q in range(size):
+        new = np.flatnonzero(np.isfinite(cost[:, q]))
+        cross = np.full(lines, -np.inf)
+        left = new[top[new] >= 0]
+        while len(left):
+            v = which[left, top[left]]
+            a, b = at[left, q], at[left, v]
+            cross[left] = (cost[left, q] + a * a - cost[left, v] - b * b) / (2 * (a - b))
+            left = left[cross[left] <= begins[left, top[left]]]
+            top[left] -= 1
+            cross[left[top[left] < 0]] = -np.inf
+            left = left[top[left] >= 0]
+        top[new] += 1
+        which[new, top[new]], begins[new, top[new]] = q, cross[new]
+    return which, begins, top + 1
+
+
+def lowest(envelope: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, cost: np.ndarray, line: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The lowest parabola's value at x on each line asked (lines ascend); infinite where a line has no parabola."""
+    which, begins, count = envelope
+    out = np.full(len(x), np.inf)
+    cuts = np.flatnonzero(np.diff(line, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(line)], strict=True):
+        k, n = line[a], count[line[a]]
+        if n:
+            v = which[k, np.searchsorted(begins[k, :n], x[a:b], "right") - 1]
+            out[a:b] = (x[a:b] - at[k, v]) ** 2 + cost[k, v]
+    return out
+
+
 def histogram_matched(source: np.ndarray, template: np.ndarray) -> np.ndarray:
     """Each value of source as the template's value at the same share of its distribution, linear in between, ends held."""
     _, at, counts = np.unique(source, return_inverse=True, return_counts=True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from datetime import date, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.projections import converted, lonlat_to_utm, utm_to_lonlat  # noqa: F401
+
 
 def null_if_nan(c: Column) -> Column:
     """NaN as NULL: aggregates then skip it, and comparisons with it keep nothing."""
@@ -110,73 +111,6 @@ def pixels_of_distance(distance: float, pixel: float) -> int:
     return -int(-distance // pixel)
 
 
-def _meridian(lat: Column, a: float, e2: float) -> Column:
-    return a * (
-        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * lat - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * lat)
-        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * lat) - (35 * e2**3 / 3072) * F.sin(6 * lat)
-    )
-
-
-def lonlat_to_utm(lon: Column, lat: Column, zone: int, south: bool) -> tuple[Column, Column]:
-    """WGS84 to UTM by the transverse Mercator series; within a zone it is good to a millimetre."""
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
-    e2 = f * (2 - f)
-    ep2 = e2 / (1 - e2)
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    n, t, c, big = a / F.sqrt(1 - e2 * F.sin(phi) ** 2), F.tan(phi) ** 2, ep2 * F.cos(phi) ** 2, F.cos(phi) * lam
-    x = k0 * n * (big + (1 - t + c) * big**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * ep2) * big**5 / 120) + 500000.0
-    y = k0 * (_meridian(phi, a, e2) + n * F.tan(phi) * (big**2 / 2 + (5 - t + 9 * c + 4 * c**2) * big**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * ep2) * big**6 / 720))
-    return x, y + (10_000_000.0 if south else 0.0)
-
-
-def utm_to_lonlat(x: Column, y: Column, zone: int, south: bool) -> tuple[Column, Column]:
-    """UTM to WGS84 by the inverse series."""
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
-    e2 = f * (2 - f)
-    ep2, e1 = e2 / (1 - e2), (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-    mu = (y - (10_000_000.0 if south else 0.0)) / k0 / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
-    sin2 = F.sin(foot) ** 2
-    n, r = a / F.sqrt(1 - e2 * sin2), a * (1 - e2) / (1 - e2 * sin2) ** 1.5
-    t, c, d = F.tan(foot) ** 2, ep2 * F.cos(foot) ** 2, (x - 500000.0) / (n * k0)
-    lat = foot - n * F.tan(foot) / r * (d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c**2 - 9 * ep2) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t**2 - 252 * ep2 - 3 * c**2) * d**6 / 720)
-    lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c**2 + 8 * ep2 + 24 * t**2) * d**5 / 120) / F.cos(foot)
-    return F.degrees(lon) + (zone * 6 - 183), F.degrees(lat)
-
-
-def lonlat_to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """WGS84 to spherical web Mercator."""
-    r = 6378137.0
-    return F.radians(lon) * r, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)) * r
-
-
-def mercator_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
-    r = 6378137.0
-    return F.degrees(x / r), F.degrees(2 * F.atan(F.exp(y / r)) - math.pi / 2)
-
-
-def utm_zone(epsg: int) -> tuple[int, bool]:
-    """Zone and whether it is southern of WGS84 / UTM (326zz, 327zz) and of the Australian grid (283zz), whose ellipsoid is the same to
-    a tenth of a millimetre."""
-    group, zone = divmod(epsg, 100)
-    if group not in (326, 327, 283) or not 1 <= zone <= 60:
-        raise ValueError(f"unknown reference system {epsg}")
-    return zone, group != 326
-
-
-def converted(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
-    """(x, y), longitude first, from one reference system to another: 4326, 3857 and those of utm_zone; equal ones change nothing."""
-    if source == target:
-        return x, y
-    if source == 4326:
-        lon, lat = x, y
-    else:
-        lon, lat = mercator_to_lonlat(x, y) if source == 3857 else utm_to_lonlat(x, y, *utm_zone(source))
-    if target == 4326:
-        return lon, lat
-    return lonlat_to_mercator(lon, lat) if target == 3857 else lonlat_to_utm(lon, lat, *utm_zone(target))
-
-
 def clipped(row: Column, col: Column, height: Column, width: Column) -> tuple[Column, Column]:
     """Pixel coordinates moved into the image."""
     within = lambda v, n: F.least(F.greatest(v, F.lit(0)), n - 1)

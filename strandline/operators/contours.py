@@ -1,19 +1,18 @@
-"""Level lines of rasters of pixels (scene, r, c, value): segments by windows, lines by walking along each scene's segments."""
+"""Level lines of rasters of pixels (scene, r, c, value): segments by windows, lines by list ranking over all scenes' segments."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from strandline.tables import Rounds
 
 
 def contour_segments(df: DataFrame, by: list[str], value: str, level: Column) -> DataFrame:
-    """by and the ends (row0, col0) and (row1, col1) of the level's segments in each square of four pixels, by linear interpolation
-    along its sides. Squares with an unknown corner have none; where opposite corners are over the level, each is cut off by itself."""
+    """by, the ends (row0, col0) and (row1, col1) of the level's segments in each square of four pixels, by linear interpolation along
+    its sides, and `segment`, a number that ascends by row, column and segment of the square. What is over the level lies to the right of
+    the way from the first end to the second. Squares with an unknown corner have none; where opposite corners are over the level, each is
+    cut off by itself."""
     right = Window.partitionBy(*by, "r").orderBy("c")
     down = Window.partitionBy(*by, "c").orderBy("r")
     pair = df.select(*by, "r", "c", F.col(value).cast("double").alias("_a"), level.cast("double").alias("_l"), F.lead(F.struct("c", F.col(value).cast("double").alias("v"))).over(right).alias("_n"))
@@ -32,43 +31,64 @@ def contour_segments(df: DataFrame, by: list[str], value: str, level: Column) ->
     made = F.lit(None)
     for which, pairs in sides.items():
         made = F.when(F.col("_case") == which, F.array(*(F.struct(x.alias("p"), y.alias("q")) for x, y in pairs))).otherwise(made)
-    out = square.withColumn("_case", case).where("_case between 1 and 14").select(*by, F.explode(made).alias("_s"))
-    return out.select(*by, F.col("_s.p.row").alias("row0"), F.col("_s.p.col").alias("col0"), F.col("_s.q.row").alias("row1"), F.col("_s.q.col").alias("col1")).where("row0 <> row1 or col0 <> col1")
+    out = square.withColumn("_case", case).where("_case between 1 and 14").select(*by, "r", "c", F.posexplode(made).alias("_k", "_s"))
+    number = F.col("r").cast("long") * (1 << 32) + F.col("c").cast("long") * 2 + F.col("_k")
+    return out.select(*by, number.alias("segment"), F.col("_s.p.row").alias("row0"), F.col("_s.p.col").alias("col0"), F.col("_s.q.row").alias("row1"), F.col("_s.q.col").alias("col1")).where("row0 <> row1 or col0 <> col1")
+
+
+def _linked(segments: DataFrame, by: list[str]) -> DataFrame:
+    """by, segment, its ends, and the segments before and after it (NULL: a loose end).
+
+    Where several segments end and begin in one point (the level runs through a pixel), the first to end goes on as the first to begin."""
+    place = lambda row, col: F.row_number().over(Window.partitionBy(*by, row, col).orderBy("segment"))
+    own = segments.withColumn("_in", place("row1", "col1")).withColumn("_out", place("row0", "col0"))
+    begins = own.select(*by, F.col("row0").alias("row"), F.col("col0").alias("col"), F.col("_out").alias("_k"), F.col("segment").alias("after"))
+    ends = own.select(*by, F.col("row1").alias("row"), F.col("col1").alias("col"), F.col("_in").alias("_k"), F.col("segment").alias("before"))
+    links = ends.join(begins, [*by, "row", "col", "_k"]).select(*by, "before", "after")
+    to = links.select(*by, F.col("before").alias("segment"), "after")
+    out = segments.join(links.select(*by, F.col("after").alias("segment"), "before"), [*by, "segment"], "left")
+    return out.join(to, [*by, "segment"], "left")
+
+
+def _ranked(linked: DataFrame, by: list[str], rounds: Rounds) -> DataFrame:
+    """by, segment, line, place: the first segment of a segment's line and the steps from it, by pointer doubling.
+
+    Each segment knows the stretch of `steps` segments behind it: how far it reaches, its lowest number and the steps back to that. A
+    round joins each stretch to the one before it, so stretches double. A stretch that ends at a loose end is settled: the line begins
+    there. When a round settles no more and finds no lower number, what is left are closed lines; these begin at their lowest segment."""
+    state = linked.select(*by, "segment", F.col("before").alias("next"), F.lit(1).cast("long").alias("steps"), F.col("segment").alias("last"), F.col("segment").alias("low"), F.lit(0).cast("long").alias("back"))
+    state = rounds.table(state, "ranks")
+    open_, lows = None, None
+    while True:
+        left = state.where("next IS NOT NULL").agg(F.count(F.lit(1)), F.sum(F.col("low").cast("decimal(38,0)"))).first()
+        if not left[0] or (open_, lows) == tuple(left):
+            break
+        open_, lows = left
+        behind = state.select(*by, F.col("segment").alias("next"), *(F.col(c).alias(f"_{c}") for c in ("next", "steps", "last", "low", "back")))
+        lower = F.col("_low") < F.col("low")
+        met = state.join(behind, [*by, "next"], "left").select(
+            *by, "segment", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_last", "last").alias("last"),
+            F.when(lower, F.col("_low")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("steps") + F.col("_back")).otherwise(F.col("back")).alias("back"),
+        )
+        state = rounds.table(met, "ranks")
+    closed = F.col("next").isNotNull()
+    return state.select(*by, "segment", F.when(closed, F.col("low")).otherwise(F.col("last")).alias("line"), F.when(closed, F.col("back")).otherwise(F.col("steps") - 1).alias("place"))
 
 
 def contour_lines(segments: DataFrame, by: list[str]) -> DataFrame:
-    """by, line, pt_idx, row, col: segments that share ends put together, a line's points in order; a closed line ends where it begins.
-    Each end is that of two segments at most, but where the level runs through pixels, where lines part. A scene is one group."""
-    fields = [segments.schema[c] for c in by] + [T.StructField("line", T.IntegerType()), T.StructField("pt_idx", T.IntegerType()), T.StructField("row", T.DoubleType()), T.StructField("col", T.DoubleType())]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[by].iloc[0].tolist()
-        rows = [(*key, line, k, *p) for line, points in enumerate(_walked(pdf)) for k, p in enumerate(points)]
-        return pd.DataFrame(rows, columns=[f.name for f in fields])
-
-    return segments.groupBy(*by).applyInPandas(run, T.StructType(fields))
-
-
-def _walked(pdf: pd.DataFrame) -> Iterator[list[tuple[float, float]]]:
-    ends = [((a, b), (c, d)) for a, b, c, d in sorted(zip(pdf["row0"], pdf["col0"], pdf["row1"], pdf["col1"], strict=True))]
-    at = defaultdict(list)
-    for k, (p, q) in enumerate(ends):
-        at[p].append(k)
-        at[q].append(k)
-    used = [False] * len(ends)
-
-    def onward(point: tuple[float, float]) -> list[tuple[float, float]]:
-        out = [point]
-        while (k := next((k for k in at[out[-1]] if not used[k]), None)) is not None:
-            used[k] = True
-            p, q = ends[k]
-            out.append(q if out[-1] == p else p)
-        return out
-
-    # from loose ends first, then around what is closed
-    for start in [p for p in sorted(at) if len(at[p]) != 2] + [p for p, _ in ends]:
-        while any(not used[k] for k in at[start]):
-            yield onward(start)
+    """by, line (the number of its first segment), pt_idx, row, col: segments that share ends put together, a line's points in order; a
+    closed line begins at its lowest segment and ends where it begins.
+
+    Lines run over any number of tasks: the rounds are joins of all segments, one for each doubling of the longest line. Each round is a
+    table in the shared folder, so this runs jobs when it is called."""
+    rounds = Rounds(segments.sparkSession)
+    linked = rounds.table(_linked(segments, by), "linked")
+    own = linked.join(_ranked(linked, by, rounds), [*by, "segment"])
+    ends = F.col("after").isNull() | (F.col("after") == F.col("line"))
+    first = F.struct(F.col("place").alias("pt_idx"), F.col("row0").alias("row"), F.col("col0").alias("col"))
+    second = F.struct((F.col("place") + 1).alias("pt_idx"), F.col("row1").alias("row"), F.col("col1").alias("col"))
+    points = own.select(*by, "line", F.inline(F.when(ends, F.array(first, second)).otherwise(F.array(first))))
+    return points.withColumn("pt_idx", F.col("pt_idx").cast("int"))
 
 
 def in_world(lines: DataFrame, scenes: DataFrame, by: list[str]) -> DataFrame:
