@@ -8,6 +8,8 @@ some 40 degrees from the meridian, so points of neighbouring zones can be brough
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,68 +29,59 @@ def column(value: Column | float) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def _third(inverse: Column) -> Column:
-    """The third flattening of an ellipsoid."""
-    return 1 / (2 * inverse - 1)
-
-
-def _rectifying(n: Column) -> Column:
-    return AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-
+def _series(inverse: float) -> dict[str, list[float]]:
+    """What Krüger's series needs of an ellipsoid: the length of a radian on the rectifying sphere, the eccentricity, and coefficients to
+    rectified coordinates, back, and from conformal to geodetic latitudes (fixed values)."""
+    n = 1 / (2 * inverse - 1)
+    return {
+        "radian": [SCALE * AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)],
+        "eccentricity": [2 * math.sqrt(n) / (1 + n)],
+        "forth": [n / 2 - n**2 * 2 / 3 + n**3 * 5 / 16 + n**4 * 41 / 180, n**2 * 13 / 48 - n**3 * 3 / 5 + n**4 * 557 / 1440, n**3 * 61 / 240 - n**4 * 103 / 140, n**4 * 49561 / 161280],
+        "back": [n / 2 - n**2 * 2 / 3 + n**3 * 37 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - n**4 * 437 / 1440, n**3 * 17 / 480 - n**4 * 37 / 840, n**4 * 4397 / 161280],
+        "geodetic": [2 * n - n**2 * 2 / 3 - 2 * n**3 + n**4 * 116 / 45, n**2 * 7 / 3 - n**3 * 8 / 5 - n**4 * 227 / 45, n**3 * 56 / 15 - n**4 * 136 / 35, n**4 * 4279 / 630],
+    }
 
-def _forward(n: Column) -> list[Column]:
-    """Krüger's coefficients from conformal to rectified coordinates (fixed values)."""
-    return [
-        n / 2 - n**2 * 2 / 3 + n**3 * 5 / 16 + n**4 * 41 / 180,
-        n**2 * 13 / 48 - n**3 * 3 / 5 + n**4 * 557 / 1440,
-        n**3 * 61 / 240 - n**4 * 103 / 140,
-        n**4 * 49561 / 161280,
-    ]
 
+#: Both ellipsoids' numbers in one order; a system's are the literals at its place.
+_ORDER = ["radian", "eccentricity", "forth", "back", "geodetic"]
+_NUMBERS = {inverse: [x for name in _ORDER for x in _series(inverse)[name]] for inverse in (WGS84, GRS80)}
+_PLACES = {"radian": 0, "eccentricity": 1, "forth": 2, "back": 6, "geodetic": 10}
 
-def _backward(n: Column) -> list[Column]:
-    """And back (fixed values)."""
-    return [
-        n / 2 - n**2 * 2 / 3 + n**3 * 37 / 96 - n**4 / 360,
-        n**2 / 48 + n**3 / 15 - n**4 * 437 / 1440,
-        n**3 * 17 / 480 - n**4 * 37 / 840,
-        n**4 * 4397 / 161280,
-    ]
 
+def _number(v: Values, tag: str, name: str, k: int = 0) -> Column:
+    return v[f"numbers_{tag}"][_PLACES[name] + k]
 
-def _geodetic(n: Column) -> list[Column]:
-    """From conformal to geodetic latitudes (fixed values)."""
-    return [
-        2 * n - n**2 * 2 / 3 - 2 * n**3 + n**4 * 116 / 45,
-        n**2 * 7 / 3 - n**3 * 8 / 5 - n**4 * 227 / 45,
-        n**3 * 56 / 15 - n**4 * 136 / 35,
-        n**4 * 4279 / 630,
-    ]
 
-
-def _sum(terms: list[Column], term) -> Column:
-    total = F.lit(0.0)
-    for k, a in enumerate(terms, 1):
-        total = total + a * term(2.0 * k)
+def _sum(v: Values, tag: str, name: str, term) -> Column:
+    total = _number(v, tag, name) * term(2.0)
+    for k in range(1, 4):
+        total = total + _number(v, tag, name, k) * term(2.0 * k + 2)
     return total
 
 
 def _ellipsoid(epsg: str, tag: str):
-    """Zone's meridian, false northing and third flattening of the UTM system in a column."""
+    """The meridian, false northing and ellipsoid's numbers of the UTM system in a column; nulls for other systems."""
+
     def stage(v: Values) -> Values:
-        zone, northing, inverse = system_of(v[epsg])
-        return {f"meridian_{tag}": zone * 6.0 - 183, f"northing_{tag}": northing, f"n_{tag}": _third(inverse)}
+        group, zone = F.floor(v[epsg] / 100), v[epsg] % 100
+        known = zone.between(1, 60) & group.isin(*UTM_GROUPS)
+        southern, grs80 = ([g for g, x in UTM_GROUPS.items() if x[k] == value] for k, value in ((1, True), (0, GRS80)))
+        numbers = {i: F.array(*map(F.lit, x)) for i, x in _NUMBERS.items()}
+        return {
+            f"meridian_{tag}": F.when(known, zone * 6.0 - 183), f"northing_{tag}": F.when(group.isin(*southern), SOUTHERN).otherwise(0.0),
+            f"numbers_{tag}": F.when(group.isin(*grs80), numbers[GRS80]).otherwise(numbers[WGS84]),
+        }
+
     return stage
 
 
 def _unrectified(v: Values) -> Values:
-    own = SCALE * _rectifying(v["n_s"])
-    return {"xi": (v["y"] - v["northing_s"]) / own, "eta": (v["x"] - EASTING) / own}
+    return {"xi": (v["y"] - v["northing_s"]) / _number(v, "s", "radian"), "eta": (v["x"] - EASTING) / _number(v, "s", "radian")}
 
 
 def _sphere(v: Values) -> Values:
-    b = _backward(v["n_s"])
-    return {"north": v["xi"] - _sum(b, lambda k: F.sin(k * v["xi"]) * F.cosh(k * v["eta"])), "east": v["eta"] - _sum(b, lambda k: F.cos(k * v["xi"]) * F.sinh(k * v["eta"]))}
+    xi, eta = v["xi"], v["eta"]
+    return {"north": xi - _sum(v, "s", "back", lambda k: F.sin(k * xi) * F.cosh(k * eta)), "east": eta - _sum(v, "s", "back", lambda k: F.cos(k * xi) * F.sinh(k * eta))}
 
 
 def _latitudes(v: Values) -> Values:
@@ -97,14 +90,14 @@ def _latitudes(v: Values) -> Values:
 
 def _lonlat(v: Values) -> Values:
     lon = v["meridian_s"] + F.degrees(F.atan2(F.sinh(v["east"]), F.cos(v["north"])))
-    lat = F.degrees(v["chi"] + _sum(_geodetic(v["n_s"]), lambda k: F.sin(k * v["chi"])))
+    lat = F.degrees(v["chi"] + _sum(v, "s", "geodetic", lambda k: F.sin(k * v["chi"])))
     mercator = F.degrees(v["x"] / AXIS), F.degrees(F.atan(F.sinh(v["y"] / AXIS)))
     return {c: F.when(v["s"].isin(*GEOGRAPHIC), own).when(v["s"] == MERCATOR, m).otherwise(u) for c, own, m, u in zip(("lon", "lat"), (v["x"], v["y"]), mercator, (lon, lat), strict=True)}
 
 
 def _tangent(v: Values) -> Values:
     """The tangent of the conformal latitude, and the angle from the meridian."""
-    e, sin = 2 * F.sqrt(v["n_t"]) / (1 + v["n_t"]), F.sin(F.radians(v["lat"]))
+    e, sin = _number(v, "t", "eccentricity"), F.sin(F.radians(v["lat"]))
     return {"tan": F.sinh(F.atanh(sin) - e * F.atanh(e * sin)), "lam": F.radians(v["lon"] - v["meridian_t"])}
 
 
@@ -114,9 +107,9 @@ def _conformal(v: Values) -> Values:
 
 
 def _projected(v: Values) -> Values:
-    a, own = _forward(v["n_t"]), SCALE * _rectifying(v["n_t"])
-    north = v["xi"] + _sum(a, lambda k: F.sin(k * v["xi"]) * F.cosh(k * v["eta"]))
-    east = v["eta"] + _sum(a, lambda k: F.cos(k * v["xi"]) * F.sinh(k * v["eta"]))
+    own = _number(v, "t", "radian")
+    north = v["xi"] + _sum(v, "t", "forth", lambda k: F.sin(k * v["xi"]) * F.cosh(k * v["eta"]))
+    east = v["eta"] + _sum(v, "t", "forth", lambda k: F.cos(k * v["xi"]) * F.sinh(k * v["eta"]))
     utm, mercator = (EASTING + own * east, v["northing_t"] + own * north), (F.radians(v["lon"]) * AXIS, F.asinh(F.tan(F.radians(v["lat"]))) * AXIS)
     made = [F.when(v["t"].isin(*GEOGRAPHIC), own).when(v["t"] == MERCATOR, m).otherwise(u) for own, m, u in zip((v["lon"], v["lat"]), mercator, utm, strict=True)]
     known = known_system(v["s"]) & known_system(v["t"])
@@ -124,9 +117,8 @@ def _projected(v: Values) -> Values:
 
 
 def _converged(v: Values) -> Values:
-    a = [k * 2.0 * c for k, c in enumerate(_forward(v["n_t"]), 1)]
-    along = 1 + _sum(a, lambda k: F.cos(k * v["xi"]) * F.cosh(k * v["eta"]))
-    across = _sum(a, lambda k: F.sin(k * v["xi"]) * F.sinh(k * v["eta"]))
+    along = 1 + _sum(v, "t", "forth", lambda k: k * F.cos(k * v["xi"]) * F.cosh(k * v["eta"]))
+    across = _sum(v, "t", "forth", lambda k: k * F.sin(k * v["xi"]) * F.sinh(k * v["eta"]))
     root, turned = F.sqrt(1 + v["tan"] * v["tan"]), v["tan"] * F.tan(v["lam"])
     return {"convergence": F.degrees(F.atan2(across * root + along * turned, along * root - across * turned))}
 
@@ -136,7 +128,8 @@ BACK, FORTH = [_ellipsoid("s", "s"), _unrectified, _sphere, _latitudes, _lonlat]
 
 
 def _bound(values: Values, steps: list, result) -> Column:
-    """The result of steps on values as one expression, in which a lambda binds the values of each step."""
+    """The result of steps on values as one expression, in which a lambda binds the values of each step. As columns of projections of
+    their own, the optimizer would write them out anew in every predicate that it pushes down."""
     if not steps:
         return result(values)
     every = {**values, **steps[0](values)}
@@ -144,16 +137,15 @@ def _bound(values: Values, steps: list, result) -> Column:
     return F.get(F.transform(row, lambda v: _bound({name: v[name] for name in every}, steps[1:], result)), F.lit(0))
 
 
+def _projection(x: Column, y: Column, source: Column | int, target: Column | int) -> Column:
+    values = {"x": x.cast("double"), "y": y.cast("double"), "s": _checked(source), "t": _checked(target)}
+    return _bound(values, [*BACK, *FORTH], lambda v: F.struct(*(c.alias(name) for name, c in _projected(v).items())))
+
+
 def reprojected(df: DataFrame, x: str, y: str, source: Column | int, target: Column | int, to: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """df with the columns `to` of (x, y), brought from one system to another. For many rows: each step is a projection of its own, so all
-    of it stays in generated code."""
-    values, kept = {}, [c for c in df.columns if c not in to]
-    first = {"x": F.col(x).cast("double"), "y": F.col(y).cast("double"), "s": _checked(source).cast("int"), "t": _checked(target).cast("int")}
-    for step in [lambda _: first, *BACK, *FORTH, _projected]:
-        made = step(values)
-        df = df.withColumns({f"_proj_{name}": c for name, c in made.items()})
-        values |= {name: F.col(f"_proj_{name}") for name in made}
-    return df.select(*kept, values["x_t"].alias(to[0]), values["y_t"].alias(to[1]))
+    """df with the columns `to` of (x, y), brought from one system to another; both are projected at once."""
+    made = df.withColumn("_proj", _projection(F.col(x), F.col(y), source, target))
+    return made.select(*(c for c in df.columns if c not in to), F.col("_proj.x_t").alias(to[0]), F.col("_proj.y_t").alias(to[1]))
 
 
 def grid_convergence(lon: Column, lat: Column, epsg: Column | int) -> Column:
@@ -161,21 +153,6 @@ def grid_convergence(lon: Column, lat: Column, epsg: Column | int) -> Column:
     return _bound({"lon": lon, "lat": lat, "t": _checked(epsg)}, FORTH, lambda v: _converged(v)["convergence"])
 
 
-def system_of(epsg: Column) -> tuple[Column, Column, Column]:
-    """Zone, false northing and inverse flattening of UTM systems; nulls for others."""
-    group, zone = F.floor(epsg / 100), epsg % 100
-    known = zone.between(1, 60)
-    of = lambda pick: _case(group, {g: pick(v) for g, v in UTM_GROUPS.items()})
-    return F.when(known, zone), F.when(known, of(lambda v: SOUTHERN if v[1] else 0.0)), F.when(known, of(lambda v: v[0]))
-
-
-def _case(key: Column, values: dict[int, float]) -> Column:
-    out = F.lit(None).cast("double")
-    for k, v in values.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
-
-
 def known_system(epsg: Column | int) -> Column:
     epsg = column(epsg)
     return F.coalesce(epsg.isin(*GEOGRAPHIC, MERCATOR) | (F.floor(epsg / 100).isin(*UTM_GROUPS) & (epsg % 100).between(1, 60)), F.lit(False))
@@ -189,10 +166,9 @@ def _checked(epsg: Column | int) -> Column:
 
 def converted(x: Column, y: Column, source: Column | int, target: Column | int) -> tuple[Column, Column]:
     """(x, y) from one system to another, both codes or columns of codes; equal systems change nothing. A code that isn't known raises."""
-    if isinstance(source, int) and source == target:
+    if isinstance(source, int) and isinstance(target, int) and source == target:
         return x, y
-    values = {"x": x.cast("double"), "y": y.cast("double"), "s": _checked(source), "t": _checked(target)}
-    made = _bound(values, [*BACK, *FORTH], lambda v: F.struct(*(c.alias(name) for name, c in _projected(v).items())))
+    made = _projection(x, y, source, target)
     return made["x_t"], made["y_t"]
 
 

@@ -82,7 +82,7 @@ def contour_lines(segments: DataFrame, by: list[str]) -> DataFrame:
     Lines run over any number of tasks: the rounds are joins of all segments, one for each doubling of the longest line. Each round is a
     table in the shared folder, so this runs jobs when it is called."""
     rounds = Rounds(segments.sparkSession)
-    linked = rounds.table(_linked(segments, by), "linked")
+    linked = rounds.table(_linked(rounds.table(segments, "segments"), by), "linked")
     own = linked.join(_ranked(linked, by, rounds), [*by, "segment"])
     ends = F.col("after").isNull() | (F.col("after") == F.col("line"))
     first = F.struct(F.col("place").alias("pt_idx"), F.col("row0").alias("row"), F.col("col0").alias("col"))

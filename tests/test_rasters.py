@@ -29,7 +29,7 @@ def test_distances_against_brute_force(spark):
     spots = [("a", 3.0, 4.25), ("a", 3.0, 4.25), ("a", 7.5, 9.0), ("a", 7.5, 9.25), ("a", 0.0, 22.0), ("a", 16.0, 0.0), ("none", 1.0, 1.5), ("one", 0.0, 39.0), ("a", None, 1.0), ("gone", 1.0, 1.0)]
     spots += [("a", float(rnd.integers(17)), float(rnd.random() * 22)) for _ in range(40)] + [("a", float(rnd.random() * 16), float(rnd.integers(23))) for _ in range(40)]
     points = spark.createDataFrame([(k, *p) for k, p in enumerate(spots)], "k int, s string, row double, col double")
-    got = {r.k: r.far for r in distances.to_masked(points, rasters, ["s"], "m", "far").collect()}
+    got = {r.k: r.far for r in distances.to_masked(points, rasters, ["s"], {"far": "m", "m2": "m"}).collect()}
     assert len(got) == len(spots)
     for k, (s, row, col) in enumerate(spots):
         at = np.argwhere(masks.get(s, np.zeros((0, 0))))
@@ -38,8 +38,8 @@ def test_distances_against_brute_force(spark):
     whole = distances.transformed(rasters.where("s = 'a'"), ["s"], "m").collect()
     at = np.argwhere(masks["a"])
     assert len(whole) == 17 * 23 and all(r.distance == pytest.approx(np.hypot(at[:, 0] - r.r, at[:, 1] - r.c).min()) for r in whole)
-    assert distances.to_masked(points.limit(0), rasters, ["s"], "m").count() == 0
-    assert [r.distance for r in distances.to_masked(points.limit(2), rasters.limit(0), ["s"], "m").collect()] == [None, None]
+    assert distances.to_masked(points.limit(0), rasters, ["s"], {"distance": "m"}).count() == 0
+    assert [r.distance for r in distances.to_masked(points.limit(2), rasters.limit(0), ["s"], {"distance": "m"}).collect()] == [None, None]
 
 
 def walked(segments):
@@ -78,3 +78,61 @@ def test_lines_against_walking(spark, level):
         of.setdefault(r.s, []).append((r.segment, (r.row0, r.col0), (r.row1, r.col1)))
     assert lines == {(s, k): p for s, own in of.items() for k, p in walked(own).items()}
     assert contours.contour_lines(segments.limit(0), ["s"]).count() == 0
+
+
+def strip(zone, scene, shift, sat="L8"):
+    """A scene of 12 x 14 pixels of 15 m in a UTM zone, water in the west, its shoreline near 150 degrees east."""
+    v = np.tile(np.linspace(-0.8, 0.8, 14), (12, 1))
+    g, rest = np.full(v.shape, 0.2), np.full(v.shape, 0.1)
+    index = (0.2 + 0.2 * v) / (1 - v)
+    bands = [rest, g, rest, index, index]
+    return {"scene_id": scene, "site": "s", "satname": sat, "height": 12, "width": 14, "bands": [b.ravel().tolist() for b in bands], "qa": [1] * 168, "georef": [*shift[:1], 15.0, 0.0, shift[1], 0.0, -15.0], "epsg": zone}
+
+
+def test_scenes_of_two_zones_give_one_table(spark):
+    from datetime import datetime
+
+    from strandline.functions import projections
+    from strandline.operators.scenes import TILES
+    from strandline.operators.transects import near_transects
+    from strandline.plans import extraction
+
+    at = lambda epsg: spark.range(1).select(*(c.alias(n) for c, n in zip(projections.converted(F.lit(150.0), F.lit(-33.0), 4326, epsg), "xy", strict=True))).first()
+    a, b = at(32755), at(32756)
+    made = [strip(32755, "55", (a.x - 105, a.y + 90)), strip(32756, "56", (b.x - 105, b.y + 90)), strip(2154, "unknown", (0.0, 0.0))]
+    rows = [[{**r, "acq_ts": datetime(2024, 1, 1), "pan": None, "cloud_prob": None}[c.split()[0]] for c in TILES.split(", ")] for r in made]
+    settings = extraction.Detection(min_length_sl=100, min_beach_area=0, output_epsg=28356, max_dist_ref=60)
+    classes = extraction.classified_scenes(spark.createDataFrame(rows, TILES), lambda x: np.where(x[:, 6] > 0, 1, 3), settings).cache()
+    assert {r.scene_id: r.reason for r in classes.collect()} == {"55": None, "56": None, "unknown": "unknown reference system: 2154"}
+    out = at(28356)
+    reference = spark.createDataFrame([("s", out.x, out.y + k * 15.0) for k in range(-7, 8)], "site string, x double, y double")
+    shores = extraction.shorelines(classes, settings, reference).cache()
+    got = {r.scene_id: np.array([(p.x, p.y) for p in r.pts]) for r in shores.collect()}
+    assert set(got) == {"55", "56"}
+    for p in got.values():  # both shorelines pass the same place of the output system
+        assert len(p) >= 8 and np.hypot(*(p - [out.x, out.y]).T).min() < 15
+    # the grids of the zones meet at the difference of their convergences
+    turn = [np.degrees(np.arctan2(*(p[np.argmax(p[:, 1])] - p[np.argmin(p[:, 1])]))) for p in (got["55"], got["56"])]
+    meets = spark.range(1).select(*(projections.grid_convergence(F.lit(150.0), F.lit(-33.0), e).alias(str(e)) for e in (32755, 32756))).first()
+    assert (turn[0] - turn[1]) == pytest.approx(meets["32755"] - meets["32756"], abs=0.02) and abs(turn[1]) < 0.02
+    transects = spark.createDataFrame([("t", out.x - 60, out.y, out.x + 60, out.y)], "name string, x0 double, y0 double, x1 double, y1 double")
+    met = near_transects(shores.select("scene_id", F.inline("pts")), transects, 25, ["scene_id"]).collect()
+    assert {r.scene_id for r in met} == {"55", "56"} and all(45 < r.chainage < 75 for r in met)
+    with pytest.raises(Exception, match="unknown reference system of unknown"):
+        extraction.shorelines(classes.withColumn("reason", F.lit(None).cast("string")), settings).collect()
+
+
+def test_projection_of_known_points(spark):
+    from strandline.functions import projections
+
+    rows = [(9.0, 45.0, 32632, 500000.0, 4982950.4002), (3.0, 60.0, 25831, 500000.0, 6651411.1902), (10.0, 0.0, 3857, 1113194.9079, 0.0), (10.0, 5.0, 4283, 10.0, 5.0), (10.0, 5.0, 9999, None, None), (None, 5.0, 32632, None, None), (1.0, 1.0, None, None, None)]
+    df = spark.createDataFrame(rows, "lon double, lat double, epsg int, want_x double, want_y double")
+    for r in projections.reprojected(df, "lon", "lat", 4326, F.col("epsg")).collect():
+        assert (r.x, r.y) == ((None, None) if r.want_x is None else (pytest.approx(r.want_x, abs=1e-3), pytest.approx(r.want_y, abs=1e-3)))
+    # forth and back, in and far beyond the zone; the expression and the staged form agree
+    every = [(lon, lat, 32600 + 31 + 100 * (lat < 0)) for lon in (-12.0, 0.5, 3.0, 5.9, 20.0) for lat in (-79.0, -33.3, 0.0, 12.0, 60.0)]
+    df = spark.createDataFrame(every, "lon double, lat double, epsg int")
+    x, y = projections.converted(F.col("lon"), F.col("lat"), 4326, F.col("epsg"))
+    there = projections.reprojected(df, "lon", "lat", 4326, F.col("epsg")).withColumn("ex", x).withColumn("ey", y)
+    for r in projections.reprojected(there, "x", "y", F.col("epsg"), 4326, ("a", "b")).collect():
+        assert (r.a, r.b) == (pytest.approx(r.lon, abs=1e-9), pytest.approx(r.lat, abs=1e-9)) and (r.ex, r.ey) == (pytest.approx(r.x), pytest.approx(r.y))
