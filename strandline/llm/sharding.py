@@ -1,11 +1,11 @@
 """Operator 6: sharding by a hierarchical weighted hash tree.
 
-A tree of regions, racks and shards. Each shard k with weight w draws -ln(u) / w from a hash u of the key and the shard's name; a
-rack's draw is the smallest of its shards', a region's the smallest of its racks'. A key descends to the child with the smallest draw
-at each level. The smallest of exponential draws is exponential with the sum of their weights, so at every level a child is taken
-with a chance in proportion to the weight below it. Inner draws come from the draws below and not from hashes of their own: a weight
-that grows then takes rows into its own shard only, one that shrinks gives rows away from it only, and no row moves between two other
-shards. `topology` fills racks and regions in order, so the tree of n + 1 shards is that of n and one more shard.
+A tree of regions, racks and shards. At every level each child with weight w, the sum of the weights below it, draws -ln(u) / w from a
+hash u of the key and the child's path of names; a key descends to the child with the smallest draw and only there draws again, so its
+cost follows the fan-outs of the levels and not the number of shards. A child is taken with a chance in proportion to its weight. Where a
+weight changes, draws change on the path to it alone: keys move into or out of the subtrees on that path, and no key moves between
+two shards that both lie outside of them. `topology` builds a base tree, filled in order; each shard beyond it is a region of its own, so one
+more shard changes no weight of the others and takes rows into itself only.
 
 Results: the key and the number of shards decide alone. A null key is a key like any other; equal keys share a shard and have different
 slots; a null text counts as empty, its size is 8 and its crc32 0; an empty table gives an empty one; other columns aren't read.
@@ -38,16 +38,19 @@ class Node:
         return self.leaf_weight if self.shard is not None else sum(c.weight for c in self.children)
 
 
-def topology(shards: int, racks_a_region: int = 3, shards_a_rack: int = 4) -> Node:
-    """`shards` equal shards, filled into racks and regions in order."""
+def topology(shards: int, base: int = 24, racks_a_region: int = 3, shards_a_rack: int = 4) -> Node:
+    """`base` equal shards, filled into racks and regions in order, and a region for each further shard."""
+    if shards < base:
+        raise ValueError(f"the base tree has {base} shards")
     regions: list[Node] = []
     span = racks_a_region * shards_a_rack
-    for first in range(0, shards, span):
+    for first in range(0, base, span):
         racks = []
-        for start in range(first, min(shards, first + span), shards_a_rack):
-            leaves = tuple(Node(f"shard{k}", 1.0, (), k) for k in range(start, min(shards, first + span, start + shards_a_rack)))
+        for start in range(first, min(base, first + span), shards_a_rack):
+            leaves = tuple(Node(f"shard{k}", 1.0, (), k) for k in range(start, min(base, first + span, start + shards_a_rack)))
             racks.append(Node(f"rack{start // shards_a_rack}", children=leaves))
         regions.append(Node(f"region{first // span}", children=tuple(racks)))
+    regions += [Node(f"region-of-shard{k}", 1.0, (), k) for k in range(base, shards)]
     return Node("root", children=tuple(regions))
 
 
@@ -58,18 +61,24 @@ def reweighted(tree: Node, shard: int, weight: float) -> Node:
     return Node(tree.name, children=tuple(reweighted(c, shard, weight) for c in tree.children))
 
 
-def _winner(key: Column, tree: Node) -> Column:
-    """The smallest draw of a subtree and its shard: draws go up from the leaves, each is taken once."""
-    if tree.shard is not None:
-        return F.struct((-F.log(uniform(key, tree.name)) / tree.weight).alias("draw"), F.lit(tree.shard).alias("shard"))
-    return F.array_min(F.array(*(_winner(key, c) for c in tree.children if c.weight > 0)))
-
-
-def descend(key: Column, tree: Node) -> Column:
-    """The shard of a key, as one expression without joins."""
+def descend(key: Column, tree: Node, path: str = "") -> Column:
+    """The shard of a key, as one expression without joins: a level's draws are bound by a lambda, and of the level below only those of
+    the child that won are computed."""
     if tree.weight <= 0:
         raise ValueError(f"{tree.name} has no weight")
-    return _winner(key, tree)["shard"]
+    if tree.shard is not None:
+        return F.lit(tree.shard)
+    children = [c for c in tree.children if c.weight > 0]
+    draw = lambda c: -F.log(uniform(key, f"{path}{tree.name}/{c.name}")) / c.weight
+    winner = F.array_min(F.array(*(F.struct(draw(c).alias("draw"), F.lit(k).alias("child")) for k, c in enumerate(children))))["child"]
+
+    def below(chosen: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for k, c in enumerate(children):
+            out = F.when(chosen == k, descend(key, c, f"{path}{tree.name}/")).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(winner), below), F.lit(0))
 
 
 def slots(df: DataFrame, group: str, order: str, name: str) -> DataFrame:

@@ -98,9 +98,12 @@ def test_sharding(spark, documents):
     moved = p[p.shard != p.grown_shard]
     assert set(moved.grown_shard) == {24} and 80 < len(moved) < 260 and p.shard.nunique() == 24
     tree = sharding.topology(24)
-    heavier = sharding.reweighted(tree, 5, 3.0)
-    both = docs.select(sharding.descend(F.col("doc_id"), tree).alias("a"), sharding.descend(F.col("doc_id"), heavier).alias("b")).where("a <> b").collect()
-    assert 250 < len(both) < 400 and {r.b for r in both} == {5}  # from 1/24 to 3/26 of 4000
+    heavier = sharding.reweighted(tree, 5, 3.0)  # in the second rack of the first region, shards 4 to 7 and 0 to 11
+    both = docs.select(sharding.descend(F.col("doc_id"), tree).alias("a"), sharding.descend(F.col("doc_id"), heavier).alias("b")).toPandas()
+    moved = both[both.a != both.b]
+    assert 250 < (both.b == 5).sum() - (both.a == 5).sum() < 400  # from 1/24 to 3/26 of 4000
+    # keys come into the region, in it into the rack, in that into the shard; none moves between shards outside of these
+    assert (moved.b < 12).all() and moved.b[moved.a < 12].between(4, 7).all() and (moved.b[moved.a.between(4, 7)] == 5).all()
     assert sharding.shard_documents(documents).count() == 12 and sharding.shard_documents(documents.limit(0)).count() == 0
 
 
@@ -111,13 +114,23 @@ def test_one_more_shard_takes_rows_into_itself_only(spark):
     for n in counts[:-1]:
         moved = p[f"s{n}"] != p[f"s{n + 1}"]
         assert set(p[f"s{n + 1}"][moved]) == {n} and p[f"s{n}"].nunique() == n
-    # by brute force: region, rack and shard of the smallest draws
-    draws = keys.select(*(shared.uniform(F.col("doc_id"), f"shard{k}").alias(str(k)) for k in range(40))).toPandas().to_numpy()
-    draws = -np.log(draws)
-    region = np.array([draws[:, a : a + 12].min(1) for a in range(0, 40, 12)]).argmin(0)
-    rack = np.array([np.array([row[a : a + 4].min() if a < 12 * r + 12 and len(row[a : a + 4]) else np.inf for a in range(12 * r, 12 * r + 12, 4)]).argmin() + 3 * r for row, r in zip(draws, region)])
-    leaf = np.array([row[4 * r : 4 * r + 4].argmin() + 4 * r for row, r in zip(draws, rack)])
-    assert (leaf == p["s40"]).all()
+    # by brute force: the smallest draw of the regions, of the racks of that region, of the shards of that rack
+    names = {f"root/region{r}": (12.0, [f"root/region{r}/rack{3 * r + k}" for k in range(3)]) for r in range(2)} | {f"root/region-of-shard{k}": (1.0, k) for k in range(24, 40)}
+    names |= {f"root/region{k // 3}/rack{k}": (4.0, [f"root/region{k // 3}/rack{k}/shard{i}" for i in range(4 * k, 4 * k + 4)]) for k in range(6)}
+    names |= {f"root/region{k // 12}/rack{k // 4}/shard{k}": (1.0, k) for k in range(24)}
+    draws = keys.select(*(shared.uniform(F.col("doc_id"), n).alias(str(k)) for k, n in enumerate(names))).toPandas().to_numpy()
+    draws = {n: -np.log(draws[:, k]) / w for k, (n, (w, _)) in enumerate(names.items())}
+
+    def leaf(i):
+        at = [n for n in names if n.count("/") == 1]
+        while isinstance(at, list):
+            at = names[min(at, key=lambda n: draws[n][i])][1]
+        return at
+
+    assert [leaf(i) for i in range(len(p))] == p["s40"].tolist()
+    # another tree of the same shards deals them otherwise
+    flat = keys.select(sharding.descend(F.col("doc_id"), sharding.topology(24, 24, 1, 12)).alias("f"), sharding.descend(F.col("doc_id"), sharding.topology(24)).alias("t")).toPandas()
+    assert (flat.f != flat.t).mean() > 0.5
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     grown = {r.doc_id: r.grown_shard for r in sharding.shard_documents(docs, 24).collect()}
     assert grown == {r.doc_id: r.shard for r in sharding.shard_documents(docs, 25).collect()}
