@@ -8,7 +8,7 @@ from hypothesis.extra import numpy as hnp
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
-from strandline.operators import contours, distances
+from strandline.operators import contours, distances, parts
 
 
 @settings(max_examples=200, deadline=None)
@@ -136,3 +136,31 @@ def test_projection_of_known_points(spark):
     there = projections.reprojected(df, "lon", "lat", 4326, F.col("epsg")).withColumn("ex", x).withColumn("ey", y)
     for r in projections.reprojected(there, "x", "y", F.col("epsg"), 4326, ("a", "b")).collect():
         assert (r.a, r.b) == (pytest.approx(r.lon, abs=1e-9), pytest.approx(r.lat, abs=1e-9)) and (r.ex, r.ey) == (pytest.approx(r.x), pytest.approx(r.y))
+
+
+@pytest.mark.parametrize("size, diagonal", [(4, False), (5, True), (1, True), (50, False)])
+def test_parts_of_tiles_are_those_of_the_raster(spark, size, diagonal):
+    rnd = np.random.default_rng(size)
+    masks = {"noise": rnd.random((13, 17)) < 0.5, "snake": np.zeros((11, 12), bool), "none": np.zeros((3, 9), bool), "all": np.ones((9, 6), bool)}
+    masks["snake"][::2] = True
+    masks["snake"][1::4, -1] = masks["snake"][3::4, 0] = True
+    rows = [(k, *m.shape, [bool(v) or (None if k == "none" else False) for v in m.ravel()]) for k, m in masks.items()] + [("null", 2, 2, None), ("empty", 0, 0, [])]
+    scenes = spark.createDataFrame(rows, "s string, height int, width int, m array<boolean>")
+    tiles = parts.tiled(scenes, ["s"], "m", size).cache()
+
+    def whole(df):
+        out = {k: np.zeros(m.shape, bool) for k, m in masks.items()} | {"null": np.zeros((2, 2), bool)}
+        for r in df.collect():
+            out[r.s][r.r0 : r.r0 + r.height, r.c0 : r.c0 + r.width] = np.array(r["mask"]).reshape(r.height, r.width)
+        return out
+
+    got = whole(parts.without_small(tiles, ["s"], 6, diagonal))
+    for k, m in masks.items():
+        assert (got[k] == kernels.without_small(m, 6, diagonal)).all(), k
+    assert not got["null"].any()
+    seeds = {"noise": tuple(int(x) for x in np.argwhere(masks["noise"])[40]), "snake": (0, 0), "none": (1, 1), "all": (8, 5)}
+    got = whole(parts.flooded(tiles, spark.createDataFrame([(k, *p) for k, p in seeds.items()], "s string, r int, c int"), ["s"]))
+    for k, m in masks.items():
+        same = kernels.labelled(m, True)
+        assert (got[k] == (m & (same == same[seeds[k]]))).all(), k
+    assert parts.without_small(tiles.limit(0), ["s"], 6).count() == 0
