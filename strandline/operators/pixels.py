@@ -60,20 +60,27 @@ def balanced(df: DataFrame, by: list[str], label: str, key: list[str], salt: int
 def local_std(df: DataFrame, by: list[str], value: str, rows: str, cols: str, name: str = "std") -> DataFrame:
     """Deviation over 3 x 3 pixels, reflected at the edges without repeating them; NULLs are skipped, a NULL centre stays NULL.
 
-    df has the scene's numbers of rows and columns. Each pixel is sent to the pixels that see it and summed up there: the sums are
-    combined before the shuffle.
-    """
-    offsets = F.explode(F.expr("transform(sequence(0, 8), k -> struct(cast(k div 3 - 1 as int) as dr, cast(k % 3 - 1 as int) as dc))")).alias("_o")
-    # a pixel is seen by its neighbours once, and by edge pixels once more for each reflection
-    seen = df.where(F.col(value).isNotNull()).select(*by, "r", "c", value, rows, cols, offsets)
-    r, c = F.col("r") + F.col("_o.dr"), F.col("c") + F.col("_o.dc")
-    # the pixel at an edge sees its only inner neighbour in place of the missing outer one as well; at is that edge pixel
-    twice = lambda at, d, n: F.when((at == 0) & (d == -1), 1).otherwise(0) + F.when((at == n - 1) & (d == 1), 1).otherwise(0) + 1
-    seen = seen.where(r.between(0, F.col(rows) - 1) & c.between(0, F.col(cols) - 1)).select(*by, r.alias("r"), c.alias("c"), value, (twice(r, F.col("_o.dr"), F.col(rows)) * twice(c, F.col("_o.dc"), F.col(cols))).alias("_w"))
-    sums = seen.groupBy(*by, "r", "c").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum(F.col("_w") * F.col(value) * F.col(value)).alias("_q"))
-    mean = F.col("_s") / F.col("_n")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_n") - mean * mean))
-    return df.join(sums, [*by, "r", "c"], "left").withColumn(name, F.when(F.col(value).isNotNull(), std)).drop("_n", "_s", "_q")
+    df has every pixel of a scene and the scene's numbers of rows and columns. Counts, sums and squares are added up along rows and then
+    along columns, each with the neighbours that a window gives; at an edge the only inner neighbour stands for the missing one as well."""
+
+    def added(own: DataFrame, across: str, along: str, size: str, sums: dict[str, Column]) -> DataFrame:
+        w = Window.partitionBy(*by, across).orderBy(along)
+        own = own.withColumns(sums)
+        pack = F.struct(F.col(along).alias("at"), *sums)
+        own = own.withColumn("_before", F.lag(pack).over(w)).withColumn("_behind", F.lead(pack).over(w))
+        twice = lambda edge: F.when(edge, 2).otherwise(1)
+        before = F.when(F.col("_before.at") == F.col(along) - 1, twice(F.col(along) == F.col(size) - 1)).otherwise(0)
+        behind = F.when(F.col("_behind.at") == F.col(along) + 1, twice(F.col(along) == 0)).otherwise(0)
+        other = lambda side, times, c: F.coalesce(times * F.col(f"{side}.{c}"), F.lit(0))
+        return own.withColumns({c: F.col(c) + other("_before", before, c) + other("_behind", behind, c) for c in sums}).drop("_before", "_behind")
+
+    v, known = F.col(value), F.col(value).isNotNull()
+    zero = F.lit(0.0)
+    own = added(df, "r", "c", cols, {"_n": known.cast("int"), "_s": F.when(known, v).otherwise(zero), "_q": F.when(known, v * v).otherwise(zero)})
+    own = added(own, "c", "r", rows, {c: F.col(c) for c in ("_n", "_s", "_q")})
+    mean = F.try_divide(F.col("_s"), F.col("_n"))
+    std = F.sqrt(F.greatest(zero, F.try_divide(F.col("_q"), F.col("_n")) - mean * mean))
+    return own.withColumn(name, F.when(known, std)).select(*(c for c in df.columns if c != name), name)
 
 
 def contour_points(df: DataFrame, by: list[str], value: str, level: Column) -> DataFrame:

@@ -200,11 +200,12 @@ def _same(a: DataFrame, b: DataFrame, by: list[str]) -> Column:
 
 
 def monthly_average(df: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
-    """Means of calendar months, dated the 15th; months whose 15th is later than 30 days before the last date are left out."""
-    last = F.max(F.col(ts)).over(Window.partitionBy(*by))
-    month = (F.date_trunc("month", F.col(ts)) + F.expr("INTERVAL 14 DAYS")).cast("date")
-    own = df.withColumn("_last", last).withColumn("month", month)
-    return own.where(F.col("month").cast("timestamp") <= F.col("_last") - F.expr("INTERVAL 30 DAYS")).groupBy(*by, "month").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    """Means of calendar months, dated the 15th; months whose 15th is later than 30 days before the last date are left out. Readings are
+    averaged where they lie before months meet their series' last date."""
+    month = (F.date_trunc("month", F.col(ts)) + F.expr("INTERVAL 14 DAYS")).cast("date").alias("month")
+    means = df.groupBy(*by, month).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.max(ts).cast("timestamp").alias("_last"))
+    last = F.max("_last").over(Window.partitionBy(*by))
+    return means.withColumn("_last", last).where(F.col("month").cast("timestamp") <= F.col("_last") - F.expr("INTERVAL 30 DAYS")).drop("_last")
 
 
 def differences(df: DataFrame, by: list[str], ts: str, value: str, ties: list[str]) -> DataFrame:
@@ -214,21 +215,30 @@ def differences(df: DataFrame, by: list[str], ts: str, value: str, ties: list[st
     return df.select("*", (F.col(value) - at(1)).alias("m1"), (at(1) - at(2)).alias("m2"), (F.col(value) - at(-1)).alias("p1"), (at(-1) - at(-2)).alias("p2"))
 
 
-def _years(day: str, by: list[str]) -> Column:
-    first = F.min(F.to_date(day)).over(Window.partitionBy(*by))
-    return F.datediff(F.to_date(day), first) / 365.2425
+def _line(df: DataFrame, by: list[str], day: str, value: str) -> DataFrame:
+    """by, slope, start, n and `first`: least squares over years since 2000, moved to the series' first date afterwards, so that readings
+    are summed up where they lie."""
+    x = _years(day)
+    sums = df.groupBy(*by).agg(F.regr_slope(value, x).alias("slope"), F.regr_intercept(value, x).alias("_zero"), F.min(x).alias("first"), F.count(value).alias("n"))
+    return sums.select(*by, "slope", (F.col("_zero") + F.col("slope") * F.col("first")).alias("start"), "n", "first")
+
+
+def _years(day: str) -> Column:
+    return F.datediff(F.to_date(day), F.lit("2000-01-01").cast("date")) / 365.2425
 
 
 def trend(df: DataFrame, by: list[str], day: str, value: str) -> DataFrame:
     """Least squares over years since the first date: slope a year and the value at the start."""
-    return df.withColumn("_x", _years(day, by)).groupBy(*by).agg(F.regr_slope(value, "_x").alias("slope"), F.regr_intercept(value, "_x").alias("start"), F.count(value).alias("n"))
+    return _line(df, by, day, value).drop("first")
 
 
 def fitted(df: DataFrame, by: list[str], day: str, value: str, name: str = "fitted") -> DataFrame:
     """df with the value of its series' trend at each date."""
-    w = Window.partitionBy(*by)
-    own = df.withColumn("_x", _years(day, by))
-    return own.withColumn(name, F.regr_intercept(value, "_x").over(w) + F.regr_slope(value, "_x").over(w) * F.col("_x")).drop("_x")
+    line = _line(df, by, day, value).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("slope").alias("_slope"), F.col("start").alias("_start"), F.col("first").alias("_first"))
+    same = F.lit(True)
+    for c in by:
+        same = same & df[c].eqNullSafe(line[f"_{c}"])
+    return df.join(line, same).select(*df.columns, (F.col("_start") + F.col("_slope") * (_years(day) - F.col("_first"))).alias(name))
 
 
 def contour_position(df: DataFrame, by: list[str], elevation: str, chainage: str, level: float) -> DataFrame:
