@@ -172,6 +172,11 @@ def converted(x: Column, y: Column, source: Column | int, target: Column | int)
     return made["x_t"], made["y_t"]
 
 
+def lonlat_to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Spherical web Mercator."""
+    return F.radians(lon) * AXIS, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)) * AXIS
+
+
 def _utm(zone: Column | int, south: Column | bool) -> Column:
     return F.when(column(south), 32700).otherwise(32600) + column(zone)
 

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandline.functions.projections import converted, lonlat_to_utm, utm_to_lonlat  # noqa: F401
+from strandline.functions.projections import converted, lonlat_to_mercator, lonlat_to_utm, utm_to_lonlat  # noqa: F401
 
 
 def null_if_nan(c: Column) -> Column:

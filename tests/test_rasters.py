@@ -109,15 +109,17 @@ def test_scenes_of_two_zones_give_one_table(spark):
     shores = extraction.shorelines(classes, settings, reference).cache()
     got = {r.scene_id: np.array([(p.x, p.y) for p in r.pts]) for r in shores.collect()}
     assert set(got) == {"55", "56"}
-    for p in got.values():  # both shorelines pass the same place of the output system
-        assert len(p) >= 8 and np.hypot(*(p - [out.x, out.y]).T).min() < 15
+    # each shoreline lies in the output system where its scene's threshold puts it on the scene's grid, whose seventh column is at `out`
+    off = {r.scene_id: 15 * ((r.threshold + 0.8) / (1.6 / 13) - 7) for r in shores.collect()}
+    for k, p in got.items():
+        assert len(p) >= 8 and np.hypot(*(p - [out.x, out.y]).T).min() == pytest.approx(abs(off[k]), abs=0.1) and abs(off[k]) < 45
     # the grids of the zones meet at the difference of their convergences
     turn = [np.degrees(np.arctan2(*(p[np.argmax(p[:, 1])] - p[np.argmin(p[:, 1])]))) for p in (got["55"], got["56"])]
     meets = spark.range(1).select(*(projections.grid_convergence(F.lit(150.0), F.lit(-33.0), e).alias(str(e)) for e in (32755, 32756))).first()
     assert (turn[0] - turn[1]) == pytest.approx(meets["32755"] - meets["32756"], abs=0.02) and abs(turn[1]) < 0.02
     transects = spark.createDataFrame([("t", out.x - 60, out.y, out.x + 60, out.y)], "name string, x0 double, y0 double, x1 double, y1 double")
     met = near_transects(shores.select("scene_id", F.inline("pts")), transects, 25, ["scene_id"]).collect()
-    assert {r.scene_id for r in met} == {"55", "56"} and all(45 < r.chainage < 75 for r in met)
+    assert {r.scene_id for r in met} == {"55", "56"} and all(r.chainage == pytest.approx(60 + off[r.scene_id], abs=2) for r in met)
     with pytest.raises(Exception, match="unknown reference system of unknown"):
         extraction.shorelines(classes.withColumn("reason", F.lit(None).cast("string")), settings).collect()
 
