@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,51 +20,143 @@ _TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: (
 #: Tags that are read (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIEPOINT, GEO_KEYS, PROJECTED, GEOGRAPHIC = 33550, 33922, 34735, 3072, 2048
+#: LZW codes that empty the table and end the data (fixed values).
+CLEAR, END = 256, 257
 
 
-def tags_of(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the tags of the first image of a file."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+def tags_read(read: Callable[[int, int], bytes]) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the tags of the first image of a file, of which `read(start, length)` gives bytes."""
+    head = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or len(head) < 8 or struct.unpack_from(order + "H", head, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at, tags = struct.unpack_from(order + "I", data, 4)[0], {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+    at, tags = struct.unpack_from(order + "I", head, 4)[0], {}
+    fields = read(at + 2, 12 * struct.unpack(order + "H", read(at, 2))[0])
+    for k in range(0, len(fields), 12):
+        tag, kind, count = struct.unpack_from(order + "HHI", fields, k)
         if kind in _TYPES and kind != 2:
             code, size = _TYPES[kind]
-            place = at + 10 + 12 * k
-            if size * count > 4:
-                place = struct.unpack_from(order + "I", data, place)[0]
-            tags[tag] = struct.unpack_from(order + code * count, data, place)
+            raw = fields[k + 8 : k + 8 + size * count] if size * count <= 4 else read(struct.unpack_from(order + "I", fields, k + 8)[0], size * count)
+            tags[tag] = struct.unpack(order + code * count, raw)
     return order, tags
 
 
+def tags_of(data: bytes) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the tags of the first image of a file."""
+    return tags_read(lambda at, n: data[at : at + n])
+
+
+def unlzw(data: bytes) -> bytes:
+    """Bytes of a strip or tile under LZW: codes of 9 to 12 bits, high bits first, each width left one code early."""
+    first = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, last, width, held, bits, out = list(first), b"", 9, 0, 0, bytearray()
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == CLEAR:
+            table, last, width = list(first), b"", 9
+            continue
+        if code == END:
+            break
+        if code > len(table) or (code == len(table) and not last):
+            raise ValueError("broken LZW data")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last and len(table) < 4096:
+            table.append(last + entry[:1])
+        last, width = entry, min(12, (len(table) + 1).bit_length())
+    return bytes(out)
+
+
+#: What undoes each compression that is read (fixed values): none, LZW and the two codes of deflate.
+_UNPACK = {1: bytes, 5: unlzw, 8: zlib.decompress, 32946: zlib.decompress}
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What a header says of a file's parts, which are strips or tiles of one plane or of all bands."""
+
+    order: str
+    tags: dict[int, tuple]
+
+    def one(self, tag: int, default: int = 1) -> int:
+        return self.tags.get(tag, (default,))[0]
+
+    def __post_init__(self):
+        if self.one(COMPRESSION) not in _UNPACK or self.one(PREDICTOR) not in (1, 2, 3):
+            raise ValueError("this compression isn't read")
+
+    @property
+    def size(self) -> tuple[int, int, int]:
+        return self.tags[HEIGHT][0], self.tags[WIDTH][0], self.one(SAMPLES)
+
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype(self.order + {1: "u", 2: "i", 3: "f"}[self.one(FORMAT)] + str(self.one(BITS, 8) // 8))
+
+    @property
+    def tiled(self) -> bool:
+        return TILE_OFFSETS in self.tags
+
+    @property
+    def part(self) -> tuple[int, int]:
+        height, width, _ = self.size
+        return (self.tags[TILE_HEIGHT][0], self.tags[TILE_WIDTH][0]) if self.tiled else (min(height, self.one(ROWS, height)), width)
+
+    @property
+    def ranges(self) -> list[tuple[int, int]]:
+        """Start and length of every part's bytes."""
+        return list(zip(*((self.tags[TILE_OFFSETS], self.tags[TILE_COUNTS]) if self.tiled else (self.tags[OFFSETS], self.tags[COUNTS])), strict=True))
+
+    def place(self, k: int) -> tuple[int, int, int, int, range]:
+        """First row and column, rows, columns and bands of part k, as far as they lie in the image."""
+        (height, width, samples), (h, w) = self.size, self.part
+        across, down = -(-width // w), -(-height // h)
+        plane, at = divmod(k, across * down)
+        r, c = at // across * h, at % across * w
+        return r, c, min(h, height - r), min(w, width - c), range(plane, plane + 1) if self.one(PLANAR) == 2 else range(samples)
+
+    def values(self, k: int, raw: bytes) -> np.ndarray:
+        """Rows, columns and bands of part k from its bytes; a part without bytes was never written and is 0."""
+        r, c, rows, cols, bands = self.place(k)
+        (h, w), depth, kind = self.part, len(bands), self.kind
+        if not raw:
+            return np.zeros((rows, cols, depth), kind)
+        flat = _UNPACK[self.one(COMPRESSION)](raw)
+        h = h if self.tiled else rows
+        if self.one(PREDICTOR) == 3:  # rows hold the differences of bytes, the highest bytes of all values first
+            split = np.cumsum(np.frombuffer(flat, "u1", h * w * depth * kind.itemsize).reshape(h, -1, depth), 1, "u1")
+            cube = np.ascontiguousarray(split.reshape(h, kind.itemsize, w * depth).swapaxes(1, 2)).view(kind.newbyteorder(">")).reshape(h, w, depth)
+        else:
+            cube = np.frombuffer(flat, kind, h * w * depth).reshape(h, w, depth)
+            if self.one(PREDICTOR) == 2:
+                cube = np.cumsum(cube, 1, kind.newbyteorder("="))
+        return cube[:rows, :cols]
+
+    @property
+    def georef(self) -> list[float] | None:
+        scale, tie = self.tags.get(PIXEL_SCALE), self.tags.get(TIEPOINT)
+        return [tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]] if scale and tie else None
+
+    @property
+    def epsg(self) -> int | None:
+        keys = np.array(self.tags.get(GEO_KEYS, ()), int).reshape(-1, 4)[1:]
+        known = {int(a): int(d) for a, b, _, d in keys if b == 0}
+        return known.get(PROJECTED, known.get(GEOGRAPHIC))
+
+
 def decoded(data: bytes) -> dict:
-    """height, width, bands, georef and epsg of a file of strips or tiles, plain or deflated."""
-    order, tags = tags_of(data)
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    width, height, samples, planar = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1), one(PLANAR, 1)
-    if one(COMPRESSION, 1) not in (1, 8, 32946) or one(PREDICTOR, 1) != 1:
-        raise ValueError("this compression isn't read")
-    kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)] + str(one(BITS, 8) // 8))
-    tiled = TILE_OFFSETS in tags
-    part_w, part_h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, one(ROWS, height)))
-    starts, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
-    across, down = -(-width // part_w), -(-height // part_h)
-    depth = 1 if planar == 2 else samples
-    out = np.zeros((height, width, samples), kind)
-    for k, (start, count) in enumerate(zip(starts, counts, strict=True)):
-        raw = data[start : start + count] if one(COMPRESSION, 1) == 1 else zlib.decompress(data[start : start + count])
-        plane, place = divmod(k, across * down)
-        r, c = place // across * part_h, place % across * part_w
-        rows = part_h if tiled else min(part_h, height - r)
-        part = np.frombuffer(raw, kind, rows * part_w * depth).reshape(rows, part_w, depth)[: height - r, : width - c]
-        out[r : r + part.shape[0], c : c + part.shape[1], plane : plane + depth] = part
-    scale, tie = tags.get(PIXEL_SCALE), tags.get(TIEPOINT)
-    georef = [tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]] if scale and tie else None
-    keys = np.array(tags.get(GEO_KEYS, ()), int).reshape(-1, 4)[1:]
-    known = {int(a): int(d) for a, b, _, d in keys if b == 0}
-    return {"height": height, "width": width, "bands": [out[..., k].ravel().astype(float) for k in range(samples)], "georef": georef, "epsg": known.get(PROJECTED, known.get(GEOGRAPHIC))}
+    """height, width, bands, georef and epsg of a file of strips or tiles: plain, deflated or LZW, with or without a predictor."""
+    layout = Layout(*tags_of(data))
+    height, width, samples = layout.size
+    out = np.zeros((height, width, samples), layout.kind)
+    for k, (start, count) in enumerate(layout.ranges):
+        r, c, rows, cols, bands = layout.place(k)
+        out[r : r + rows, c : c + cols, bands.start : bands.stop] = layout.values(k, data[start : start + count])
+    return {"height": height, "width": width, "bands": [out[..., k].ravel().astype(float) for k in range(samples)], "georef": layout.georef, "epsg": layout.epsg}
 
 
 def geotiffs(spark: SparkSession, path: str) -> DataFrame:
