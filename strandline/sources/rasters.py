@@ -169,12 +169,30 @@ def geotiffs(spark: SparkSession, path: str) -> DataFrame:
     return _each(files, make, "height int, width int, bands array<array<double>>, georef array<double>, epsg int").drop("content")
 
 
+def _named(files: DataFrame) -> DataFrame:
+    """files with `kind` (ms, pan, swir or mask) and `scene_id` by their names."""
+    own = files.withColumn("_n", F.regexp_extract("path", r"([^/]*)\.tif$", 1))
+    own = own.withColumn("kind", F.regexp_extract("_n", r"_(ms|pan|swir|mask)(?:_dup\d+)?$", 1))
+    return own.withColumn("scene_id", F.regexp_replace("_n", r"_(ms|pan|swir|mask)(?=(_dup\d+)?$)", ""))
+
+
+def left_out(files: DataFrame) -> DataFrame:
+    """scene_id, path, reason: what `scene_tiles` makes no scene of. Files that can't be read, with their error, files whose names say no
+    kind, and scenes without a readable ms or mask file (path NULL)."""
+    own = _named(files)
+    said = F.when(F.col("error").isNotNull(), F.concat(F.lit("unreadable: "), "error")).when(F.col("kind") == "", "no kind of file")
+    single = own.select("scene_id", "path", said.alias("reason")).where("reason IS NOT NULL")
+    good = lambda kind: F.coalesce(F.bool_or((F.col("kind") == kind) & F.col("error").isNull()), F.lit(False))
+    whole = own.where("kind <> ''").groupBy("scene_id").agg(good("ms").alias("ms"), good("mask").alias("mask"))
+    missing = F.concat_ws(", ", F.when(~F.col("ms"), "ms"), F.when(~F.col("mask"), "mask"))
+    return single.union(whole.where("NOT (ms AND mask)").select("scene_id", F.lit(None).cast("string"), F.concat(F.lit("missing: "), missing)))
+
+
 def scene_tiles(files: DataFrame) -> DataFrame:
     """scenes.TILES of the files (geotiffs) of scenes named <time>_<mission>_<site>_<kind>.tif: kinds ms, pan, swir and mask, all of the
-    grid of ms. A fifth ms band of Sentinel-2 is its cloud probability, and the SWIR band comes from a file of its own."""
-    name = F.regexp_extract("path", r"([^/]*)\.tif$", 1)
-    own = files.where("error IS NULL").withColumn("_n", name)
-    own = own.withColumn("kind", F.regexp_extract("_n", r"_(ms|pan|swir|mask)(?:_dup\d+)?$", 1)).withColumn("scene_id", F.regexp_replace("_n", r"_(ms|pan|swir|mask)(?=(_dup\d+)?$)", ""))
+    grid of ms. A fifth ms band of Sentinel-2 is its cloud probability, and the SWIR band comes from a file of its own. `left_out` says which
+    files and scenes are none."""
+    own = _named(files).where("error IS NULL")
     of = lambda kind, c: F.first(F.when(F.col("kind") == kind, F.col(c)), ignorenulls=True)
     columns = [of("ms", c).alias(c) for c in ("height", "width", "bands", "georef", "epsg")]
     one = own.groupBy("scene_id").agg(*columns, of("pan", "bands")[0].alias("pan"), of("swir", "bands")[0].alias("_swir"), F.transform(of("mask", "bands")[0], lambda x: x.cast("int")).alias("qa"))

@@ -188,3 +188,11 @@ def test_files_from_pixels_and_back(spark, tmp_path, kind):
     assert {p: p.read_bytes() for p in (tmp_path / "out").iterdir()} == before
     raster_files.tiles_written(tiles.where("path = 'b.tif'").withColumn("values", F.transform("values", lambda _: F.lit(1.0))), at, 16, kind, overwrite=True)
     assert set(rasters.decoded((tmp_path / "out" / "b.tif").read_bytes())["bands"][0]) == {1.0} and len(list((tmp_path / "out").iterdir())) == 2
+
+
+def test_files_and_scenes_left_out(spark):
+    rows = [("x/1_L8_A_ms.tif", None), ("x/1_L8_A_mask.tif", None), ("x/2_L8_A_ms.tif", None), ("x/3_L8_A_ms_dup1.tif", None), ("x/3_L8_A_mask_dup1.tif", "broken"), ("x/4_L8_A_pan.tif", None), ("x/other.tif", None)]
+    files = spark.createDataFrame(rows, "path string, error string")
+    got = sorted((r.scene_id, r.path or "", r.reason) for r in rasters.left_out(files).collect())
+    want = [("2_L8_A", "", "missing: mask"), ("3_L8_A_dup1", "", "missing: mask"), ("3_L8_A_dup1", "x/3_L8_A_mask_dup1.tif", "unreadable: broken"), ("4_L8_A", "", "missing: ms, mask"), ("other", "x/other.tif", "no kind of file")]
+    assert got == want and rasters.left_out(files.limit(0)).count() == 0
