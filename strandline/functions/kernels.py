@@ -64,6 +64,48 @@ def labelled(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
     return out.reshape(mask.shape)
 
 
+def chained(segment: np.ndarray, row0: np.ndarray, col0: np.ndarray, row1: np.ndarray, col1: np.ndarray, tile: int) -> dict[str, np.ndarray]:
+    """Stretches of lines from a tile's segments in ascending order, by pointer doubling; ends on multiples of `tile`, where segments of other
+    tiles may meet, stay open. Where several segments end and begin in one point, the first to end goes on as the first to begin."""
+    size = len(segment)
+    enter, leave = (((r % tile) == 0) | ((c % tile) == 0) for r, c in ((row0, col0), (row1, col1)))
+    begins, ends = np.flatnonzero(~enter), np.flatnonzero(~leave)
+    spot = np.unique(np.concatenate([row0[begins] + 1j * col0[begins], row1[ends] + 1j * col1[ends]]), return_inverse=True)[1]
+
+    def keys(at: np.ndarray) -> np.ndarray:
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
+        return at * (size + 1) + rank
+
+    _, x, y = np.intersect1d(keys(spot[len(begins) :]), keys(spot[: len(begins)]), assume_unique=True, return_indices=True)
+    own = np.arange(size)
+    before = np.full(size, -1)
+    before[begins[y]] = ends[x]
+    steps, last = (before >= 0).astype(np.int64), np.where(before >= 0, before, own)
+    low, back = own.copy(), np.zeros(size, np.int64)
+    for _ in range(size.bit_length() + 1):
+        at = np.flatnonzero(before >= 0)
+        if not len(at):
+            break
+        to = before[at]
+        lower = low[to] < low[at]
+        back[at], low[at] = np.where(lower, steps[at] + back[to], back[at]), np.where(lower, low[to], low[at])
+        steps[at], last[at], before[at] = steps[at] + steps[to], last[to], before[to]
+    closed = before >= 0
+    head, place = np.where(closed, low, last), np.where(closed, back, steps)
+    n = np.bincount(head, minlength=size)[head]
+    lowest = np.full(size, size)
+    np.minimum.at(lowest, head, own)
+    lowest = lowest[head]
+    final = place == n - 1
+    tail = np.zeros(size, np.int64)
+    tail[head[final]] = own[final]
+    whole = closed | ~(enter[head] | leave[tail[head]])
+    return {"chain": segment[head], "place": place, "n": n, "low": segment[lowest], "at": place[lowest], "whole": whole, "enter": enter & (place == 0), "leave": leave & final}
+
+
 def without_small(mask: np.ndarray, least: int, diagonal: bool = False) -> np.ndarray:
     parts = labelled(mask, diagonal)
     return (parts > 0) & (np.bincount(parts.ravel(), minlength=1)[parts] >= least)

@@ -1,12 +1,17 @@
-"""Level lines of rasters of pixels (scene, r, c, value): segments by windows, lines by list ranking over all scenes' segments."""
+"""Level lines of rasters of pixels (scene, r, c, value): segments by windows, lines by a kernel in tiles and list ranking across them."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.kernels import chained
 from strandline.tables import Rounds
 
+#: Rows and columns of squares whose segments meet in one task.
+TILE = 64
+
 
 def contour_segments(df: DataFrame, by: list[str], value: str, level: Column) -> DataFrame:
     """by, the ends (row0, col0) and (row1, col1) of the level's segments in each square of four pixels, by linear interpolation along
@@ -36,27 +41,45 @@ def contour_segments(df: DataFrame, by: list[str], value: str, level: Column) ->
     return out.select(*by, number.alias("segment"), F.col("_s.p.row").alias("row0"), F.col("_s.p.col").alias("col0"), F.col("_s.q.row").alias("row1"), F.col("_s.q.col").alias("col1")).where("row0 <> row1 or col0 <> col1")
 
 
-def _linked(segments: DataFrame, by: list[str]) -> DataFrame:
-    """by, segment, its ends, and the segments before and after it (NULL: a loose end).
+def _chains(segments: DataFrame, by: list[str], tile: int) -> DataFrame:
+    """segments with their `chain` (the first segment of a stretch of a line inside a tile), `place` in it, and of the chain: `n` segments, its
+    lowest number `low` at place `at`, and whether it is a `whole` line. A chain's first segment may `enter` and its last one `leave` the tile."""
+    schema = segments.select("*", *(F.lit(0).cast("long").alias(c) for c in ("chain", "place", "n", "low", "at")), *(F.lit(True).alias(c) for c in ("whole", "enter", "leave"))).schema
+    row, col = F.shiftright("segment", 32), F.shiftright(F.col("segment").bitwiseAND((1 << 32) - 1), 1)
+    dealt = segments.withColumns({"_tr": F.floor(row / tile), "_tc": F.floor(col / tile)})
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("segment").select(segments_names)
+        made = chained(*(table[c].to_numpy() for c in ("segment", "row0", "col0", "row1", "col1")), tile)
+        for c, values in made.items():
+            table = table.append_column(c, pa.array(values))
+        return table
+
+    segments_names = segments.columns
+    return dealt.groupBy(*by, "_tr", "_tc").applyInArrow(run, schema)
+
+
+def _linked(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """by, chain, n, low, at of the chains that aren't whole lines, with the chain before (`next`, NULL: a loose end) and `steps`, its number of
+    segments.
 
     Where several segments end and begin in one point (the level runs through a pixel), the first to end goes on as the first to begin."""
-    place = lambda row, col: F.row_number().over(Window.partitionBy(*by, row, col).orderBy("segment"))
-    own = segments.withColumn("_in", place("row1", "col1")).withColumn("_out", place("row0", "col0"))
-    begins = own.select(*by, F.col("row0").alias("row"), F.col("col0").alias("col"), F.col("_out").alias("_k"), F.col("segment").alias("after"))
-    ends = own.select(*by, F.col("row1").alias("row"), F.col("col1").alias("col"), F.col("_in").alias("_k"), F.col("segment").alias("before"))
-    links = ends.join(begins, [*by, "row", "col", "_k"]).select(*by, "before", "after")
-    to = links.select(*by, F.col("before").alias("segment"), "after")
-    out = segments.join(links.select(*by, F.col("after").alias("segment"), "before"), [*by, "segment"], "left")
-    return out.join(to, [*by, "segment"], "left")
+    place = lambda row, col: F.row_number().over(Window.partitionBy(*by, row, col).orderBy("segment")).alias("_k")
+    begins = pieces.where("enter").select(*by, F.col("row0").alias("row"), F.col("col0").alias("col"), place("row0", "col0"), "chain")
+    ends = pieces.where("leave").select(*by, F.col("row1").alias("row"), F.col("col1").alias("col"), place("row1", "col1"), F.col("chain").alias("next"), F.col("n").alias("steps"))
+    links = begins.join(ends.hint("merge"), [*by, "row", "col", "_k"]).select(*by, "chain", "next", "steps")
+    own = pieces.where("NOT whole AND place = 0").select(*by, "chain", "n", "low", "at")
+    return own.join(links.hint("merge"), [*by, "chain"], "left").withColumn("steps", F.coalesce("steps", F.lit(0).cast("long")))
 
 
 def _ranked(linked: DataFrame, by: list[str], rounds: Rounds) -> DataFrame:
-    """by, segment, line, place: the first segment of a segment's line and the steps from it, by pointer doubling.
+    """by, chain, line, start, total, closed: the first segment of a chain's line, its own first segment's place there and the line's segments,
+    by pointer doubling.
 
-    Each segment knows the stretch of `steps` segments behind it: how far it reaches, its lowest number and the steps back to that. A
-    round joins each stretch to the one before it, so stretches double. A stretch that ends at a loose end is settled: the line begins
+    Each chain knows the stretch behind it: how many `steps` it reaches to the next unknown chain, its lowest number and the steps `back` to
+    that. A round joins each stretch to the one before it, so stretches double. A stretch that ends at a loose end is settled: the line begins
     there. When a round settles no more and finds no lower number, what is left are closed lines; these begin at their lowest segment."""
-    state = linked.select(*by, "segment", F.col("before").alias("next"), F.lit(1).cast("long").alias("steps"), F.col("segment").alias("last"), F.col("segment").alias("low"), F.lit(0).cast("long").alias("back"))
+    state = linked.select(*by, "chain", "n", "next", "steps", F.col("chain").alias("last"), "low", (-F.col("at")).alias("back"))
     state = rounds.table(state, "ranks")
     open_, lows = None, None
     while True:
@@ -64,30 +87,36 @@ def _ranked(linked: DataFrame, by: list[str], rounds: Rounds) -> DataFrame:
         if not left[0] or (open_, lows) == tuple(left):
             break
         open_, lows = left
-        behind = state.select(*by, F.col("segment").alias("next"), *(F.col(c).alias(f"_{c}") for c in ("next", "steps", "last", "low", "back")))
+        behind = state.select(*by, F.col("chain").alias("next"), *(F.col(c).alias(f"_{c}") for c in ("next", "steps", "last", "low", "back")))
         lower = F.col("_low") < F.col("low")
-        met = state.join(behind, [*by, "next"], "left").select(
-            *by, "segment", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_last", "last").alias("last"),
+        met = state.join(behind.hint("merge"), [*by, "next"], "left").select(
+            *by, "chain", "n", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_last", "last").alias("last"),
             F.when(lower, F.col("_low")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("steps") + F.col("_back")).otherwise(F.col("back")).alias("back"),
         )
         state = rounds.table(met, "ranks")
     closed = F.col("next").isNotNull()
-    return state.select(*by, "segment", F.when(closed, F.col("low")).otherwise(F.col("last")).alias("line"), F.when(closed, F.col("back")).otherwise(F.col("steps") - 1).alias("place"))
+    own = state.select(*by, "chain", "n", F.when(closed, F.col("low")).otherwise(F.col("last")).alias("line"), F.when(closed, F.col("back")).otherwise(F.col("steps")).alias("start"))
+    totals = own.groupBy(*by, "line").agg(F.sum("n").alias("total"))
+    return own.drop("n").join(totals.hint("merge"), [*by, "line"])
 
 
-def contour_lines(segments: DataFrame, by: list[str]) -> DataFrame:
+def contour_lines(segments: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
     """by, line (the number of its first segment), pt_idx, row, col: segments that share ends put together, a line's points in order; a
     closed line begins at its lowest segment and ends where it begins.
 
-    Lines run over any number of tasks: the rounds are joins of all segments, one for each doubling of the longest line. Each round is a
-    table in the shared folder, so this runs jobs when it is called."""
+    A kernel puts together what lies in a tile of `tile` rows and columns of squares; only the chains that cross tiles' borders are joined
+    further, over any number of tasks, a round for each doubling of a line's chains. Each round is a table in the shared folder, so this
+    runs jobs when it is called."""
     rounds = Rounds(segments.sparkSession)
-    linked = rounds.table(_linked(rounds.table(segments, "segments"), by), "linked")
-    own = linked.join(_ranked(linked, by, rounds), [*by, "segment"])
-    ends = F.col("after").isNull() | (F.col("after") == F.col("line"))
-    first = F.struct(F.col("place").alias("pt_idx"), F.col("row0").alias("row"), F.col("col0").alias("col"))
-    second = F.struct((F.col("place") + 1).alias("pt_idx"), F.col("row1").alias("row"), F.col("col1").alias("col"))
-    points = own.select(*by, "line", F.inline(F.when(ends, F.array(first, second)).otherwise(F.array(first))))
+    pieces = rounds.table(_chains(segments, by, tile), "pieces")
+    ranked = rounds.table(_ranked(rounds.table(_linked(pieces, by), "linked"), by, rounds), "ranked")
+    cols = [*by, "line", "_place", "total", "row0", "col0", "row1", "col1"]
+    whole = pieces.where("whole").withColumns({"line": F.col("chain"), "_place": F.col("place"), "total": F.col("n")}).select(*cols)
+    # of a closed line's chain that holds its beginning, what lies before that is the line's end
+    across = pieces.where("NOT whole").join(ranked.hint("merge"), [*by, "chain"]).withColumn("_place", F.pmod(F.col("start") + F.col("place"), F.col("total"))).select(*cols)
+    first = F.struct(F.col("_place").alias("pt_idx"), F.col("row0").alias("row"), F.col("col0").alias("col"))
+    second = F.struct((F.col("_place") + 1).alias("pt_idx"), F.col("row1").alias("row"), F.col("col1").alias("col"))
+    points = whole.union(across).select(*by, "line", F.inline(F.when(F.col("_place") == F.col("total") - 1, F.array(first, second)).otherwise(F.array(first))))
     return points.withColumn("pt_idx", F.col("pt_idx").cast("int"))
 
 

@@ -80,6 +80,28 @@ def test_lines_against_walking(spark, level):
     assert contours.contour_lines(segments.limit(0), ["s"]).count() == 0
 
 
+@pytest.mark.parametrize("tile", [1, 2, 5])
+def test_lines_over_tiles(spark, tile):
+    rnd = np.random.default_rng(tile)
+    far = np.hypot(*(np.indices((23, 21)) - 10.3))
+    rasters = [rnd.integers(0, 3, (14, 15)).astype(float), np.abs(far - 6), rnd.random((17, 12))]
+    df = spark.createDataFrame([(s, int(r), int(c), float(v)) for s, m in enumerate(rasters) for (r, c), v in np.ndenumerate(m)], "s int, r int, c int, v double")
+    segments = contours.contour_segments(df, ["s"], "v", F.lit(1.0 if tile == 2 else 0.5)).cache()  # 1 is a pixel's value
+    lines, of = {}, {}
+    for r in contours.contour_lines(segments, ["s"], tile).orderBy("pt_idx").collect():
+        lines.setdefault((r.s, r.line), []).append((r.pt_idx, (r.row, r.col)))
+    for r in segments.collect():
+        of.setdefault(r.s, []).append((r.segment, (r.row0, r.col0), (r.row1, r.col1)))
+    assert lines == {(s, k): list(enumerate(p)) for s, own in of.items() for k, p in walked(own).items()}
+    assert max(map(len, lines.values())) > 40
+
+
+def test_rounds_take_only_what_crosses_tiles(spark):
+    df = spark.createDataFrame([(0, r, c, float((r % 4, c % 4) == (2, 2))) for r in range(32) for c in range(32)], "s int, r int, c int, v double")
+    pieces = contours._chains(contours.contour_segments(df, ["s"], "v", F.lit(0.5)), ["s"], 8)
+    assert pieces.where("whole").count() == 8 * 8 * 4 and contours._linked(pieces, ["s"]).count() == 0
+
+
 def strip(zone, scene, shift, sat="L8"):
     """A scene of 12 x 14 pixels of 15 m in a UTM zone, water in the west, its shoreline near 150 degrees east."""
     v = np.tile(np.linspace(-0.8, 0.8, 14), (12, 1))
