@@ -3,7 +3,8 @@
 A mask is a table of tiles (by, r0, c0, height, width, mask: the tile's pixels row by row), however the raster was cut. A kernel labels each
 tile; only its border pixels, with their labels, meet those of its neighbours. These links are a graph of labels, a small share of the
 pixels, whose components are found by hooking to the smallest neighbour and jumping to its label. Results are those of the whole raster
-for any cut. Rasters without pixels have no tiles; a NULL mask or pixel counts as false.
+for any cut. Rasters without pixels have no tiles; a NULL mask or pixel counts as false. Joins are by sort: files of labels are far smaller than
+the labels in memory, and Spark would send them to the driver by the files' size in every round.
 """
 
 from __future__ import annotations
@@ -58,10 +59,10 @@ def _components(links: DataFrame, by: list[str], rounds: Rounds) -> DataFrame:
     both = rounds.table(links.unionByName(links.select(*by, F.col("a").alias("b"), F.col("b").alias("a"))).distinct(), "links")
     roots = rounds.table(both.groupBy(*by, F.col("a").alias("node")).agg(F.min("b").alias("_low")).select(*by, "node", F.least("node", "_low").alias("root")), "roots")
     while True:
-        near = both.join(roots.select(*by, F.col("node").alias("b"), "root"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("root").alias("_near"))
-        hooked = roots.join(near, [*by, "node"]).select(*by, "node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
+        near = both.join(roots.select(*by, F.col("node").alias("b"), "root").hint("merge"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("root").alias("_near"))
+        hooked = roots.join(near.hint("merge"), [*by, "node"]).select(*by, "node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
         jump = roots.select(*by, F.col("node").alias("root"), F.col("root").alias("_further"))
-        jumped = hooked.join(jump, [*by, "root"], "left").select(*by, "node", "_old", F.coalesce(F.least("root", "_further"), "root").alias("root"))
+        jumped = hooked.join(jump.hint("merge"), [*by, "root"], "left").select(*by, "node", "_old", F.coalesce(F.least("root", "_further"), "root").alias("root"))
         made = rounds.table(jumped, "roots")
         roots = made.select(*by, "node", "root")
         if not made.where("_old <> root").limit(1).count():
@@ -77,15 +78,15 @@ def connected(tiles: DataFrame, by: list[str], diagonal: bool = False) -> DataFr
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     moved = border.select(*by, "r", "c", F.col("node").alias("a"), F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps))).alias("_d"))
     moved = moved.select(*by, (F.col("r") + F.col("_d.r")).alias("r"), (F.col("c") + F.col("_d.c")).alias("c"), "a")
-    links = moved.join(border.select(*by, "r", "c", F.col("node").alias("b")), [*by, "r", "c"]).where("a <> b").select(*by, "a", "b").distinct()
+    links = moved.join(border.select(*by, "r", "c", F.col("node").alias("b")).hint("merge"), [*by, "r", "c"]).where("a <> b").select(*by, "a", "b").distinct()
     roots = _components(links, by, rounds)
     sizes = labels.select(*by, "r0", "c0", F.explode("parts").alias("part")).where("part > 0").groupBy(*by, "r0", "c0", "part").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(*by, F.struct("r0", "c0", "part").alias("node"), "_n").join(roots, [*by, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = sizes.select(*by, F.struct("r0", "c0", "part").alias("node"), "_n").join(roots.hint("merge"), [*by, "node"], "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rounds.table(sizes, "sizes")
     whole = sizes.groupBy(*by, "root").agg(F.sum("_n").alias("pixels"))
-    of = sizes.join(whole, [*by, "root"]).select(*by, F.col("node.r0").alias("r0"), F.col("node.c0").alias("c0"), F.struct(F.col("node.part").alias("part"), "root", "pixels").alias("_x"))
+    of = sizes.join(whole.hint("merge"), [*by, "root"]).select(*by, F.col("node.r0").alias("r0"), F.col("node.c0").alias("c0"), F.struct(F.col("node.part").alias("part"), "root", "pixels").alias("_x"))
     of = of.groupBy(*by, "r0", "c0").agg(F.sort_array(F.collect_list("_x")).alias("roots"))  # a row for each part of a tile
-    return labels.join(of, [*by, "r0", "c0"], "left").withColumn("roots", F.coalesce("roots", F.array().cast(of.schema["roots"].dataType)))
+    return labels.join(of.hint("merge"), [*by, "r0", "c0"], "left").withColumn("roots", F.coalesce("roots", F.array().cast(of.schema["roots"].dataType)))
 
 
 def _where(parts: DataFrame, keep) -> DataFrame:

@@ -188,3 +188,13 @@ def test_parts_of_tiles_are_those_of_the_raster(spark, size, diagonal):
         same = kernels.labelled(m, True)
         assert (got[k] == (m & (same == same[seeds[k]]))).all(), k
     assert parts.without_small(tiles.limit(0), ["s"], 6).count() == 0
+
+
+def test_rounds_of_parts_send_nothing_to_the_driver(spark, monkeypatch):
+    plans, table = [], parts.Rounds.table
+    monkeypatch.setattr(parts.Rounds, "table", lambda self, df, name, last=False: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df, name, last))
+    tiles = parts.tiled(spark.createDataFrame([("s", 6, 6, [True] * 36)], "s string, height int, width int, m array<boolean>"), ["s"], "m", 2)
+    made = parts.without_small(tiles, ["s"], 36)
+    assert all(all(r["mask"]) for r in made.collect())
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
