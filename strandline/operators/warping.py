@@ -46,6 +46,12 @@ def warped(tiles: DataFrame, grids: DataFrame, by: list[str], tile: int, nearest
     (NULL, NaN, tiles that aren't there) are left out of the mean; pixels outside the source, or without any known one, are NULL. So are
     all pixels if one of two different systems isn't known. Grids coarser than the source are sampled at their pixels' centres. Sources
     without a grid and grids without a source give no rows; neither do grids that are NULL."""
+    return warped_both(tiles, grids, by, tile, block).select(*by, "r", "c", F.col("nearest" if nearest else "linear").alias("value"))
+
+
+def warped_both(tiles: DataFrame, grids: DataFrame, by: list[str], tile: int, block: int = 256) -> DataFrame:
+    """by, r, c, linear, nearest: both values of `warped` in one pass. The nearest pixel is one of the four around, so both are of one tile.
+    Values are plain expressions of the joined rows, which Spark compiles; functions over lists of pixels took longer than all else."""
     facts = ["height", "width", "georef", "epsg"]
     sources = tiles.select(*by, F.struct(*facts).alias("_s")).groupBy(*by).agg(F.max("_s").alias("_s"))
     planned = grids.where("height > 0 AND width > 0 AND georef IS NOT NULL").select(*by, F.struct(*facts).alias("_t")).join(sources, by)
@@ -59,7 +65,7 @@ def warped(tiles: DataFrame, grids: DataFrame, by: list[str], tile: int, nearest
     same = F.col("_s.epsg").eqNullSafe(F.col("_t.epsg"))
     moved = _projection(x, y, F.col("_t.epsg"), F.col("_s.epsg"))
     at = F.when(same, F.struct(x.alias("x"), y.alias("y"))).otherwise(F.struct(moved["x_t"].alias("x"), moved["y_t"].alias("y")))
-    pixels = pixels.select(*by, "_r0", "_c0", "r", "c", "_s", at.alias("_at"))
+    pixels = pixels.select(*by, "r", "c", "_s", at.alias("_at"))
     turn = s[1] * s[5] - s[2] * s[4]
     dx, dy = F.col("_at.x") - s[0], F.col("_at.y") - s[3]
     pixels = pixels.withColumns({"_u": F.try_divide(s[5] * dx - s[2] * dy, turn), "_v": F.try_divide(s[1] * dy - s[4] * dx, turn)})
@@ -67,30 +73,33 @@ def warped(tiles: DataFrame, grids: DataFrame, by: list[str], tile: int, nearest
 
     def base(p: str) -> tuple[Column, Column]:
         """The first of the two pixels along one side, and the share of the second."""
-        if nearest:
-            return F.floor(p).cast("int"), F.lit(0.0)
         low = F.floor(F.col(p) - 0.5)
         return F.greatest(low, F.lit(0)).cast("int"), F.when(low < 0, 0.0).otherwise(F.col(p) - 0.5 - low)
 
     (i, f), (j, g) = base("_v"), base("_u")
-    pixels = pixels.select(*by, "_r0", "_c0", "r", "c", known.alias("_known"), i.alias("_i"), j.alias("_j"), f.alias("_f"), g.alias("_g"))
+    pixels = pixels.select(*by, "r", "c", known.alias("_known"), i.alias("_i"), j.alias("_j"), f.alias("_f"), g.alias("_g"))
     start = lambda c: F.when(F.col("_known"), (F.floor(F.col(c) / tile) * tile).cast("int")).otherwise(-1)
-    pixels = pixels.withColumns({"r0": start("_i"), "c0": start("_j")}).repartition(*by, "r0", "c0")
-    asked = pixels.groupBy(*by, "r0", "c0", "_r0", "_c0").agg(F.collect_list(F.struct("r", "c", "_i", "_j", "_f", "_g")).alias("_asked"))
-    joined = asked.join(haloed(tiles, by, tile), [*by, "r0", "c0"], "left")
-
-    def value(p: Column) -> Column:
-        i, j = p["_i"] - F.col("r0"), p["_j"] - F.col("c0")
-        rows, cols = F.col("rows"), F.col("cols")
-
-        def read(i: Column, j: Column) -> Column:
-            v = F.when((i < rows) & (j < cols), F.get("values", i * cols + j)).when((i < rows) & (j == tile), F.get("right", i)).when((i == tile) & (j < cols), F.get("below", j)).when((i == tile) & (j == tile), F.get("corner", F.lit(0)))
-            return F.nanvl(v, F.lit(None).cast("double"))
-
-        four = F.array(*(F.struct(read(i + a, j + b).alias("v"), ((p["_f"] if a else 1 - p["_f"]) * (p["_g"] if b else 1 - p["_g"])).alias("w")) for a in (0, 1) for b in (0, 1)))
-        used = F.filter(four, lambda q: q["v"].isNotNull() & (q["w"] > 0))
-        total = lambda term: F.aggregate(used, F.lit(0.0), lambda a, q: a + term(q))
-        return F.try_divide(total(lambda q: q["v"] * q["w"]), total(lambda q: q["w"]))
-
-    made = F.transform("_asked", lambda p: F.struct(p["r"].alias("r"), p["c"].alias("c"), value(p).alias("value")))
-    return joined.select(*by, F.inline(made))
+    pixels = pixels.withColumns({"r0": start("_i"), "c0": start("_j")}).drop("_known")
+    joined = pixels.join(haloed(tiles, by, tile).hint("merge"), [*by, "r0", "c0"], "left")
+    rows, cols, f, g = (F.col(c) for c in ("rows", "cols", "_f", "_g"))
+
+    def read(a: int, b: int) -> Column:
+        i, j = F.col("_i") - F.col("r0") + a, F.col("_j") - F.col("c0") + b
+        v = F.when((i < rows) & (j < cols), F.get("values", i * cols + j)).when((i < rows) & (j == tile), F.get("right", i)).when((i == tile) & (j < cols), F.get("below", j)).when((i == tile) & (j == tile), F.get("corner", F.lit(0)))
+        return F.nanvl(v, F.lit(None).cast("double"))
+
+    four = [(a, b) for a in (0, 1) for b in (0, 1)]
+    read_ = joined.select(*by, "r", "c", "_f", "_g", *(read(a, b).alias(f"_v{a}{b}") for a, b in four))
+    weight = lambda a, b: (f if a else 1 - f) * (g if b else 1 - g)
+    none = F.lit(0.0)
+
+    def total(term) -> Column:
+        out = none
+        for a, b in four:
+            out = out + F.when(F.col(f"_v{a}{b}").isNotNull() & (weight(a, b) > 0), term(a, b)).otherwise(none)
+        return out
+
+    linear = F.try_divide(total(lambda a, b: F.col(f"_v{a}{b}") * weight(a, b)), total(weight))
+    below, right = f >= 0.5, g >= 0.5
+    nearest = F.when(below & right, F.col("_v11")).when(below, F.col("_v10")).when(right, F.col("_v01")).otherwise(F.col("_v00"))
+    return read_.select(*by, "r", "c", linear.alias("linear"), nearest.alias("nearest"))

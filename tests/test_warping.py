@@ -77,3 +77,16 @@ def test_grids_of_half_the_pixels(spark):
     assert (got["ten"].height, got["ten"].width, got["ten"].georef, got["ten"].error) == (8, 12, [100.0, 5.0, 0.0, 50.0, 0.0, -5.0], None)
     assert all(got[n].georef is None and got[n].error for n in ("fifteen", "one", "null"))
     assert {r.n: r.error for r in warping.target_grids(df).collect()} == {"ten": None, "fifteen": None, "one": None, "null": "no georeference"}
+
+
+def test_both_values_in_one_pass(spark, source):
+    image, geo, tiles = source
+    to = [geo[0] - 20.0, 6.5, 0.0, geo[3] + 11.0, 0.0, -9.25]
+    grids = spark.createDataFrame([("a", 23, 35, to, 32755)], "site string, height int, width int, georef array<double>, epsg int")
+    got = warping.warped_both(tiles, grids, ["site"], 4, 10).collect()
+    assert len(got) == 23 * 35
+    for p in got:
+        u, v = (to[0] + (p.c + 0.5) * to[1] - geo[0]) / 15, (to[3] + (p.r + 0.5) * to[5] - geo[3]) / -15
+        for value, nearest in ((p.linear, False), (p.nearest, True)):
+            want = interpolated(image, u, v, nearest)
+            assert value == (None if want is None else pytest.approx(want, abs=1e-9)), (p.r, p.c, nearest)
