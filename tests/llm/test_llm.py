@@ -662,3 +662,15 @@ def test_pipeline(spark, reference):
     want = sorted((k, reference.encode_ordinary(t)) for k, t in texts.items() for _ in range(max(1, int(rates[k] + draws[k]))))
     assert corpus_pipeline.mixing(spark, kept, d).columns == docs.columns
     assert sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, d).collect()) == want
+
+
+def test_shuffles_go_once_their_table_is_written(spark, tmp_path):
+    from strandline.llm.shared import CLEANUP, written
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    left, setting = manager.shuffleStatuses().size(), spark.conf.get(CLEANUP, "false")
+    assert written(rows, str(tmp_path), "rows").count() == 10
+    assert spark.conf.get(CLEANUP, "false") == setting
+    written(rows, str(tmp_path), "again")
+    assert manager.shuffleStatuses().size() <= left + 1  # that of the count
