@@ -215,8 +215,8 @@ def folded_sets(texts: DataFrame, width: int) -> DataFrame:
 def blocks(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and whose folded sets may reach the threshold, but none whose components have
     been joined by others of the block, from members (key, band, rep, component, n, regs, folded, largest, most, others): whether a member is of its bucket's
-    largest component, how many are and how many aren't. The largest component isn't compared within itself, and goes out once for
-    each BLOCK of the others. No pair leaves a block that its whole sets rule out, and each leaves the block of the first band it
+    largest component, how many are and how many aren't. A bucket of up to BLOCK members is one block, to which each goes once. Of a larger
+    one, the largest component isn't compared within itself, and goes out once for each BLOCK of the others. No pair leaves a block that its whole sets rule out, and each leaves the block of the first band it
     shares, once."""
     parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
     part = F.pmod(F.xxhash64("rep", F.lit("part")), F.when(F.col("largest"), parts("most")).otherwise(parts("others"))).cast("int")
@@ -224,7 +224,8 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
     each = lambda c, make: F.transform(F.sequence(F.lit(0), parts(c) - 1), make)
     across = F.when(F.col("largest"), each("others", lambda k: place(0, F.col("part"), k)))
     among = F.concat(each("most", lambda k: place(0, k, F.col("part"))), each("others", lambda k: place(1, F.least(F.col("part"), k), F.greatest(F.col("part"), k))))
-    dealt = members.withColumn("part", part).withColumn("place", F.explode(F.coalesce(across, among)))
+    alone = F.when(F.col("most") + F.col("others") <= BLOCK, F.array(place(1, F.lit(0), F.lit(0))))
+    dealt = members.withColumn("part", part).withColumn("place", F.explode(F.coalesce(alone, across, among)))
     # the side of a member in its block: members of one side aren't compared, unless the block has one side only
     side = F.when(F.col("place.kind") == 0, F.col("largest").cast("int")).otherwise(F.col("part"))
     dealt = dealt.select(F.xxhash64("key", "place.kind", "place.x", "place.y").alias("block"), "band", side.alias("part"), (F.col("place.kind") == 0).alias("across"), "rep", "component", "n", "regs", "folded")
@@ -329,6 +330,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     folder, threshold = shared_folder(spark), percent / 100
     sketched = written(sketches(docs, width, key, text), folder, "sketches")
     classes = written(set_classes(sketched), folder, "classes")
+    # registers are most of what is written here: they stay for classes that share a bucket alone, and no longer than they are read
+    of_rows = written(sketched.drop("regs", "of"), folder, "sets-of-rows")
+    removed(spark, folder, "sketches")
     total, rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     banded = band_keys(classes)
     shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), folder, "shared")
@@ -337,9 +341,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     salt = F.when(F.col("most").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep", F.lit("salt")), F.col("most") + 1)).cast("int")
     banded = banded.join(salts, "key", "left").withColumn("salt", salt).drop("most")
     members = written(banded.join(_salted(shared, "size", hot), ["key", "salt"]), folder, "members")
-    in_buckets = members.select("rep").distinct().join(classes.select("rep", F.col("doc_id").alias("_id"), F.col("of").alias("_of")), "rep")
+    in_buckets = members.select("rep").distinct().join(classes.select("rep", F.col("doc_id").alias("_id"), F.col("of").alias("_of"), "n", "regs"), "rep")
     in_buckets = written(in_buckets, folder, "in-buckets")
-    some = F.broadcast(in_buckets) if in_buckets.count() <= BROADCAST_IDS else in_buckets
+    class_ids = written(classes.drop("regs", "of"), folder, "class-ids")
+    removed(spark, folder, "classes", "shared")
+    some = in_buckets.select("rep", "_id", "_of")
+    some = F.broadcast(some) if in_buckets.count() <= BROADCAST_IDS else some
     own = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
     # of classes that share a bucket with another one, one text each; the rest isn't read again
     texts = own.join(some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of"))).select("rep", "text")
@@ -367,7 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         chosen = wanted.groupBy("rep").agg(F.min(F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("rep", "centre", F.lit(turn)), "centre"))["centre"].alias("centre"))
         # dealt by rep already; two that chose each other make one link twice
         pairs = chosen.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-        labels = grown_components(labels, confirmed_links(estimated(pairs, classes, threshold), f"star-{turn}"), folder, f"round-{turn}")
+        labels = grown_components(labels, confirmed_links(estimated(pairs, in_buckets, threshold), f"star-{turn}"), folder, f"round-{turn}")
         placed, before = still_open(placed, labels, f"open-{turn}"), places
         places = placed.count()
         if places > WORTHWHILE * before:
@@ -377,18 +384,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     held = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"), F.max("size").alias("size"))
     held = held.groupBy("key").agg(F.max(F.struct("held", "component")).alias("top"), F.sum("held").alias("now"), F.max("size").alias("size"))
     held = held.select("key", "size", F.col("top.component").alias("main"), F.col("top.held").alias("most"), (F.col("now") - F.col("top.held")).alias("others"))
-    searched = by_key(placed, held).withColumn("largest", F.col("component") == F.col("main")).join(classes.select("rep", "n", "regs").join(sets, "rep"), "rep")
+    searched = by_key(placed, held).withColumn("largest", F.col("component") == F.col("main")).join(in_buckets.select("rep", "n", "regs").join(sets, "rep"), "rep")
     final = grown_components(labels, confirmed_links(blocks(searched, percent), "rest"), folder, "final")
     # the smallest id of each component; classes without links are components of their own
-    ids = classes.select("rep", "doc_id")
+    ids = class_ids.select("rep", "doc_id")
     smallest = final.join(ids, final["node"] == ids["rep"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = final.select(F.col("node").alias("rep"), "component").join(smallest, "component").select("rep", "component_id", F.lit(True).alias("linked"))
-    named = classes.select("set_a", "set_b", "n", "rows", "rep", "doc_id").join(joined, "rep", "left")
+    named = class_ids.join(joined, "rep", "left")
     named = written(named.select("set_a", "set_b", "n", "rows", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), folder, "named")
-    removed(spark, folder, *(f"open-{k}" for k in range(STAR_ROUNDS)), *(f"star-{k}-links" for k in range(STAR_ROUNDS)), "classes", "shared", "members", "in-buckets", "texts", "folded", "rest-links")
+    removed(spark, folder, *(f"open-{k}" for k in range(STAR_ROUNDS)), *(f"star-{k}-links" for k in range(STAR_ROUNDS)), "class-ids", "members", "in-buckets", "texts", "folded", "rest-links")
     # sets of many rows are sent to all executors (fewer than HOT of them), so that copies of one text don't meet in a task
     crowd = _hot(rows)
-    of, own = ["set_a", "set_b", "n"], sketched.drop("regs", "of")
+    of, own = ["set_a", "set_b", "n"], of_rows
     many = F.broadcast(named.where(F.col("rows") >= crowd).select(*of, F.col("component_id").alias("_many"), F.lit(True).alias("_crowd")))
     own = own.join(many, of, "left")
     few = named.where(F.col("rows") < crowd).select(*of, F.col("component_id").alias("_few"))

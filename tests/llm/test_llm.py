@@ -229,6 +229,27 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df, 4, 80).collect()} == brute_components(rows, 4, 80)
 
 
+def test_members_of_a_small_bucket_are_dealt_once(spark, monkeypatch):
+    rows = [(1, 0, k, k, 9, b"", b"", k == 0, 1, 19) for k in range(20)]
+    members = spark.createDataFrame(rows, "key long, band int, rep long, component long, n long, regs binary, folded binary, largest boolean, most long, others long")
+    deal, dealt = type(members).repartition, []
+    monkeypatch.setattr(type(members), "repartition", lambda self, *by: dealt.append(self.count()) or deal(self, *by))
+    near_duplicates.blocks(members, 80)
+    assert dealt == [20]
+
+
+def test_registers_stay_no_longer_than_they_are_read(spark, monkeypatch, tmp_path):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[:k], f"e{k}", *base[k + 1 :]])) for k in range(30)] + [(100 + k, " ".join(f"{w}x{k}" for w in base)) for k in range(50)]
+    compared, estimated = [], near_duplicates.estimated
+    monkeypatch.setattr(near_duplicates, "estimated", lambda pairs, classes, threshold: compared.append(classes.count()) or estimated(pairs, classes, threshold))
+    monkeypatch.setattr(near_duplicates, "shared_folder", lambda spark: f"file://{tmp_path}")
+    out = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
+    assert compared and max(compared) <= 30  # the others share no bucket
+    assert [p.name for p in tmp_path.iterdir() if "regs" in spark.read.parquet(f"file://{p}").columns] == []
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_components(rows, 4, 80)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), shared.shared_folder(spark)).collect()}
