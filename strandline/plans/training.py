@@ -28,10 +28,11 @@ def united(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def training_table(df: DataFrame, label: str, features: str) -> DataFrame:
-    """label, features as a vector; NULL and NaN are 1e-9."""
+def training_table(df: DataFrame, label: str, features: str, keep: list[str] = ()) -> DataFrame:
+    """keep, label, features as a vector; NULL and NaN in it are 1e-9. Rows without features have no vector."""
     filled = F.transform(features, lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(1e-9)), F.lit(1e-9)))
-    return df.select(F.col(label).cast("double").alias("label"), array_to_vector(filled).alias("features"))
+    vector = F.when(F.col(features).isNotNull(), array_to_vector(filled))
+    return df.select(*keep, F.col(label).cast("double").alias("label"), vector.alias("features"))
 
 
 def _fit(table: DataFrame, layers: list[int], seed: int) -> MultilayerPerceptronClassificationModel:

@@ -36,3 +36,16 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_training_vectors_of_odd_values(spark, tmp_path):
+    """The float next to -0.1, ids past what a double holds, and values, vectors and labels that are missing."""
+    nan, inf, rows = float("nan"), float("inf"), []
+    for k, vector in enumerate([[-0.1, 0.5, 0.25], [-0.10000001, 0.5], [0.25, None, 0.5], [nan, 1.0], [inf, -inf], [None, None], [], None]):
+        rows += [(k, vector, k), (2**53 + k, vector, None), (-k - 1, vector, 1234 + k), (2**63 - 1 - k, vector, -k)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = duck.execute(ORACLE_SQL["training_vectors"]).fetchall()
+    got = [tuple(r) for r in QUERIES["training_vectors"](spark, str(tmp_path)).select("vec_id", "label", "total").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) == 32 and (0, 0, 0.65) in want
